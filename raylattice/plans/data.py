@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raylattice.operators import regular, wide
+from raylattice.operators import compaction, drift, nested, regular, wide
 from raylattice.session import table
 
 
@@ -24,7 +24,27 @@ def p2_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regular.regular_series(table(spark, sf_dir, "projection"), table(spark, sf_dir, "scan"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_series)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted_keys(table(spark, sf_dir, "frame_file"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.children(table(spark, sf_dir, "calib_doc"), ("ObjectScatterFit", "DetectorScatterModel", "Acquisitions"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "header_file"))
+
+
+def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.consistent(table(spark, sf_dir, "header_file"))
+
+
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.path_statistics(drift.path_values(table(spark, sf_dir, "header_file")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_series, p3_found, p4_found, p5_found, p5_consistent, p5_paths)}
 
 P1_CELLS = r"""
 WITH named AS (
