@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raylattice.session import materialise, scratch
+from raylattice.session import materialise, scratch, spread
 
 KEYS = ("scan", "proj", "rev")
 FIELDS = {"scan", "proj", "rev", "n", "px"}
@@ -122,7 +122,8 @@ def frame_records(files: DataFrame) -> DataFrame:
     Null or empty contents, broken files and incomplete records give nothing; a null time is older than any;
     repeated files change nothing. ``files`` needs file_id, modified_at and raw_bytes; other columns aren't read.
     """
-    decoded = files.select("file_id", F.col("modified_at").cast("timestamp").alias("at"), "raw_bytes").mapInArrow(decode, RECORD)
+    raw = files.select("file_id", F.col("modified_at").cast("timestamp").alias("at"), "raw_bytes")
+    decoded = spread(raw).mapInArrow(decode, RECORD)
     best = F.max(F.struct("at", "file_id", "angle", "n", "px")).alias("r_")
     return decoded.groupBy(*KEYS).agg(best).select(*KEYS, "r_.angle", "r_.n", "r_.px", "r_.file_id")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType, _parse_datatype_string
 
-from raylattice.session import materialise
+from raylattice.session import materialise, spread
 
 TEXT = "#text"
 #: Marks an element that holds a value that isn't blank, itself or below.
@@ -171,7 +171,7 @@ def flatten(docs: DataFrame, key: str = "calib_id", body: str = "body", always:
     same key and body one is read. An empty table gives no tables. Other columns of ``docs`` aren't read.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(body).alias("body")).where("key_ is not null and body is not null")
-    canonical = materialise(rows.mapInArrow(trees, "key_ bigint, tree string").dropDuplicates(["key_", "tree"]))
+    canonical = materialise(spread(rows).mapInArrow(trees, "key_ bigint, tree string").dropDuplicates(["key_", "tree"]))
     schema = merged_schema(canonical)
     unique = unique_names(schema)
     tables: dict[str, DataFrame] = {}

@@ -49,3 +49,12 @@ def small_enough(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) ->
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """A broadcast hint on ``df`` where its counted size allows one; else ``df`` as it is (a shuffle join)."""
     return F.broadcast(df) if small_enough(df, row_bytes, limit_bytes) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores, for stages that compute much per row.
+
+    A scan of many files or blocks has more and stays as it is; only a few small files are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
