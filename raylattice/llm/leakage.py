@@ -13,11 +13,12 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raylattice.session import small_enough
+from raylattice.session import small_enough, spread
 
 LEAST_WORDS, LEAST_RUN = 18, 12
 #: A pair is a seed if at most so many items share it.
@@ -26,6 +27,8 @@ SEED_ITEMS = 3
 SHARED_BY = 5
 #: Words between two seeds of the same place in a text, and around the outermost ones that are aligned.
 NEAR, MARGIN = 60, 60
+#: Inserted words by which the places of two seeds of a run may differ.
+DRIFT = 12
 MATCH, MISMATCH, GAP = 2, -3, -3
 #: Letters of other scripts that look like Latin ones.
 ALIKE = str.maketrans("асеорхуікмтнвАСЕОРХУІКМТНВѕјԁɡοαιν", "aceopxyikmthbACEOPXYIKMTHBsjdgoaiv")
@@ -35,8 +38,15 @@ NUMBERING = re.compile(r"[(\[]?(?:\d{1,3}|[a-z]|[ivx]{1,4})[)\].:]+|[(\[]\d{1,3}
 ITEM_BYTES = 4096
 
 
+PLAIN = re.compile(r"[A-Za-z0-9 .,!?;:\n\r\t\"/$%]*")
+LIST_MARK = re.compile(r"(?:^|\s)(?:\d{1,3}|[A-Za-z]|[IVXivx]{1,4})[.:]+(?:\s|$)")
+
+
 def words(text: str) -> tuple[list[str], list[bool]]:
     """The words of a text in plain form, and whether each is numbering that someone may have inserted."""
+    if PLAIN.fullmatch(text) and not LIST_MARK.search(text):
+        plain = re.findall(r"[a-z0-9]+", text.lower())
+        return plain, [False] * len(plain)
     text = TAG.sub(" ", html.unescape(text))
     text = unicodedata.normalize("NFKD", text.translate(ALIKE))
     out, free = [], []
@@ -51,84 +61,90 @@ def words(text: str) -> tuple[list[str], list[bool]]:
 
 
 def alike(a: str, b: str) -> bool:
-    """Whether two words are equal but for a slip: one letter more, less, other or swapped (two in long words).
-    Numbers must be equal."""
+    """Whether two words are equal but for a slip: one letter more, less, other or swapped (two such in words of
+    eight letters or more). Numbers must be equal."""
     if a == b:
         return True
     la, lb = len(a), len(b)
-    most = 2 if min(la, lb) >= 8 else 1
-    if abs(la - lb) > most or min(la, lb) < 2 or any(c.isdigit() for c in a + b):
+    short = min(la, lb)
+    if abs(la - lb) > 2 or short < 2:
         return False
-    before, last = None, list(range(lb + 1))
-    for i in range(1, la + 1):
-        now = [i] + [0] * lb
-        for j in range(1, lb + 1):
-            same = a[i - 1] == b[j - 1]
-            now[j] = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (not same))
-            if before and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                now[j] = min(now[j], before[j - 2] + 1)
-        if min(now) > most:
-            return False
+    head = 0
+    while head < short and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : la - tail], b[head : lb - tail]
+    if max(len(x), len(y)) > 8 or short < 8 and max(len(x), len(y)) > 2 or any(c.isdigit() for c in a + b):
+        return False
+    return edits(x, y) <= (2 if short >= 8 else 1)
+
+
+def edits(a: str, b: str) -> int:
+    """Letters to insert, delete, replace or swap with their neighbour."""
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        now = [i]
+        for j, d in enumerate(b, 1):
+            least = min(last[j] + 1, now[-1] + 1, last[j - 1] + (c != d))
+            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
+                least = min(least, before[j - 2] + 1)
+            now.append(least)
         before, last = last, now
-    return last[lb] <= most
+    return last[-1]
 
 
 def runs(item: list[str], text: list[str], free: list[bool]) -> list[tuple[int, int]]:
     """Unbroken runs (first item word, number of words) of the best local alignments, over disjoint item words.
 
-    Smith-Waterman; the best alignment is taken, its item words are barred, and so on while one can still hold a
-    run that counts.
+    Smith-Waterman, a row at a time: what a gap in the text may carry on is a running maximum. The best alignment
+    is taken, its item words are barred, and so on while one can still hold a run that counts.
     """
-    equal = {w: {i for i, x in enumerate(item) if alike(x, w)} for w in set(text)}
-    barred: set[int] = set()
+    m, n = len(item), len(text)
+    if not m or not n:
+        return []
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(text))}
+    of = np.array([distinct[w] for w in text])
+    known = {w: np.fromiter((alike(w, x) for x in distinct), bool, len(distinct))[of] for w in set(item)}
+    equal = np.array([known[w] for w in item])
+    paid = np.concatenate([[0], np.cumsum(np.where(free, 0, GAP))])
+    barred = np.zeros(m, bool)
     found: list[tuple[int, int]] = []
-    n = len(text)
     while True:
-        score = [[0] * (n + 1)]
-        best, at = 0, (0, 0)
-        for i in range(len(item)):
-            up, row = score[-1], [0] * (n + 1)
-            if i not in barred:
-                for j in range(n):
-                    s = up[j] + (MATCH if i in equal[text[j]] else MISMATCH)
-                    t = row[j] if free[j] else row[j] + GAP
-                    u = up[j + 1] + GAP
-                    s = t if t > s else s
-                    s = u if u > s else s
-                    if s > 0:
-                        row[j + 1] = s
-                        if s > best:
-                            best, at = s, (i + 1, j + 1)
-            score.append(row)
-        if best < MATCH * LEAST_RUN:
+        score = np.zeros((m + 1, n + 1), int)
+        for i in np.flatnonzero(~barred):
+            step = np.maximum(score[i, :-1] + np.where(equal[i], MATCH, MISMATCH), score[i, 1:] + GAP)
+            row = np.concatenate([[0], np.maximum(step, 0)])
+            score[i + 1] = np.maximum(np.maximum.accumulate(row - paid) + paid, 0)
+        if score.max() < MATCH * LEAST_RUN:
             return found
-        i, j = at
-        length, covered = 0, set()
-        while i and j and score[i][j] > 0:
-            s, hit = score[i][j], i - 1 in equal[text[j - 1]]
-            if s == score[i - 1][j - 1] + (MATCH if hit else MISMATCH):
+        i, j = (int(k) for k in np.unravel_index(score.argmax(), score.shape))
+        length = 0
+        while i and j and score[i, j] > 0:
+            s, hit = score[i, j], equal[i - 1, j - 1]
+            if s == score[i - 1, j - 1] + (MATCH if hit else MISMATCH):
                 i, j = i - 1, j - 1
-                covered.add(i)
+                barred[i] = True
                 if hit:
                     length += 1
                     continue
                 cut = i + 1
-            elif free[j - 1] and s == score[i][j - 1]:
-                j -= 1
-                continue
-            elif s == score[i][j - 1] + GAP:
+            elif s == score[i, j - 1] + (0 if free[j - 1] else GAP):
                 j -= 1
+                if free[j]:
+                    continue
                 cut = i
             else:
                 i -= 1
-                covered.add(i)
+                barred[i] = True
                 cut = i + 1
             if length:
                 found.append((cut, length))
             length = 0
         if length:
             found.append((i, length))
-        barred |= covered
 
 
 def taken_over(item: list[str], text: list[str], free: list[bool]) -> int:
@@ -136,6 +152,12 @@ def taken_over(item: list[str], text: list[str], free: list[bool]) -> int:
     return sum(n for _, n in runs(item, text, free) if n >= LEAST_RUN)
 
 
+def aligned(at: list[tuple[int, int]]) -> bool:
+    """Whether two different seeds lie on nearly the same diagonal, as those of an unbroken run do."""
+    ends = sorted({(j - i, i) for j, i in at})
+    return any(b[0] - a[0] <= DRIFT and a[1] != b[1] for a, b in zip(ends, ends[1:], strict=False))
+
+
 class Items:
     """Test items ready for the search: their words without shared instructions, and the seeds."""
 
@@ -175,7 +197,7 @@ class Items:
             item, total, start = self.words[key], 0, 0
             for k in range(1, len(at) + 1):
                 if k == len(at) or at[k][0] - at[k - 1][0] > NEAR:
-                    if len({i for _, i in at[start:k]}) > 1:
+                    if aligned(at[start:k]):
                         lo, hi = max(0, at[start][0] - MARGIN), at[k - 1][0] + MARGIN
                         total += taken_over(item, w[lo:hi], free[lo:hi])
                     start = k
@@ -218,4 +240,4 @@ def search(texts: DataFrame, items: Items) -> DataFrame:
                 rows = [(d, e) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for e in sorted(of.in_text(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "eval_id"])
 
-    return texts.mapInArrow(find, "doc_id bigint, eval_id bigint").distinct()
+    return spread(texts).mapInArrow(find, "doc_id bigint, eval_id bigint").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raylattice.session import broadcast_if_small, materialise
+from raylattice.session import broadcast_if_small, materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Parts into which texts of equal length are ranked apart, so that a length with a third of all texts is no
@@ -44,7 +44,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(e.ids) for e in found], pa.int32())], names=["doc_id", "tokens"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text_")).where("doc_id is not null")
-    return rows.mapInArrow(count, "doc_id bigint, tokens int")
+    return spread(rows).mapInArrow(count, "doc_id bigint, tokens int")
 
 
 def exact_fill(gap: int, left: np.ndarray) -> list[int] | None:
