@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raylattice.plans import data
+from raylattice.plans import ct, data
 
-QUERIES = {**data.QUERIES}
-ORACLES = {**data.ORACLES}
+QUERIES = {**data.QUERIES, **ct.QUERIES}
+ORACLES = {**data.ORACLES, **ct.ORACLES}
