@@ -13,9 +13,11 @@ a sample, of at most ``LABELLED_DOCS`` labelled texts, the smallest by a hash of
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,16 +109,16 @@ class Model:
 class Rows:
     """A sparse 0/1 matrix as row and column numbers, with the products that the fit needs."""
 
-    def __init__(self, rows: list[list[int]], columns: int):
+    def __init__(self, rows: list[np.ndarray], columns: int):
         lengths = [len(r) for r in rows]
-        self.at = np.fromiter((c for r in rows for c in r), int, sum(lengths))
-        self.row = np.repeat(np.arange(len(rows)), lengths)
+        self.at = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
         self.shape = (len(rows), columns)
-        self.by_column = np.argsort(self.at, kind="stable")
+        self.by_column = np.argsort(self.at, kind="stable").astype(np.int32)
 
     def only(self, columns: np.ndarray) -> Rows:
         """The matrix of these columns, renumbered in their order."""
-        to = np.full(self.shape[1], -1)
+        to = np.full(self.shape[1], -1, np.int32)
         to[columns] = np.arange(len(columns))
         out = object.__new__(Rows)
         kept = to[self.at] >= 0
@@ -191,36 +193,49 @@ def nearest(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([(u @ centroids.T).reshape(len(u), -1, PARTS).max(2) for u in np.array_split(unit, 1 + len(unit) // 20_000)])
 
 
-def fit(texts: list[list[dict]], labels: list[set[int]], subjects: list[int], share: dict[str, float] | None = None) -> Model:
-    """A model from labelled texts, each a list of sentences' terms; ``share`` is the share of all texts of the
-    corpus that hold a term (the sample's own where it isn't given)."""
+def vocabulary_of(texts: Iterable[str | None]) -> dict[str, float]:
+    """Terms that at least ``LEAST_TEXTS`` of the texts hold, with their share of the texts."""
+    held: Counter = Counter()
+    n = 0
+    for text in texts:
+        held.update(set().union(*map(with_ends, sentences(text))))
+        n += 1
+    return {x: k / n for x, k in held.items() if k >= LEAST_TEXTS}
+
+
+def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share: dict[str, float]) -> Model:
+    """A model from texts with their labels; ``share`` has the terms to use and the share of all texts that hold
+    them."""
     model = Model(subjects)
-    texts = [[with_ends(s) for s in t] for t in texts]  # type: ignore[misc]
-    held: dict[str, int] = {}
-    for t in texts:
-        for x in set().union(*t):
-            held[x] = held.get(x, 0) + 1
-    vocabulary = {x: i for i, x in enumerate(sorted(x for x, n in held.items() if n >= LEAST_TEXTS))}
-    if not vocabulary or not subjects:
-        return model
-    size = len(vocabulary)
+    vocabulary = {x: i for i, x in enumerate(sorted(share))}
     number = {s: k for k, s in enumerate(subjects)}
-    idf = np.array([np.log(1 / max((share or {}).get(x, held[x] / len(texts)), 1e-7)) for x in vocabulary])
-    of_text = Rows([[vocabulary[x] for x in set().union(*t) if x in vocabulary] for t in texts], size)
-    lines, owner = [], []  # each sentence once per text
-    for d, t in enumerate(texts):
-        for s in t:
-            lines.append([vocabulary[x] for x in s if x in vocabulary])
-            owner.append(d)
-    of_line = Rows(lines, size)
+    size = len(vocabulary)
+    whole: list[np.ndarray] = []
+    lines: list[np.ndarray] = []
+    owner: list[int] = []
+    marks: list[list[int]] = []
+    for text, labels in texts:
+        found = [np.array(sorted({vocabulary[x] for x in with_ends(s) if x in vocabulary}), np.int32) for s in sentences(text)]
+        if not found:
+            continue
+        owner += [len(whole)] * len(found)
+        lines += found
+        whole.append(np.unique(np.concatenate(found)))
+        marks.append([number[s] for s in labels if s in number])
+    if not size or not subjects or not any(marks):
+        return model
+    idf = np.array([np.log(1 / max(share[x], 1e-7)) for x in vocabulary])
+    of_text, of_line = Rows(whole, size), Rows(lines, size)
     owner_ = np.array(owner)
-    allowed = np.zeros((len(texts), len(subjects) + 1), np.float32)
-    for d, ls in enumerate(labels):
-        allowed[d, [number[s] for s in ls if s in number]] = 1
+    allowed = np.zeros((len(whole), len(subjects) + 1), np.float32)
+    for d, m in enumerate(marks):
+        allowed[d, m] = 1
     allowed[:, -1] = 1
+    texts_n = len(whole)
+    del whole
     # The first shares: texts with the term that have the label.
     base = allowed[:, :-1].mean(0)
-    n = of_text.transposed_times(np.ones((len(texts), 1), np.float32))
+    n = of_text.transposed_times(np.ones((texts_n, 1), np.float32))
     share_of = (of_text.transposed_times(allowed[:, :-1]) + SMOOTH * base) / (n + SMOOTH)
     for step in range(ROUNDS):
         lift = np.clip((share_of - base) / (1 - base), 0, 1)
@@ -259,15 +274,40 @@ def fit(texts: list[list[dict]], labels: list[set[int]], subjects: list[int], sh
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCS) -> list[tuple[str, set[int]]]:
-    """Texts and label sets of at most ``most`` labelled texts; the bound is reached by a hash of the ids."""
-    sets = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("s_"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCS) -> DataFrame:
+    """(text, labels) of at most ``most`` labelled texts; the bound is reached by a hash of the ids."""
+    sets = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("labels"))
     ids = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy("doc_id").collect()
-    return [(r["text"], set(r["s_"])) for r in rows]
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "labels")
+
+
+def sample_terms(sample: DataFrame) -> list[str]:
+    """Terms that at least ``LEAST_TEXTS`` texts of the sample hold."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                held.update(set().union(*map(with_ends, sentences(text))))
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+
+    counts = sample.select("text").mapInArrow(emit, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return [r["term"] for r in counts.where(F.col("n") >= LEAST_TEXTS).collect()]
+
+
+def fitted(sample: DataFrame, subjects: list[int], share: dict[str, float]) -> bytes | None:
+    """``fit`` of the bounded sample in one task, as a pickled model."""
+    shared = sample.sparkSession.sparkContext.broadcast(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((t, set(s)) for b in batches for t, s in zip(b.column("text").to_pylist(), b.column("labels").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, subjects, shared.value))], pa.binary())], names=["model"])
+
+    row = sample.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "model binary").first()
+    return row["model"] if row else None
 
 
-def term_shares(docs: DataFrame, wanted: set[str]) -> dict[str, float]:
+def term_shares(docs: DataFrame, wanted: list[str]) -> dict[str, float]:
     """The share of all texts that hold each of ``wanted``; counts are added up in each task first."""
     at = {x: i for i, x in enumerate(sorted(wanted))}
     shared = docs.sparkSession.sparkContext.broadcast(at)
@@ -286,7 +326,7 @@ def term_shares(docs: DataFrame, wanted: set[str]) -> dict[str, float]:
 
     rows = spread(docs.select("text")).mapInArrow(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     n = {r["i"]: r["n"] for r in rows}
-    return {x: n.get(i, 0) / max(1, n.get(len(at), 1)) for x, i in at.items() if n.get(i)}
+    return {x: max(n.get(i, 0), 1) / max(1, n.get(len(at), 1)) for x, i in at.items()}
 
 
 def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
@@ -298,14 +338,12 @@ def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
     """
     subjects = sorted(r["subject_id"] for r in areas.select("subject_id").where("subject_id is not null").distinct().limit(10_000).collect())
     sample = labelled_sample(docs, labels)
-    texts = [sentences(t) for t, _ in sample]
-    kept = [k for k, t in enumerate(texts) if t]
-    texts, sets = [texts[k] for k in kept], [sample[k][1] for k in kept]
-    shares = term_shares(docs, {x for t in texts for s in t for x in with_ends(s)}) if texts else {}
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, sets, subjects, shares))
+    share = term_shares(docs, sample_terms(sample))
+    model = fitted(sample, subjects, share) if share else None
+    shared = docs.sparkSession.sparkContext.broadcast(model or pickle.dumps(Model(subjects)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)
         for batch in batches:
             rows = [(d, s) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for s in sorted(model.of_text(t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "subject_id"])
