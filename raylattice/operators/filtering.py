@@ -94,13 +94,15 @@ def filter_rows(image: np.ndarray, name: str, scale: float) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(padded) * half, n)[..., first : first + width] * scale
 
 
-def filtered(projections: DataFrame, nv: int, nu: int, du: float, views: int, dsd: float = 1.0, dso: float = 1.0, name: str = "ram_lak") -> DataFrame:
-    """(proj_idx, data) with every detector row filtered; ``data`` is the image with u fastest. One narrow pass."""
+def filtered(projections: DataFrame, nv: int, nu: int, du: float, views: int, dsd: float = 1.0, dso: float = 1.0, name: str = "ram_lak", weight: np.ndarray | None = None) -> DataFrame:
+    """(proj_idx, data) with every detector row multiplied by ``weight`` and filtered; ``data`` is the image with u
+    fastest. One narrow pass."""
     scale = dsd / dso * 2 * math.pi / views / (4 * du)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             images = np.array(b.column("data").to_pylist(), float).reshape(b.num_rows, nv, nu)
+            images = images if weight is None else images * weight
             out = filter_rows(images, name, scale).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column("proj_idx"), pa.array(list(out), pa.list_(pa.float64()))], names=["proj_idx", "data"])
 
