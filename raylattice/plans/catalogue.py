@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raylattice.plans import ct, data
+from raylattice.plans import ct, data, kernel
 
-QUERIES = {**data.QUERIES, **ct.QUERIES}
+QUERIES = {**data.QUERIES, **ct.QUERIES, **kernel.QUERIES}
 ORACLES = {**data.ORACLES, **ct.ORACLES}
