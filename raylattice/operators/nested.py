@@ -193,7 +193,8 @@ def flatten(docs: DataFrame, key: str = "calib_id", body: str = "body", always:
                 if g.name == TEXT:
                     leaves[TEXT] = F.col(f"node_.{quoted(TEXT)}")
                 elif is_leaf(g.dataType) and isinstance(g.dataType.elementType, StructType):
-                    leaves[g.name] = F.array_join(F.col(f"node_.{quoted(g.name)}.{quoted(TEXT)}"), "\n")
+                    known = TEXT in g.dataType.elementType.fieldNames()
+                    leaves[g.name] = F.array_join(F.col(f"node_.{quoted(g.name)}.{quoted(TEXT)}"), "\n") if known else F.lit(None).cast("string")
             taken = {"row_key", "parent_key", "parent_no", "child_no", "blank", key.lower()}
             named = [v.alias(n if n.lower() not in taken else f"{n}_value") for n, v in leaves.items()]
             blank = F.col(f"node_.{quoted(HAS)}").isNull() if HAS in below.fieldNames() else F.lit(True)

@@ -94,8 +94,8 @@ def source_matrix(projection: DataFrame, scan: DataFrame) -> DataFrame:
 
 
 def first_factors(n: int, rank: int) -> np.ndarray:
-    """Smooth starting factors: the first cosines over the slots."""
-    return np.cos(np.pi * np.outer(np.arange(n) + 0.5, np.arange(1, rank + 1)) / n)
+    """Smooth starting factors: the first cosines over the slots, from the constant one."""
+    return np.cos(np.pi * np.outer(np.arange(n) + 0.5, np.arange(rank)) / n)
 
 
 def dense_groups(batch: pa.RecordBatch, rank: int) -> Iterator[tuple]:
@@ -138,7 +138,7 @@ def source_factors(y: np.ndarray, w: np.ndarray, v: np.ndarray, ridge: float) ->
     return np.linalg.solve(a, (y.reshape(-1, n) @ v)[:, :, None])[:, :, 0].reshape(s, p, k)
 
 
-def fill_low_rank(matrix: DataFrame, rank: int = 3, rounds: int = 3, ridge: float = 1.0, least: int = 4) -> DataFrame:
+def fill_low_rank(matrix: DataFrame, rank: int = 3, rounds: int = 3, ridge: float = 0.1, least: int = 4) -> DataFrame:
     """``matrix`` (of ``source_matrix``) with every slot's vector and state.
 
     ``rounds`` alternating least squares rounds of ``rank`` factors. A missing cell is filled where its source has
