@@ -308,7 +308,7 @@ def q33_dual_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.join(high, ["proj_idx", "v", "u"]).select("proj_idx", "v", "u", F.round(value, 9).alias("value"))
 
 
-@query(f"{VOL2} SELECT z, y, x, round(0.21 * vol.value + 0.47 * vol2.value, 3) AS value FROM vol JOIN vol2 USING (z, y, x)")
+@query(f"{VOL2} SELECT z, y, x, round(0.21e0 * vol.value + 0.47e0 * vol2.value, 3) AS value FROM vol JOIN vol2 USING (z, y, x)")
 def q34_virtual_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = volume(spark, sf_dir).join(volume(spark, sf_dir, "A").withColumnRenamed("value", "other"), CELLS)
     return both.select(*CELLS, F.round(acquisition.virtual_mono(F.col("value"), F.col("other"), 0.21, 0.47), 3).alias("value"))
@@ -326,7 +326,7 @@ PHANTOM = [(0.69, 0.92, 0.81, 0, 0, 0, 0, 1.0), (0.66, 0.87, 0.78, 0, -0.02, 0,
 @query(
     "WITH e AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in PHANTOM) + ") t(a, b, c, x0, y0, z0, phi, amp)), g AS (SELECT CAST(i // 256 AS INT) AS z, CAST(i // 16 % 16 AS INT) AS y, CAST(i % 16 AS INT) AS x FROM range(4096) t(i)), "
     "p AS (SELECT z, y, x, amp, a, b, c, (x * 2.0 + 1) / 16 - 1 - x0 AS dx, (y * 2.0 + 1) / 16 - 1 - y0 AS dy, (z * 2.0 + 1) / 16 - 1 - z0 AS dz, cos(radians(phi)) AS co, sin(radians(phi)) AS si FROM g, e) "
-    "SELECT z, y, x, round(sum(CASE WHEN power((dx * co + dy * si) / a, 2) + power((dy * co - dx * si) / b, 2) + power(dz / c, 2) <= 1 THEN amp ELSE 0 END), 9) AS value FROM p GROUP BY z, y, x"
+    "SELECT z, y, x, round(CAST(sum(CASE WHEN power((dx * co + dy * si) / a, 2) + power((dy * co - dx * si) / b, 2) + power(dz / c, 2) <= 1 THEN amp ELSE 0 END) AS DOUBLE), 9) AS value FROM p GROUP BY z, y, x"
 )
 def q36_ellipsoid_phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(acquisition.ellipsoids(spark, (16, 16, 16), PHANTOM), 9)
@@ -363,7 +363,7 @@ def q40_flat_dark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(acquisition.flat_dark(p, flats, darks), 9).withColumn("value", F.col("value") + 0.0)
 
 
-@query("SELECT count(*) FILTER (n_bytes > 200) AS n_proj, round(1.7 * 80 / 100 * count(*) FILTER (n_bytes > 200), 6) AS ctdi FROM frame_file")
+@query("SELECT count(*) FILTER (n_bytes > 200) AS n_proj, round(1.7e0 * 80 / 100 * count(*) FILTER (n_bytes > 200), 6) AS ctdi FROM frame_file")
 def q41_ctdi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(acquisition.dose(table(spark, sf_dir, "frame_file").withColumnRenamed("n_bytes", "length"), 1.7, 80.0, 200), 6, "ctdi")
 
