@@ -65,6 +65,21 @@ def subsets(views: DataFrame, blocksize: int, how: str = "ordered", seed: int =
     return out
 
 
+def sorted_modulo(views: DataFrame, period: float, angle: str = "angle", idx: str = "idx") -> DataFrame:
+    """``views`` with ``place``, their place from 1 in order of the angle modulo ``period``, then of ``idx``.
+
+    The places of each angle start after the counts of the smaller ones, so that only views of one angle are ranked
+    together.
+    """
+    at = views.withColumn("at_", F.pmod(F.col(angle), F.lit(period)))
+    counts = at.groupBy("at_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(F.lit(0)).orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("at_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    own = Window.partitionBy("at_").orderBy(idx)
+    ranked = at.withColumn("own_", F.row_number().over(own)).join(starts, "at_")
+    return ranked.withColumn("place", (F.col("start_") + F.col("own_")).cast("bigint")).drop("at_", "own_", "start_")
+
+
 def cylinder(image: DataFrame, cy: float, cx: float, radius: float, outside: float = 0.0, strict: bool = False) -> DataFrame:
     """``value`` kept within the cylinder about (cy, cx) and ``outside`` beyond; ``strict`` leaves the rim out."""
     r2 = (F.col("y") - cy) ** 2 + (F.col("x") - cx) ** 2

@@ -221,20 +221,21 @@ def q23_log_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return angles(spark, sf_dir).select("idx", F.round(acquisition.log_normalised(F.col("i0"), F.lit(50000.0)), 9).alias("value"))
 
 
-@query(f"""WITH {ANG_SQL}, b AS (SELECT angle AS lo, avg(i0) AS v FROM ang WHERE kind = '{BLANK}' AND angle % 5 = 0 GROUP BY 1),
+@query(f"""WITH {ANG_SQL}, b AS (SELECT angle AS lo, avg(i0) AS v FROM ang WHERE kind = '{BLANK}' GROUP BY 1), c AS (SELECT idx, angle + 0.4e0 AS angle FROM ang WHERE kind = '{SCAN}'),
 s AS (SELECT lo, v, lead(lo) OVER w AS hi, lead(v) OVER w AS hv FROM b WINDOW w AS (ORDER BY lo)),
 f AS (SELECT min(lo) AS a, arg_min(v, lo) AS fv, max(lo) AS z, arg_max(v, lo) AS lv FROM b),
 t AS (SELECT lo, v, hi, hv FROM s WHERE hi IS NOT NULL UNION ALL SELECT z, lv, a + 360, fv FROM f UNION ALL SELECT z - 360, lv, a, fv FROM f)
-SELECT idx, round(v * (1 - (angle - lo) / (hi - lo)) + hv * ((angle - lo) / (hi - lo)), 6) AS blank FROM ang JOIN t ON angle >= lo AND angle < hi WHERE kind = '{SCAN}'""")
+SELECT idx, round(v * (1 - (angle - lo) / (hi - lo)) + hv * ((angle - lo) / (hi - lo)), 6) AS blank FROM c JOIN t ON angle >= lo AND angle < hi""")
 def q24_interp_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = angles(spark, sf_dir)
-    blanks = a.where((F.col("kind") == BLANK) & (F.col("angle") % 5 == 0)).select("angle", F.col("i0").alias("value"))
-    return rounded(lookup.interpolate_circular(a.where(F.col("kind") == SCAN), blanks).select("idx", "blank"), 6, "blank")
+    blanks = a.where(F.col("kind") == BLANK).select("angle", F.col("i0").alias("value"))
+    views = a.where(F.col("kind") == SCAN).select("idx", (F.col("angle") + 0.4).alias("angle"))
+    return rounded(lookup.interpolate_circular(views, blanks).select("idx", "blank"), 6, "blank")
 
 
 def near_sql(extra: str = "") -> str:
-    return f"""WITH {ANG_SQL}, t AS (SELECT idx AS t_idx, angle + 0.25 AS t_angle FROM ang WHERE kind = '{SCAN}'),
-s AS (SELECT min(idx) AS s_idx, angle AS s_angle FROM ang WHERE kind = '{BLANK}' AND angle % 7 = 0 GROUP BY 2),
+    return f"""WITH {ANG_SQL}, t AS (SELECT idx AS t_idx, angle + idx % 4 * 0.25e0 AS t_angle FROM ang WHERE kind = '{SCAN}'),
+s AS (SELECT min(idx) AS s_idx, angle AS s_angle FROM ang WHERE kind = '{BLANK}' GROUP BY 2),
 a AS (SELECT DISTINCT t_angle FROM t),
 r AS (SELECT t_angle, s_idx, s_angle, abs(t_angle - s_angle) AS delta, row_number() OVER (PARTITION BY t_angle ORDER BY abs(t_angle - s_angle), s_idx) AS k FROM a, s)
 SELECT t_idx, t_angle, s_idx, s_angle, delta FROM t JOIN r USING (t_angle) WHERE k = 1 {extra}"""
@@ -242,8 +243,8 @@ SELECT t_idx, t_angle, s_idx, s_angle, delta FROM t JOIN r USING (t_angle) WHERE
 
 def near(spark: SparkSession, sf_dir: str, tolerance: float | None) -> DataFrame:
     a = angles(spark, sf_dir)
-    sources = a.where((F.col("kind") == BLANK) & (F.col("angle") % 7 == 0)).select("idx", "angle")
-    return lookup.nearest(a.where(F.col("kind") == SCAN).select("idx", (F.col("angle") + 0.25).alias("angle")), sources, tolerance)
+    sources = a.where(F.col("kind") == BLANK).select("idx", "angle")
+    return lookup.nearest(a.where(F.col("kind") == SCAN).select("idx", (F.col("angle") + F.col("idx") % 4 * 0.25).alias("angle")), sources, tolerance)
 
 
 @query(near_sql())
@@ -251,9 +252,9 @@ def q25_nearest_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(spark, sf_dir, None)
 
 
-@query(near_sql("AND delta <= 2"))
+@query(near_sql("AND delta <= 0.3"))
 def q26_nearest_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near(spark, sf_dir, 2.0)
+    return near(spark, sf_dir, 0.3)
 
 
 @query("""WITH RECURSIVE v AS (SELECT scan_id, CAST(k AS BIGINT) AS idx, (k * k * 7 % 360) / 10.0 AS angle FROM (SELECT DISTINCT scan_id FROM scan WHERE scan_id IS NOT NULL), range(60) t(k)),
@@ -423,11 +424,6 @@ def q51_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("least", "most", F.round("mean", 6).alias("mean"), F.round("deviation", 3).alias("deviation"))
 
 
-@query(f"WITH {ANG_SQL} SELECT idx, angle, row_number() OVER (ORDER BY (angle % 180 + 180) % 180, idx) AS place FROM ang WHERE idx < 300")
+@query(f"WITH {ANG_SQL} SELECT idx, angle, row_number() OVER (ORDER BY (angle % 180 + 180) % 180, idx) AS place FROM ang")
 def q52_sort_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    a = acquisition.sampled(angles(spark, sf_dir), "continuous", 300)
-    return a.select("idx", "angle", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.pmod("angle", F.lit(180.0)), "idx")).cast("bigint").alias("place"))
-
-
+    return acquisition.sorted_modulo(angles(spark, sf_dir).select("idx", "angle"), 180.0)
