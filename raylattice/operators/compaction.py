@@ -28,6 +28,11 @@ WHOLE = re.compile(r"[+-]?\d+(?:\.0*)?$")
 RECORD_BYTES = 48
 
 
+def refused(name: str) -> float:
+    """For NaN and infinities, which JSON has no numbers for."""
+    raise ValueError(name)
+
+
 def whole(x: object) -> int | None:
     """``x`` as a whole number, or None."""
     if isinstance(x, bool) or x is None:
@@ -86,16 +91,16 @@ def records(raw: bytes | None) -> list[tuple]:
     found: list = []
     if text[0] == "[":
         try:
-            found = json.loads(text)
+            found = json.loads(text, parse_constant=refused)
         except (ValueError, RecursionError):
             return []
     elif text[0] == "{":
         try:
-            found = [json.loads(text)]
+            found = [json.loads(text, parse_constant=refused)]
         except (ValueError, RecursionError):
             for line in text.splitlines():
                 try:
-                    found.append(json.loads(line))
+                    found.append(json.loads(line, parse_constant=refused))
                 except (ValueError, RecursionError):
                     continue
     else:

@@ -23,10 +23,23 @@ WHOLE_BYTES = 128 << 20
 FIELD = "k int, data array<double>"
 
 
+#: Partial arrays added up in one task; more of them are added in two rounds.
+PARTS_AT_ONCE = 64
+
+
 def summed(parts: DataFrame) -> DataFrame:
-    """(k, data) with the arrays of equal k added up; there are no more of them than tasks that made them."""
-    lists = F.collect_list("data")
-    return parts.groupBy("k").agg(lists.alias("l")).select("k", F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.col("l")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("data"))
+    """(k, data) with the arrays of equal k added up. There are no more of them than tasks that made them; on a
+    large cluster they are added in groups of ``PARTS_AT_ONCE`` first, so that no task holds them all."""
+
+    def added(df: DataFrame, *keys: str) -> DataFrame:
+        rest = F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))
+        total = F.aggregate(rest, F.col("l")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        return df.groupBy(*keys).agg(F.collect_list("data").alias("l")).select(*keys, total.alias("data"))
+
+    groups = parts.sparkSession.sparkContext.defaultParallelism // PARTS_AT_ONCE
+    if groups > 1:
+        parts = added(parts.withColumn("group_", F.pmod(F.spark_partition_id(), F.lit(groups))), "k", "group_")
+    return added(parts, "k")
 
 
 def as_table(k: list[int], rows: np.ndarray) -> pa.RecordBatch:

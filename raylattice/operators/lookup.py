@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +69,26 @@ def nearest(targets: DataFrame, sources: DataFrame, tolerance: float | None = No
 
 def spaced_views(views: DataFrame, threshold: float, by: str = "scan_id") -> DataFrame:
     """The views of each scan, in order of ``idx``, whose angle differs from the last kept one by more than
-    ``threshold``; the first is kept. A fold over one scan's views, which its acquisition bounds."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "angle")))
-    start = F.struct(F.array().cast("array<struct<idx:bigint,angle:double>>").alias("kept"), F.lit(None).cast("double").alias("last"))
-
-    def fold(acc: Column, v: Column) -> Column:
-        keep = acc["last"].isNull() | (F.abs(v["angle"] - acc["last"]) > threshold)
-        return F.struct(F.when(keep, F.concat(acc["kept"], F.array(v))).otherwise(acc["kept"]).alias("kept"), F.when(keep, v["angle"]).otherwise(acc["last"]).alias("last"))
+    ``threshold``; the first is kept. Null and NaN angles are left out.
 
-    rows = views.select(by, F.col("idx").cast("bigint").alias("idx"), F.col("angle").cast("double").alias("angle"))
-    return rows.groupBy(by).agg(F.aggregate(ordered, start, fold, lambda a: a["kept"]).alias("k_")).select(by, F.inline("k_"))
+    Each view depends on those before, so a scan stays in one partition; it is sorted there (spilling if need be) and
+    streamed past one remembered angle, whatever its length.
+    """
+    kind = f"{by} bigint, idx bigint, angle double"
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, last = None, 0.0
+        for b in batches:
+            kept = []
+            for i, (s, a) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if s != scan or abs(a - last) > threshold:
+                    scan, last = s, a
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    rows = views.select(F.col(by).cast("bigint").alias(by), F.col("idx").cast("bigint").alias("idx"), F.col("angle").cast("double").alias("angle"))
+    rows = rows.where(F.col(by).isNotNull() & F.col("angle").isNotNull() & ~F.isnan("angle"))
+    return rows.repartition(by).sortWithinPartitions(by, "idx", "angle").mapInArrow(keep, kind)
 
 
 def classes(values: DataFrame, bounds: list[float], column: str = "value") -> DataFrame:

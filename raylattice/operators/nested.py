@@ -27,6 +27,11 @@ HAS = "#value"
 DEEPEST = 200
 
 
+def refused(name: str) -> float:
+    """For NaN and infinities, which JSON has no numbers for."""
+    raise ValueError(name)
+
+
 def local(name: str) -> str:
     return name.rpartition(" ")[2].rpartition(":")[2]
 
@@ -90,7 +95,7 @@ def tree(body: str | None) -> dict | None:
     if text[:1] not in ("{", "["):
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=refused)
     except (ValueError, RecursionError):
         return None
     if isinstance(value, dict):
