@@ -32,8 +32,10 @@ LABELLED_DOCS = 20_000
 LEAST_TEXTS, RANK, ROUNDS, NEAR = 2, 64, 3, 0.6
 #: Least strength of a sentence's strongest term for it to treat a subject at all.
 MASS = 0.4
-#: Centroids of a subject, since its languages and parts lie apart.
-PARTS = 12
+#: Centroids of a subject, since its languages and parts lie apart: more for more labelled texts.
+LEAST_PARTS, MOST_PARTS, TEXTS_A_PART = 12, 40, 250
+#: Least share of the sentences nearest to a centroid whose texts have its subject's label.
+PURITY = 0.6
 SMOOTH = 2.0
 TAG = re.compile(r"<[^<>]{0,200}>")
 END = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+|\n\s*\n")
@@ -75,7 +77,7 @@ def sentences(text: str | None) -> list[dict]:
 
 @dataclass
 class Model:
-    """``vocabulary`` numbers the terms; ``embedding`` holds a weighted row per term; ``centroids`` ``PARTS``
+    """``vocabulary`` numbers the terms; ``embedding`` holds a weighted row per term; ``centroids`` equally many
     unit rows per subject; ``odds`` the log-odds of each term in sentences of a subject against sentences of none."""
 
     subjects: list[int]
@@ -96,11 +98,11 @@ class Model:
         size = float(np.linalg.norm(v))
         if size < 1e-6:
             return []
-        near = np.flatnonzero((self.centroids @ v).reshape(-1, PARTS).max(1) >= NEAR * size)
+        near = np.flatnonzero((self.centroids @ v).reshape(len(self.subjects), -1).max(1) >= NEAR * size)
         if not len(near):
             return []
         likely = self.odds[np.ix_(at, near)].sum(0) + self.prior[near]
-        return [self.subjects[k] for k, o in zip(near, likely, strict=True) if o > 0]
+        return [self.subjects[k] for k, o in zip(near, likely, strict=True) if o > 0 and o >= likely.max() / 2]
 
     def of_text(self, text: str | None) -> set[int]:
         return {s for found in sentences(text) for s in self.of_sentence(found)}
@@ -188,9 +190,9 @@ def centres(unit: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return out
 
 
-def nearest(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+def nearest(unit: np.ndarray, centroids: np.ndarray, subjects: int) -> np.ndarray:
     """The cosine of each row with the nearest centroid of each subject."""
-    return np.concatenate([(u @ centroids.T).reshape(len(u), -1, PARTS).max(2) for u in np.array_split(unit, 1 + len(unit) // 20_000)])
+    return np.concatenate([(u @ centroids.T).reshape(len(u), subjects, -1).max(2) for u in np.array_split(unit, 1 + len(unit) // 20_000)])
 
 
 def vocabulary_of(texts: Iterable[str | None]) -> dict[str, float]:
@@ -203,6 +205,19 @@ def vocabulary_of(texts: Iterable[str | None]) -> dict[str, float]:
     return {x: k / n for x, k in held.items() if k >= LEAST_TEXTS}
 
 
+def pure(unit: np.ndarray, allowed: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Whether, of the sentences nearest to each centroid, ``PURITY`` are of texts with its subject's label;
+    one sentence alone proves nothing."""
+    hits, right = np.zeros(len(centroids)), np.zeros(len(centroids))
+    for a in range(0, len(unit), 20_000):
+        near = unit[a : a + 20_000] @ centroids.T
+        mine = near.argmax(1)
+        close = np.flatnonzero(near[np.arange(len(near)), mine] >= NEAR)
+        np.add.at(hits, mine[close], 1)
+        np.add.at(right, mine[close], allowed[a + close, mine[close] * allowed.shape[1] // len(centroids)])
+    return (right >= PURITY * (hits + 1)).astype(np.float32)
+
+
 def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share: dict[str, float]) -> Model:
     """A model from texts with their labels; ``share`` has the terms to use and the share of all texts that hold
     them."""
@@ -232,13 +247,16 @@ def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share
         allowed[d, m] = 1
     allowed[:, -1] = 1
     texts_n = len(whole)
+    parts = min(max(LEAST_PARTS, texts_n // TEXTS_A_PART), MOST_PARTS)
     del whole
     # The first shares: texts with the term that have the label.
     base = allowed[:, :-1].mean(0)
     n = of_text.transposed_times(np.ones((texts_n, 1), np.float32))
     share_of = (of_text.transposed_times(allowed[:, :-1]) + SMOOTH * base) / (n + SMOOTH)
+    lift = np.zeros_like(share_of)
     for step in range(ROUNDS):
-        lift = np.clip((share_of - base) / (1 - base), 0, 1)
+        # What a term tells by texts is never given up, else a sentence missed once would stay missed.
+        lift = np.maximum(lift, np.clip((share_of - base) / (1 - base), 0, 1))
         weight = idf * lift.max(1) ** 2
         q = decomposed(of_text, weight, RANK)
         embedding = (q * weight[:, None]).astype(np.float32)
@@ -250,13 +268,14 @@ def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share
         mass = of_line.most((lift.max(1) ** 2).astype(np.float32))
         for inner in range(3):
             if inner:
-                vote = nearest(unit, model.centroids)
+                vote = nearest(unit, model.centroids, len(subjects))
             mine = np.where(allowed[owner_, :-1] > 0, vote, -1.0)
             best = mine.argmax(1)
             sure = (length > 1e-6) & (best == vote.argmax(1)) & (mass >= MASS) & (mine.max(1) > (NEAR if inner else 0))
-            model.centroids = np.concatenate([centres(unit[sure & (best == k)], PARTS) for k in range(len(subjects))])
+            model.centroids = np.concatenate([centres(unit[sure & (best == k)], parts) for k in range(len(subjects))])
+            model.centroids *= pure(unit[mass >= MASS], allowed[owner_[mass >= MASS], :-1], model.centroids)[:, None]
         # Shares by sentence: those near a centroid that their labels allow against all others.
-        near = nearest(unit, model.centroids)
+        near = nearest(unit, model.centroids, len(subjects))
         belongs = np.zeros((len(lines), len(subjects) + 1), np.float32)
         take = (near >= NEAR) & (allowed[owner_, :-1] > 0) & ((length > 1e-6) & (mass >= MASS))[:, None]
         belongs[:, :-1] = take
@@ -265,7 +284,7 @@ def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share
         total = of_line.transposed_times(np.ones((len(lines), 1), np.float32))
         base = belongs[:, :-1].mean(0)
         share_of = (counts[:, :-1] + SMOOTH * base) / (total + SMOOTH)
-    model.strength = (np.clip((share_of - base) / (1 - base), 0, 1).max(1) ** 2).astype(np.float32)
+    model.strength = (lift.max(1) ** 2).astype(np.float32)
     sizes = belongs.sum(0)
     p = (counts + 0.1) / (sizes + 0.2)
     model.odds = np.log(p[:, :-1] / p[:, -1:]).astype(np.float32)
