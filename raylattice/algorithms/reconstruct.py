@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -54,11 +55,41 @@ def blocks(a: Projector, size: int, order: str = "ordered", seed: int = 0) -> li
     return [out[i] for i in rng.permutation(len(out))] if order == "random" else out
 
 
-def fdk(b: Field, a: Projector, name: str = "ram_lak") -> Field:
-    """Weighted, filtered and backprojected views of a cone beam."""
+def fdk(b: Field, a: Projector, name: str = "ram_lak", parker: bool = False, offset: bool = True) -> Field:
+    """Weighted, filtered and backprojected views of a cone beam. ``parker`` weighs a short scan's redundant rays,
+    ``offset`` those of a laterally displaced detector."""
     if a.g.mode != "cone":
         raise ValueError("this is for cone beams; use fbp")
-    return filtered_backprojection(b, a, name)
+    if parker:
+        b = short_scan_weighted(b, a)
+    return filtered_backprojection(b, a, name, offset)
+
+
+def short_scan_weighted(b: Field, a: Projector) -> Field:
+    """The views times their Parker weights; the scan starts at the smallest alpha."""
+    from pyspark.sql import functions as F
+
+    g, half = a.g, math.atan(a.g.n_detector[1] * a.g.d_detector[1] / 2 / a.g.dsd)
+    nu, du = g.n_detector[1], g.d_detector[1]
+    first, last = a.views.agg(F.min("alpha"), F.max("alpha")).first()
+    over = max(0.0, (last - first) - math.pi - 2 * half)
+    fan = F.atan((F.col("u") - (nu - 1) / 2) * du / g.dsd)
+    rows = a.views.select(F.col("proj_idx").cast("int").alias("k"), (F.col("alpha") - first).alias("beta"), F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("u"))
+    rows = rows.select("k", F.struct("u", filtering.parker_weight(F.col("beta"), fan, half, over).alias("w")).alias("uw"))
+    rows = rows.groupBy("k").agg(F.sort_array(F.collect_list("uw")).alias("uw")).select("k", F.flatten(F.array_repeat(F.col("uw.w"), g.n_detector[0])).alias("data"))
+    return b * Field(rows)
+
+
+def offset_weights(g: Geometry) -> np.ndarray:
+    """Weights along u of a displaced detector: 0 to 2 across the overlap about the axis; 1 without displacement."""
+    off = g.off_detector[1]
+    if not off:
+        return np.ones(g.n_detector[1])
+    scale = g.dso / g.dsd
+    t = ((np.arange(g.n_detector[1]) - (g.n_detector[1] - 1) / 2) * g.d_detector[1] + off) * scale
+    theta = max((g.s_detector[1] / 2 - abs(off)) * scale, 1e-9)
+    t = t if off > 0 else -t
+    return np.where(t < -theta, 0.0, np.where(t > theta, 2.0, np.sin(np.pi / 2 * np.arctan(t / g.dso) / math.atan(theta / g.dso)) + 1))
 
 
 def fbp(b: Field, a: Projector, name: str = "ram_lak") -> Field:
@@ -67,7 +98,7 @@ def fbp(b: Field, a: Projector, name: str = "ram_lak") -> Field:
     return filtered_backprojection(b, a, name) * (a.g.dso / a.g.dsd)
 
 
-def filtered_backprojection(b: Field, a: Projector, name: str) -> Field:
+def filtered_backprojection(b: Field, a: Projector, name: str, offset: bool = True) -> Field:
     from pyspark.sql import functions as F
 
     g = a.g
@@ -77,6 +108,7 @@ def filtered_backprojection(b: Field, a: Projector, name: str) -> Field:
         v = (np.arange(nv) - (nv - 1) / 2) * dv + g.off_detector[0]
         u = (np.arange(nu) - (nu - 1) / 2) * du + g.off_detector[1]
         weight = g.dsd / np.sqrt(g.dsd**2 + u**2 + v[:, None] ** 2)
+        weight = weight * offset_weights(g) if offset else weight
     rows = filtering.filtered(b.df.withColumnRenamed("k", "proj_idx"), nv, nu, du, len(ids(a)), g.dsd, g.dso, name, weight)
     return a.adjoint(Field(rows.select(F.col("proj_idx").cast("int").alias("k"), "data")), "fdk").done()
 

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VIEW = "proj_idx bigint, alpha double, theta double, psi double, dso double, dsd double, off_z double, off_y double, off_x double, off_v double, off_u double, yaw double, pitch double, roll double, cor double"
@@ -91,24 +91,26 @@ def views(spark: SparkSession, g: Geometry, angles: list, **varying: list) -> Da
     return spark.createDataFrame(rows, VIEW)
 
 
-def static_detector(views: DataFrame, geometry: Geometry, fixed_rotation: float = 0.0) -> DataFrame:
-    """Tomosynthesis: the tube swings by alpha while the detector stays. The detector is moved and turned back
-    against the view's rotation."""
-    a = F.col("alpha")
+def resting_detector(views: DataFrame, geometry: Geometry, alpha: Column, dso: Column) -> DataFrame:
+    """``views`` turned by ``alpha`` with the source ``dso`` from the axis, while the detector stays where it is at
+    alpha 0: in the view's frame it is moved and turned back."""
     reach = geometry.dsd - geometry.dso
+    views = views.withColumns({"a_": alpha, "s_": dso})
     return views.withColumns({
-        "dsd": geometry.dso + reach * F.cos(a),
-        "off_u": F.col("off_u") + reach * F.sin(a),
-        "roll": F.col("roll"),
-        "yaw": F.col("yaw") + 0.0,
-        "pitch": F.col("pitch") + fixed_rotation,
-    })
-
-
-def linear_source(views: DataFrame, geometry: Geometry, positions: str = "s_pos") -> DataFrame:
-    """A source moving along a line parallel to a resting detector: column ``positions`` gives its place in mm."""
-    s = F.col(positions)
-    return views.withColumns({"alpha": F.atan2(s, F.lit(geometry.dso)), "dso": F.sqrt(s * s + geometry.dso**2), "dsd": F.sqrt(s * s + geometry.dso**2) + (geometry.dsd - geometry.dso)}).drop(positions)
+        "alpha": F.col("a_"), "dso": F.col("s_"), "dsd": F.col("s_") + reach * F.cos("a_"),
+        "off_u": F.col("off_u") + reach * F.sin("a_"), "yaw": F.col("yaw") - F.col("a_"),
+    }).drop("a_", "s_")
+
+
+def static_detector(views: DataFrame, geometry: Geometry) -> DataFrame:
+    """Tomosynthesis: the tube swings by alpha about the axis, the detector rests."""
+    return resting_detector(views, geometry, F.col("alpha"), F.col("dso"))
+
+
+def linear_source(views: DataFrame, geometry: Geometry, position: str = "s_pos") -> DataFrame:
+    """A source moving along a line parallel to a resting detector: column ``position`` gives its place in mm."""
+    s = F.col(position)
+    return resting_detector(views, geometry, F.atan2(s, F.lit(geometry.dso)), F.sqrt(s * s + geometry.dso**2)).drop(position)
 
 
 def rotation(axis: str, angle: float) -> np.ndarray:

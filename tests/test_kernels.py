@@ -167,6 +167,33 @@ def test_geometry_checks(spark):
     assert G.trajectory_centre(lines) == pytest.approx([1.0, 2.0, 3.0])
 
 
+def test_redundancy_weights(spark):
+    g = G.Geometry((2, 8, 8), (4.0, 16.0, 16.0), (1, 12), (2.0, 2.0), 300.0, 450.0, off_detector=(0.0, 5.0))
+    w = R.offset_weights(g)
+    u = (np.arange(12) - 5.5) * 2 + 5
+    for i, x in enumerate(u):
+        if np.isclose(u, -x).any() and abs(x) < 7:
+            assert w[i] + w[np.flatnonzero(np.isclose(u, -x))[0]] == pytest.approx(2.0)
+    assert w[-1] == 2.0
+    short = list(np.linspace(0, math.pi + 2 * math.atan(12 / 450), 40))
+    plain = G.Geometry((2, 8, 8), (4.0, 16.0, 16.0), (1, 12), (2.0, 2.0), 300.0, 450.0)
+    a = Projector(plain, G.views(spark, plain, short))
+    ones = R.short_scan_weighted(a.ones(False), a).array()
+    assert ones.shape == (40, 12) and ones.min() > -1e-9 and ones.max() < 1 + 1e-9 and ones[20].min() > 0.99 and ones[0].max() < 0.01
+    full = R.fdk(a.forward(a.ones(True)).done(), a, parker=True).array()
+    assert np.isfinite(full).all()
+
+
+def test_a_resting_detector_stays_where_it_is(spark):
+    rest = G.rays(CONE, view(CONE))[1]
+    swung = G.static_detector(G.views(spark, CONE, [0.4, -0.7]), CONE).collect()
+    moved = G.linear_source(G.views(spark, CONE, [0.0, 0.0]).selectExpr("*", "double(proj_idx * 50 - 20) as s_pos"), CONE).collect()
+    for r in swung + moved:
+        assert G.rays(CONE, r.asDict())[1] == pytest.approx(rest, abs=1e-9)
+    assert G.rays(CONE, swung[0].asDict())[0][0] == pytest.approx([300 * math.cos(0.4), 300 * math.sin(0.4), 0])
+    assert sorted(G.rays(CONE, r.asDict())[0][0][1] for r in moved) == pytest.approx([-20, 30])
+
+
 def test_filters_and_corrections(spark):
     flat = np.ones((1, 2, 64))
     assert np.abs(filtering.filter_rows(flat, "ram_lak", 1.0)[..., 24:40]).max() < 0.05
