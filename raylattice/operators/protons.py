@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raylattice.session import materialise, spread
+
 PART = "pixel bigint, w double, wv double, rejected bigint"
 NEEDED = ("px_in", "py_in", "px_out", "py_out", "dx_in", "dy_in", "dx_out", "dy_out", "wepl")
 
@@ -59,17 +61,22 @@ def project(protons: DataFrame, shape: tuple[int, int], pitch: tuple[float, floa
                 col, row = np.floor(x / pitch[1] + nx / 2).astype(int), np.floor(y / pitch[0] + ny / 2).astype(int)
                 inside = (col >= 0) & (col < nx) & (row >= 0) & (row < ny)
                 rejected += int((~inside.any(1)).sum())
-                proton = np.broadcast_to(np.arange(len(q2))[:, None], x.shape)[inside]
-                key = proton * (ny * nx) + (row * nx + col)[inside]
-                key, at = np.unique(key, return_inverse=True)
-                share = np.bincount(at, length[inside]) / length.sum(1)[key // (ny * nx)]
+                # A path stays in a pixel for many samples: runs are added up first, then what a pixel got of a path.
+                proton = np.arange(len(q2))[:, None] * (ny * nx)
+                key = np.where(inside, proton + row * nx + col, -1).ravel()
+                first_of = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, int)
+                runs = np.add.reduceat(length.ravel(), first_of) if len(key) else np.zeros(0)
+                kept = key[first_of] >= 0
+                key, at = np.unique(key[first_of][kept], return_inverse=True)
+                share = np.bincount(at, runs[kept], len(key)) / length.sum(1)[key // (ny * nx)]
                 w += np.bincount(key % (ny * nx), share**2, ny * nx)
                 wv += np.bincount(key % (ny * nx), share**2 * d["wepl"][key // (ny * nx)], ny * nx)
         there = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(w[there]), pa.array(wv[there]), pa.array(np.zeros(len(there), np.int64))], names=["pixel", "w", "wv", "rejected"])
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([0.0]), pa.array([rejected])], names=["pixel", "w", "wv", "rejected"])
 
-    parts = protons.select(*NEEDED).mapInArrow(run, PART)
-    pixels = parts.groupBy("pixel").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.sum("rejected").alias("rejected"))
-    left_out = parts.agg(F.sum("rejected").alias("r"))
+    parts = spread(protons.select(*NEEDED)).mapInArrow(run, PART)
+    # One row per pixel: kept, so that the tracks are read once for the image and the rejected ones.
+    pixels = materialise(parts.groupBy("pixel").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.sum("rejected").alias("rejected")))
+    left_out = pixels.agg(F.sum("rejected").alias("r"))
     return pixels.where("pixel >= 0").select("pixel", (F.col("wv") / F.col("w")).alias("value"), left_out.scalar().alias("rejected"))
