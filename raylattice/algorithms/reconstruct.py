@@ -421,40 +421,108 @@ def ba_gmres(b: Field, a: Projector, iterations: int, back: str | None = None) -
     return gmres(b, a, iterations, "BA", back)
 
 
+def inner_lsqr(apply: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], np.ndarray], b: np.ndarray, steps: int = 50, tol: float = 1e-6) -> np.ndarray:
+    """The least-squares solution of smallest norm by LSQR on arrays; ``back`` is the transpose of ``apply``. Ends after
+    ``steps`` or once |r| / |b| or |A'r| / (|A| |r|) is at most ``tol``."""
+    beta = start = np.linalg.norm(b)
+    x = np.zeros_like(back(b))
+    if not beta:
+        return x
+    u = b / beta
+    v = back(u)
+    alpha = np.linalg.norm(v)
+    if not alpha:
+        return x
+    v = v / alpha
+    w, phi, rho_, size2 = v, beta, alpha, 0.0
+    for _ in range(steps):
+        u = apply(v) - alpha * u
+        beta = np.linalg.norm(u)
+        u = u / beta if beta else u
+        size2 += alpha**2 + beta**2
+        next_v = back(u) - beta * v
+        after = np.linalg.norm(next_v)
+        rho = math.hypot(rho_, beta)
+        c, s = rho_ / rho, beta / rho
+        x = x + c * phi / rho * w
+        phi, rho_ = s * phi, -c * after
+        if not beta or not after or phi <= tol * start or after * abs(c) <= tol * math.sqrt(size2):
+            break
+        v, alpha = next_v / after, after
+        w = v - s * after / rho * w
+    return x
+
+
+def differences(v: np.ndarray) -> np.ndarray:
+    """Forward differences along each axis, stacked; the last one of an axis is 0."""
+    return np.stack([np.diff(v, axis=k, append=np.take(v, [-1], axis=k)) for k in range(v.ndim)])
+
+
+def differences_back(d: np.ndarray) -> np.ndarray:
+    """The transpose of ``differences``."""
+    total = np.zeros(d.shape[1:])
+    for k, x in enumerate(d):
+        x = x.copy()
+        x[tuple(slice(-1, None) if i == k else slice(None) for i in range(x.ndim))] = 0
+        total -= np.diff(x, axis=k, prepend=0)
+    return total
+
+
 def hybrid_flsqr_tv(b: Field, a: Projector, iterations: int, damping: float = 1.0) -> Result:
-    """Flexible LSQR: each new direction is smoothed by the total variation weights of the volume so far; Tikhonov on
-    the projected problem. Small volumes only: the weighting runs in one task."""
+    """Flexible LSQR with total variation: with L = W D, forward differences weighted by (|grad x|² + 1e-6)^(-1/4) of the
+    volume so far (1 at first), each direction goes through the pseudo-inverses of L' and L, an LSQR of 50 steps each.
+    Constants, which L doesn't see, are split off and fitted exactly. The projected problem is damped by L on the basis.
+    Small volumes only: the weighting runs in one task."""
     g = a.g.n_voxel
-    beta = b.norm()
-    us, zs, vs = [(b * (1 / max(beta, 1e-300))).done()], [], []
-    m, t = np.zeros((iterations + 1, iterations)), 0
-    x = zeros(a)
+    ones = a.ones(True).done()
+    seen = a.forward(ones).done()
+    size2 = max(seen.dot(seen), 1e-300)
+    constant = (ones * (seen.dot(b) / size2)).done()
+    share = (a.adjoint(seen) * (1 / size2)).done()  # share'x is the constant whose images are closest to those of x
+    u = b.plus(-seen.dot(b) / size2, seen).done()
+    beta = u.norm()
+    x, history = constant, [beta]
+    if beta <= 1e-12 * max(b.norm(), 1e-300):
+        return Result(x, history)
+    us, zs, vs, history = [(u * (1 / beta)).done()], [], [], []
+    m = np.zeros((iterations + 1, iterations))
     for k in range(iterations):
-        v = a.adjoint(us[k]).done()
-        v = orthogonal(v, vs)
+        v = orthogonal(a.adjoint(us[k]).done(), vs)
         size = v.norm()
         if size < 1e-12:
             break
         vs.append((v * (1 / size)).done())
 
-        def smooth(d: np.ndarray, at: np.ndarray) -> np.ndarray:
-            w = (sum(np.diff(at, axis=i, append=np.take(at, [-1], axis=i)) ** 2 for i in range(3)) + 1e-6) ** 0.25
-            return d * w / w.mean()
+        def weight(at: np.ndarray, first: bool = not k) -> np.ndarray:
+            return np.ones(g) if first else ((differences(at) ** 2).sum(0) + 1e-6) ** -0.25
 
-        zs.append(regular.whole(vs[-1], g, smooth, x).done())
+        def smooth(d: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+            w = weight(at)
+            apply, back = lambda y: w * differences(y), lambda y: differences_back(w * y)
+            z = inner_lsqr(apply, back, inner_lsqr(back, apply, d - part * d.sum()))
+            return z - (part * z).sum()
+
+        def factor(at: np.ndarray, *basis: np.ndarray) -> np.ndarray:
+            w, t = weight(at), len(basis)
+            r = np.linalg.qr(np.stack([(w * differences(z)).ravel() for z in basis], 1), mode="r")
+            return np.pad(r.ravel(), (0, -(t * t) % g[0]))
+
+        zs.append(regular.whole(vs[-1], g, smooth, x, share).done())
         u = a.forward(zs[-1]).done()
         for j, q in enumerate(us):
             m[j, k] = u.dot(q)
             u = u.plus(-m[j, k], q).done()
         m[k + 1, k] = u.norm()
         t = k + 1
-        part = m[: k + 2, :t]
-        y = np.linalg.solve(part.T @ part + damping**2 * np.eye(t), part[0] * beta)
-        x = combination(y, zs)
+        r = regular.whole(x, g, factor, *zs).array().ravel()[: t * t].reshape(t, t)
+        rhs = np.eye(2 * t + 1, 1)[:, 0] * beta
+        y = np.linalg.lstsq(np.vstack([m[: t + 1, :t], damping * r]), rhs, rcond=None)[0]
+        x = (constant + combination(y, zs)).done()
+        history.append(float(np.linalg.norm(rhs[: t + 1] - m[: t + 1, :t] @ y)))
         if m[k + 1, k] < 1e-10:
             break
         us.append((u * (1 / m[k + 1, k])).done())
-    return Result(x, [(b - a.forward(x)).norm()])
+    return Result(x, history or [beta])
 
 
 def fista(b: Field, a: Projector, iterations: int, hyper: float = 2e8, tv_weight: float = 0.1, tv_steps: int = 20, p: float = 1.0, q: float = 1.0, fast: bool = True) -> Result:
