@@ -4,6 +4,7 @@ decoded, each file in the task that reads it."""
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,16 +57,43 @@ def logged(images: DataFrame, white: float) -> DataFrame:
     return images.withColumn("data", F.transform("data", lambda x: -F.log(F.greatest(x, F.lit(1.0)) / white)))
 
 
+def recorded_angles(spark: SparkSession, folder: str) -> dict[int, float]:
+    """Radians by view from 0, as a Nikon scanner recorded them: lines with the view's number from 1 and degrees, after
+    one heading in .ang files and three in _ctdata.txt files, whose sense is the opposite. Empty without such a file."""
+    for glob, headings, sign in (("*.ang", 1, 1.0), ("*_ctdata.txt", 3, -1.0)):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("content").limit(2).collect()
+        if len(files) > 1:
+            raise FileNotFoundError(f"{folder}/{glob} names several files")
+        if files:
+            lines = bytes(files[0]["content"]).decode("utf-8-sig", "replace").splitlines()[headings:]
+            rows = [re.split(r"[:\s]+", line.strip()) for line in lines if line.strip()]
+            try:
+                out = {int(r[0]) - 1: sign * math.radians(float(r[1])) for r in rows}
+            except (ValueError, IndexError) as e:
+                raise ValueError(f"{folder}/{glob}: {e}") from e
+            if not out:
+                raise ValueError(f"{folder}/{glob} has no angles")
+            return out
+    return {}
+
+
 def nikon(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tuple[DataFrame, Geometry, DataFrame]:
-    """(projections, geometry, angles) of an .xtekct folder with TIFF frames and an optional .ang or _ctdata file."""
+    """(projections, geometry, angles) of an .xtekct folder with TIFF frames. Angles come from an .ang or else a
+    _ctdata.txt file if there is one, otherwise from the header's first angle and step."""
     h = next(v for k, v in formats.ini(text_of(spark, f"{folder}/*.xtekct")).items() if k.lower() == "xtekct")
     f = lambda k: float(h[k])
     g = Geometry(
         (int(f("voxelsz")), int(f("voxelsy")), int(f("voxelsx"))), tuple(f(f"voxels{a}") * f(f"voxelsize{a}") for a in "zyx"),
         (int(f("detectorpixelsy")), int(f("detectorpixelsx"))), (f("detectorpixelsizey"), f("detectorpixelsizex")), f("srctoobject"), f("srctodetector"),
     )
-    total, step, first = int(f("projections")), f("angularstep"), float(h.get("initialangle", 0) or 0)
-    angles = spark.range(total).select(F.col("id").alias("idx"), (-F.radians(F.lit(first) + F.col("id") * step)).alias("angle"))
+    total, recorded = int(f("projections")), recorded_angles(spark, folder)
+    if recorded:
+        if lost := [i for i in range(total) if i not in recorded]:
+            raise ValueError(f"{folder}: no recorded angle of {len(lost)} of {total} views, first {lost[0]}")
+        angles = spark.createDataFrame([(i, recorded[i]) for i in range(total)], "idx bigint, angle double")
+    else:
+        step, first = f("angularstep"), float(h.get("initialangle", 0) or 0)
+        angles = spark.range(total).select(F.col("id").alias("idx"), (-F.radians(F.lit(first) + F.col("id") * step)).alias("angle"))
     return logged(frames(spark, folder, "*.tif*", formats.tiff, how, n), float(h.get("whitelevel", 65535))), g, sampled(angles, how, n, total)
 
 

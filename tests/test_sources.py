@@ -69,6 +69,28 @@ def test_folders(spark, tmp_path):
         scanners.text_of(spark, f"{tmp_path}/*.tif")
 
 
+def test_nikon_angles_as_recorded(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.tif").write_bytes(formats.tiff_bytes(np.full((3, 4), 1000, "<u2")))
+    (tmp_path / "s.xtekct").write_text(
+        "[XTekCT]\nVoxelsX=4\nVoxelsY=4\nVoxelsZ=3\nVoxelSizeX=1\nVoxelSizeY=1\nVoxelSizeZ=1\nDetectorPixelsX=4\nDetectorPixelsY=3\nDetectorPixelSizeX=0.5\nDetectorPixelSizeY=0.5\nSrcToObject=100\nSrcToDetector=200\nProjections=3\nAngularStep=60\nInitialAngle=0\nWhiteLevel=2000\n"
+    )
+
+    def angles(*sampling):
+        return {r["idx"]: round(np.degrees(r["angle"]), 9) for r in scanners.nikon(spark, str(tmp_path), *sampling)[2].collect()}
+
+    assert angles() == {0: 0.0, 1: -60.0, 2: -120.0}
+    (tmp_path / "s_ctdata.txt").write_text("Projs\tFrames\n3\t1\nProjection\tAngle(deg)\tTime(s)\n1\t0.5\t1\n3\t100.25\t3\n2\t61\t2\n")
+    assert angles() == {0: -0.5, 1: -61.0, 2: -100.25} and angles("step", 2) == {0: -0.5, 2: -100.25}
+    ang = tmp_path / "s.ang"
+    for line in ("{}:\t{}\n", "{}\t{}\n", "{}: {}\n"):
+        ang.write_text("Proj\tAngle(deg)\n" + "".join(line.format(k + 1, a) for k, a in enumerate((1, 2.5, 7))))
+        assert angles() == {0: 1.0, 1: 2.5, 2: 7.0}
+    ang.write_text("Proj\tAngle(deg)\n1\t1\n2\t2\n")
+    with pytest.raises(ValueError):
+        angles()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from raylattice import geometry as G
     from raylattice.operators.fields import Field, Projector
