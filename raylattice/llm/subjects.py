@@ -89,7 +89,7 @@ class Model:
     strength: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def of_sentence(self, found: dict[str, tuple[str, str]]) -> list[int]:
-        """Subjects that a sentence treats."""
+        """Subjects that a sentence treats: those near to it whose log-odds are positive and at least half of the best."""
         of = self.vocabulary
         at = [of[x] for t, ends in found.items() for x in ((t,) if t in of else ends) if x in of]
         if not at or self.strength[at].max() < MASS:
@@ -178,8 +178,8 @@ def centres(unit: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     near = unit @ out[0]
     for j in range(1, min(k, len(unit))):
         # Of the rows far from all seeds, the one that most others of them lie near to.
-        far = np.flatnonzero(near <= np.quantile(near, 0.3))[:512]
-        out[j] = unit[far[(unit[far] @ unit[far].T).clip(0).sum(1).argmax()]]
+        far = unit[near <= np.quantile(near, 0.3)]
+        out[j] = far[np.concatenate([(far[a : a + 512] @ far.T).clip(0).sum(1) for a in range(0, len(far), 512)]).argmax()]
         near = np.maximum(near, unit @ out[j])
     for _ in range(rounds):
         mine = (unit @ out.T).argmax(1)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from raylattice.llm import subjects
@@ -52,3 +53,13 @@ def test_plain_undoes_markup_and_damage():
     assert subjects.plain("tr&egrave;s <br>bon") == "très  bon"
     assert subjects.plain("qualitÃ© grÃ¼n") == "qualité grün"
     assert set(subjects.terms("Ça va 5 pistes")) == {"ca", "va", "pistes", "ca va", "va pistes"}
+
+
+def test_seeds_come_from_all_far_rows():
+    rng = np.random.default_rng(2)
+    unit = np.zeros((2000, 64), np.float32)
+    unit[:1380, 0] = 1
+    unit[1380:1892, 2:] = rng.standard_normal((512, 62))
+    unit[1892:, 1] = 1
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert (subjects.centres(unit, 2) @ unit[-1]).max() > 0.9
