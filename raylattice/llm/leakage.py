@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raylattice.session import small_enough, spread
+from raylattice.session import materialise, small_enough, spread
 
 LEAST_WORDS, LEAST_RUN = 18, 12
 #: A pair is a seed if at most so many items share it.
 SEED_ITEMS = 3
+#: Where a run of ``LEAST_RUN`` words of an item has fewer seeds, its rarest pairs make up for them.
+RUN_SEEDS = 4
 #: A leading sentence that at least so many items share is an instruction.
 SHARED_BY = 5
 #: Words between two seeds of the same place in a text, and around the outermost ones that are aligned.
@@ -36,6 +38,7 @@ TAG = re.compile(r"<[^<>]{0,200}>")
 JOINERS = re.compile(r"['’`´‐‑-]")
 NUMBERING = re.compile(r"[(\[]?(?:\d{1,3}|[a-z]|[ivx]{1,4})[)\].:]+|[(\[]\d{1,3}[)\]]?|[#§]\d{1,3}|[-–—*•·>#|]+", re.IGNORECASE)
 ITEM_BYTES = 4096
+PAIR = pa.struct([("a", pa.string()), ("b", pa.string())])
 
 
 PLAIN = re.compile(r"[A-Za-z0-9 .,!?;:\n\r\t\"/$%]*")
@@ -158,27 +161,54 @@ def aligned(at: list[tuple[int, int]]) -> bool:
     return any(b[0] - a[0] <= DRIFT and a[1] != b[1] for a, b in zip(ends, ends[1:], strict=False))
 
 
+def head(passage: str) -> str:
+    """The leading sentence of a passage."""
+    m = re.match(r"\s*[^.!?:]*[.!?:]\s+", passage)
+    return m.group() if m else ""
+
+
+def body(passage: str, shared: bool) -> str:
+    """A passage without its leading sentence if that is ``shared``."""
+    return passage[len(head(passage)) :] if shared else passage
+
+
+def seeds_of(w: list[str], items_with: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
+    """The pairs of an item that lead to it, from the number of items with each: the rare ones and, where a run lacks
+    them, as in passages that many items share, the rarest."""
+    pairs = list(zip(w, w[1:], strict=False))
+    out = {g for g in pairs if items_with[g] <= SEED_ITEMS}
+    for a in range(len(pairs) - LEAST_RUN + 2):
+        run = set(pairs[a : a + LEAST_RUN - 1])
+        lack = RUN_SEEDS - len(run & out)
+        if lack > 0:
+            out.update(sorted(run - out, key=lambda g: (items_with[g], g))[:lack])
+    return out
+
+
 class Items:
     """Test items ready for the search: their words without shared instructions, and the seeds."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         rows = sorted({(i, p) for i, p in rows if i is not None and p})
-        heads = Counter(self.head(p) for _, p in rows)
+        heads = Counter(head(p) for _, p in rows)
+        bodies = [(i, words(body(p, heads[head(p)] >= SHARED_BY))[0]) for i, p in rows]
+        items_with = Counter(g for _, w in bodies for g in set(zip(w, w[1:], strict=False)))
+        self.fill([(i, w, seeds_of(w, items_with)) for i, w in bodies])
+
+    def fill(self, prepared: list[tuple[int, list[str], set[tuple[str, str]]]]) -> Items:
         self.words: dict[tuple[int, int], list[str]] = {}
-        for k, (i, p) in enumerate(rows):
-            head = self.head(p)
-            body = p[len(head) :] if head and heads[head] >= SHARED_BY else p
-            self.words[i, k] = words(body)[0]
-        places = defaultdict(list)
-        for key, w in self.words.items():
-            for i in range(len(w) - 1):
-                places[w[i], w[i + 1]].append((key, i))
-        self.seeds = {g: p for g, p in places.items() if len({k for k, _ in p}) <= SEED_ITEMS}
-
-    @staticmethod
-    def head(passage: str) -> str:
-        m = re.match(r"\s*[^.!?:]*[.!?:]\s+", passage)
-        return m.group() if m else ""
+        self.seeds = defaultdict(list)
+        for k, (i, w, seeds) in enumerate(prepared):
+            self.words[i, k] = w
+            for at, g in enumerate(zip(w, w[1:], strict=False)):
+                if g in seeds:
+                    self.seeds[g].append(((i, k), at))
+        self.seeds = dict(self.seeds)
+        return self
+
+    @classmethod
+    def of(cls, prepared: list[tuple[int, list[str], set[tuple[str, str]]]]) -> Items:
+        return cls([]).fill(prepared)
 
     def in_text(self, text: str | None) -> set[int]:
         """Ids of the items that ``text`` takes over."""
@@ -221,14 +251,48 @@ def leaks(docs: DataFrame, items: DataFrame, limit_bytes: int = 256 << 20) -> Da
     if small_enough(rows, ITEM_BYTES, limit_bytes):
         return search(texts, Items([tuple(r) for r in rows.collect()]))
     rounds = -(-rows.count() // most) * 2
-    part = F.pmod(F.xxhash64("eval_id"), F.lit(rounds))
-    found = [search(texts, Items([tuple(r) for r in rows.where(part == k).collect()])) for k in range(rounds)]
+    items_ready, part = materialise(prepared(rows)), F.pmod(F.xxhash64("eval_id"), F.lit(rounds))
+    found = [search(texts, Items.of([(i, w, {tuple(g) for g in seeds}) for i, w, seeds in items_ready.where(part == k).collect()])) for k in range(rounds)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
+def prepared(rows: DataFrame) -> DataFrame:
+    """(eval_id, words, seeds) as in ``Items``, with instructions and pairs counted over all items."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            passages = b.column("passage").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("eval_id"), pa.array(passages, pa.string()), pa.array([head(p) for p in passages], pa.string())], names=["eval_id", "passage", "head"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = [words(body(p, s))[0] for p, s in zip(b.column("passage").to_pylist(), b.column("shared").to_pylist(), strict=True)]
+            pairs = [sorted(set(zip(x, x[1:], strict=False))) for x in w]
+            yield pa.RecordBatch.from_arrays([
+                b.column("eval_id"), b.column("passage"), pa.array(w, pa.list_(pa.string())), pa.array([[{"a": a, "b": c} for a, c in p] for p in pairs], pa.list_(PAIR)),
+            ], names=["eval_id", "passage", "words", "pairs"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column("words").to_pylist()
+            counts = [{(c["pair"]["a"], c["pair"]["b"]): c["n"] for c in l} for l in b.column("counts").to_pylist()]
+            seeds = [[{"a": a, "b": c} for a, c in sorted(seeds_of(x, n))] for x, n in zip(w, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("eval_id"), pa.array(w, pa.list_(pa.string())), pa.array(seeds, pa.list_(PAIR))], names=["eval_id", "words", "seeds"])
+
+    one = rows.where("eval_id is not null and passage is not null and passage != ''").distinct()
+    one = materialise(one.mapInArrow(headed, "eval_id bigint, passage string, head string"))
+    shared = one.groupBy("head").agg((F.count(F.lit(1)) >= SHARED_BY).alias("shared"))
+    bodies = one.join(shared, "head").select("eval_id", "passage", "shared")
+    bodies = materialise(bodies.mapInArrow(cut, "eval_id bigint, passage string, words array<string>, pairs array<struct<a:string,b:string>>"))
+    each = bodies.select("eval_id", "passage", F.explode("pairs").alias("pair"))
+    counts = each.join(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pair")
+    counts = counts.groupBy("eval_id", "passage").agg(F.collect_list(F.struct("pair", "n")).alias("counts"))
+    return bodies.join(counts, ["eval_id", "passage"]).select("eval_id", "words", "counts").mapInArrow(chosen, "eval_id bigint, words array<string>, seeds array<struct<a:string,b:string>>")
+
+
 def search(texts: DataFrame, items: Items) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(items)
 

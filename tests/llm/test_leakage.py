@@ -76,3 +76,15 @@ def test_empty_tables_and_rounds(spark, monkeypatch):
     assert leakage.leaks(docs.limit(0), items(spark)).count() == 0
     assert leakage.leaks(docs, items(spark).limit(0)).count() == 0
     assert [tuple(r) for r in leakage.leaks(docs, items(spark), limit_bytes=leakage.ITEM_BYTES).collect()] == [(1, 1)]
+
+
+def test_rounds_and_shared_passages_find_the_same(spark):
+    rule = "Please read every line of the following passage with care and then choose the one statement that it clearly supports. "
+    body = "The copper lantern of Ostrava burned through nine winters while the harbour clerks counted barrels and argued about tolls on salt and rope"
+    rows = [(k, rule + " ".join(f"{w}{k}" for w in "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra".split()) + ".") for k in range(6)]
+    rows += [(10 + k, f"{body} question{k}?") for k in range(6)]
+    many = spark.createDataFrame(rows, "eval_id bigint, passage string")
+    docs = spark.createDataFrame([(1, rule), (2, rows[3][1]), (3, "So: " + body + " indeed.")], "doc_id bigint, text string")
+    whole = sorted(tuple(r) for r in leakage.leaks(docs, many).collect())
+    assert whole == [(2, 3), *[(3, 10 + k) for k in range(6)]]
+    assert sorted(tuple(r) for r in leakage.leaks(docs, many, limit_bytes=leakage.ITEM_BYTES * 4).collect()) == whole
