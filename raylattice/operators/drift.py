@@ -77,9 +77,14 @@ def path_values(headers: DataFrame) -> DataFrame:
     return pairs.select("header_id", "station_id", "written_at", "key", F.col("value").cast("string").alias("raw"), raw_type.alias("raw_type"))
 
 
+def file_statistics(paths: DataFrame) -> DataFrame:
+    """Per header, key and raw type: how often it occurs and when the header was written."""
+    return paths.where("key is not null").groupBy("header_id", "station_id", "key", "raw_type").agg(F.count(F.lit(1)).alias("occurrences"), F.min("written_at").alias("written_at"))
+
+
 def path_statistics(paths: DataFrame) -> DataFrame:
-    """Per station, key and raw type: the number of headers and the first and last time."""
-    return paths.where("key is not null").groupBy("station_id", "key", "raw_type").agg(
+    """Per station, key and raw type: the number of headers and the first and last time, from ``file_statistics``."""
+    return file_statistics(paths).groupBy("station_id", "key", "raw_type").agg(
         F.count(F.lit(1)).alias("headers"), F.min("written_at").alias("first_at"), F.max("written_at").alias("last_at")
     )
 
@@ -98,21 +103,35 @@ def states(paths: DataFrame, fields: tuple[Tracked, ...]) -> DataFrame:
     )
 
 
-def typed(field: Tracked, s: Column) -> Column:
-    """The typed value of a field's state."""
+NUMBER = r"([+-]?[0-9]+(?:[.,][0-9]*)?(?:[eE][+-]?[0-9]+)?)"
+UNIT = r"(?:(um|µm|μm|mm|cm|m)|deg|degrees?|°)?"
+
+
+def typed(field: Tracked, s: Column, height: bool = False) -> Column:
+    """The typed value of a field's state; of a pair its width, or its ``height``, which is the width where only one
+    value is given. Nothing but a number's unit may follow it."""
+    member = lambda keys: F.coalesce(*[F.get_json_object(s["raw"], f"$.{k}") for k in keys])
     first = F.when(s["raw_type"] == "array", F.get_json_object(s["raw"], "$[0]")).when(
-        s["raw_type"] == "object", F.coalesce(*[F.get_json_object(s["raw"], f"$.{k}") for k in ("Value", "value", "Width", "width", "major")])
+        s["raw_type"] == "object", member(("Value", "value", "Width", "width", "major"))
     ).otherwise(s["raw"])
     if field.kind == "version":
         return F.when(s["raw_type"] == "object", F.concat_ws(".", F.get_json_object(s["raw"], "$.major"), F.get_json_object(s["raw"], "$.minor"))).otherwise(
             F.regexp_replace(F.trim(s["raw"]), "^[vV]", "")
         )
-    number = F.regexp_replace(F.regexp_extract(first, r"^\s*([+-]?[0-9]+(?:[.,][0-9]*)?(?:[eE][+-]?[0-9]+)?)", 1), ",", ".").try_cast("double")
+    if height:
+        second = F.when(s["raw_type"] == "array", F.get_json_object(s["raw"], "$[1]")).when(s["raw_type"] == "object", member(("Height", "height")))
+        first = F.coalesce(second, first)
+    one = rf"{NUMBER}\s*{UNIT}"
+    pattern = rf"^\s*{NUMBER}\s*$" if field.kind == "whole" else rf"^\s*{one}\s*$"
+    if field.kind == "pair":
+        pattern = rf"^\s*{one}\s*(?:[;xX×]\s*{one}\s*)?$"
+    part = lambda *groups: F.coalesce(*[F.nullif(F.regexp_extract(first, pattern, g), F.lit("")) for g in groups])
+    sides = ((1,), (2,)) if field.kind != "pair" else ((3, 1), (4, 2)) if height else ((1,), (2, 4))
+    number = F.regexp_replace(part(*sides[0]), ",", ".").try_cast("double")
     if field.kind == "whole":
         return F.when(number == F.floor(number), number.cast("bigint"))
     unit = F.lower(F.coalesce(
-        F.nullif(F.regexp_extract(first, r"[0-9.,]\s*(um|µm|μm|mm|cm|m)\s*$", 1), F.lit("")),
-        F.get_json_object(s["raw"], "$.Unit"), F.nullif(F.regexp_extract(s["key"], rf"[_ \[]({'|'.join(KEY_UNITS)})\]?$", 1), F.lit("")),
+        part(*sides[1]), F.get_json_object(s["raw"], "$.Unit"), F.nullif(F.regexp_extract(s["key"], rf"[_ \[]({'|'.join(KEY_UNITS)})\]?$", 1), F.lit("")),
     ))
     factors = F.create_map(*[F.lit(x) for u, x in MM.items() for x in (u, x)])
     return number * F.coalesce(F.element_at(factors, unit), F.lit(1.0))
@@ -120,13 +139,14 @@ def typed(field: Tracked, s: Column) -> Column:
 
 def consistent(headers: DataFrame, fields: tuple[Tracked, ...] = HEADER_FIELDS) -> DataFrame:
     """One row per readable header: header_id, station_id, written_at, a typed column per field (lengths in mm,
-    angles in degrees; pairs as their width) and ``failed_casts``, the fields whose value isn't null but gave no
+    angles in degrees; pairs as their width and, in a further column, their height) and ``failed_casts``, the fields whose value isn't null but gave no
     typed value. Bodies that are null, broken or no JSON object give no row; nulls and absent fields give null."""
     rows = states(path_values(headers), fields)
-    cells = [typed(f, F.col("s_")[i]).alias(f.name) for i, f in enumerate(fields)]
+    columns = [(f, i, f.name + ("Height" if high else ""), high) for i, f in enumerate(fields) for high in ((False, True) if f.kind == "pair" else (False,))]
+    cells = [typed(f, F.col("s_")[i], high).alias(name) for f, i, name, high in columns]
     rows = rows.select("header_id", "station_id", "written_at", "s_", *cells)
-    failed = [F.when(F.col(f.name).isNull() & (F.col("s_")[i]["raw_type"] != "null"), F.lit(f.name)) for i, f in enumerate(fields)]
-    return rows.select("header_id", "station_id", "written_at", *[f.name for f in fields], F.array_compact(F.array(*failed)).alias("failed_casts"))
+    failed = [F.when(F.col(name).isNull() & (F.col("s_")[i]["raw_type"] != "null"), F.lit(f.name)) for f, i, name, _ in columns]
+    return rows.select("header_id", "station_id", "written_at", *[name for _, _, name, _ in columns], F.array_distinct(F.array_compact(F.array(*failed))).alias("failed_casts"))
 
 
 def changes(headers: DataFrame, fields: tuple[Tracked, ...] = HEADER_FIELDS) -> DataFrame:

@@ -42,3 +42,19 @@ def test_consistent_table_and_failed_casts(spark):
     assert (a["SrcToObject"], a["PixelSize"], a["version"], a["Projections"], a["failed_casts"]) == (500.0, 0.2, "2.1", 720, [])
     assert (b["SrcToObject"], b["PixelSize"], b["AngularStep"], b["WhiteLevel"], b["failed_casts"]) == (500.0, 0.4, None, None, ["AngularStep"])
     assert drift.path_statistics(drift.path_values(heads(spark, rows))).where("key = 'SOD'").collect()[0]["raw_type"] == "object"
+
+
+def test_heights_ends_of_numbers_and_statistics_by_file(spark):
+    bodies = {
+        '{"PixelSize": [0.2, 0.3]}': (0.2, 0.3, []), '{"PixelSize": {"Width": 0.2, "Height": 0.3}}': (0.2, 0.3, []), '{"PixelSize": "0.2;0.3"}': (0.2, 0.3, []),
+        '{"PixelSize": "0.2x0.3 cm"}': (2.0, 3.0, []), '{"PixelSize_um": "200 x 300"}': (0.2, 0.3, []), '{"PixelSize": "0,2 mm"}': (0.2, 0.2, []), '{"PixelSize": 0.2}': (0.2, 0.2, []),
+        '{"PixelSize": [0.2, "bad"]}': (0.2, None, ["PixelSize"]), '{"PixelSize": "12abc"}': (None, None, ["PixelSize"]), '{"SOD": "12abc", "Projections": "12abc"}': (None, None, ["Projections", "SrcToObject"]),
+        '{"StepDeg": "-0.5 deg", "SOD": "5 cm"}': (None, None, []),
+    }
+    rows = drift.consistent(heads(spark, [(k, 1, 1, b) for k, b in enumerate(bodies)])).orderBy("header_id").collect()
+    for r, (width, high, failed) in zip(rows, bodies.values(), strict=True):
+        assert (r["PixelSize"] is None, r["PixelSizeHeight"] is None, sorted(r["failed_casts"])) == (width is None, high is None, failed)
+        assert abs((r["PixelSize"] or 0) - (width or 0)) < 1e-12 and abs((r["PixelSizeHeight"] or 0) - (high or 0)) < 1e-12
+    assert (rows[-1]["AngularStep"], rows[-1]["SrcToObject"]) == (-0.5, 50.0)
+    paths = drift.path_values(heads(spark, [(1, 1, 1, '{"SOD": 1}')]))
+    assert [r["headers"] for r in drift.path_statistics(paths.unionByName(paths)).collect()] == [1]
