@@ -25,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Parts into which texts of equal length are ranked apart, so that a length with a third of all texts is no
 #: single window; the parts' counts are added up afterwards.
 PARTS = 64
+#: Container specs in one plan; more of them are packed in several.
+SPECS_AT_ONCE = 1000
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,13 +155,18 @@ def pack(counts: DataFrame, capacities: dict[int, int]) -> DataFrame:
 
 def containers(docs: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``pack`` of all texts of ``docs`` for every capacity of ``specs`` (a small table of settings)."""
-    rows = specs.where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(1000).collect()
-    return pack(materialise(token_counts(docs, tokenizer)), {r["spec_id"]: r["capacity_tokens"] for r in rows})
+    rows = specs.where("spec_id is not null and capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().orderBy("spec_id", "capacity_tokens").collect()
+    capacities = list({r["spec_id"]: r["capacity_tokens"] for r in rows}.items())
+    counts = materialise(token_counts(docs, tokenizer))
+    out = pack(counts, dict(capacities[:SPECS_AT_ONCE]))
+    for at in range(SPECS_AT_ONCE, len(capacities), SPECS_AT_ONCE):
+        out = out.unionByName(pack(counts, dict(capacities[at : at + SPECS_AT_ONCE])))
+    return out
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, pieces, tokens and the share of the containers' room that is used."""
     sums = packed.groupBy("spec_id").agg((F.max("container_id") + 1).alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
-    return sums.join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct().limit(1000)), "spec_id").withColumn(
+    return sums.join(broadcast_if_small(specs.select("spec_id", "capacity_tokens").distinct(), 16), "spec_id").withColumn(
         "used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
     )

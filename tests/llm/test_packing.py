@@ -70,3 +70,12 @@ def test_tokens_round_trip_and_dirty_texts(spark):
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert got[1] == got[2] == 0 and got[3] > 1
     assert packing.pack(packing.token_counts(df.limit(0)), {1: 8}).count() == 0
+
+
+def test_more_specs_than_one_plan_holds(spark):
+    docs = spark.createDataFrame([(1, "a few words only")], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(k, 50) for k in range(1001)], "spec_id int, capacity_tokens int")
+    packed = packing.containers(docs, specs)
+    assert packed.select("spec_id").distinct().count() == 1001
+    report = packing.fill_report(packed.where("spec_id < 2 or spec_id = 1000"), specs)
+    assert sorted(r["spec_id"] for r in report.collect()) == [0, 1, 1000]
