@@ -255,6 +255,16 @@ def test_filters_and_corrections(spark):
     assert line == pytest.approx([0, 0.2, 1.0])
 
 
+def test_wide_holes_get_a_smooth_surface(spark):
+    plane = np.add.outer(np.arange(60.0), 3 * np.arange(70.0))
+    holed = plane.copy()
+    holed[8:52, 9:61] = np.nan
+    holed[0, 0] = np.nan
+    out = corrections.holes_filled(spark.createDataFrame([(0, holed.ravel().tolist())], "proj_idx bigint, data array<double>"), (60, 70))
+    got = np.array(out.first()["data"]).reshape(60, 70)
+    assert got[8:52, 9:61] == pytest.approx(plane[8:52, 9:61], abs=1e-5) and got[0, 0] == pytest.approx(2.0)
+
+
 def test_straight_protons_land_in_their_pixel(spark):
     schema = ", ".join(f"{c} double" for c in protons.NEEDED)
     rows = [(0.5, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 10.0), (0.5, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 20.0), (99.0, 0.5, 99.0, 0.5, 0.0, 0.0, 0.0, 0.0, 5.0), (0.5, None, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 1.0)]
