@@ -7,7 +7,8 @@ its sentences lies near the subject's centroid and, as a check, its words are li
 subject than in sentences of none.
 
 Term weights use document frequencies of the whole corpus. Only the decomposition and the centroids are fitted on
-a sample, of at most ``LABELLED_DOCS`` labelled texts, the smallest by a hash of their ids.
+a sample, of at most ``LABELLED_DOCS`` labelled texts, the smallest by a hash of their ids. Texts are split into
+sentences and words by Arrow's kernels, a batch at a time, and equal sentences of a batch are handled once.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import html
 import pickle
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +33,25 @@ LABELLED_DOCS = 20_000
 LEAST_TEXTS, RANK, ROUNDS, NEAR = 2, 64, 3, 0.6
 #: Least strength of a sentence's strongest term for it to treat a subject at all.
 MASS = 0.4
-#: Centroids of a subject, since its languages and parts lie apart: more for more labelled texts.
-LEAST_PARTS, MOST_PARTS, TEXTS_A_PART = 12, 40, 250
+#: Centroids of a subject, since its languages and parts lie apart.
+PARTS = 40
+#: Terms of a weight below this share of the largest stay out of the decomposition: their squares add less than 1e-5.
+LIGHT = 0.003
 #: Least share of the sentences nearest to a centroid whose texts have its subject's label.
 PURITY = 0.6
 SMOOTH = 2.0
-TAG = re.compile(r"<[^<>]{0,200}>")
-END = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+|\n\s*\n")
-WORD = re.compile(r"[^\W\d_]+")
+#: Texts handled at once.
+BATCH = 2000
+TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
+#: Between two sentences after ``marked``; no text holds it by then.
+CUT = "\x01"
+END = r"([.!?…])[\"')\]»”]*\s+|\n\s*\n"
+INVISIBLE = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 
 
 def plain(text: str) -> str:
     """Without markup, entities and doubly encoded letters."""
-    if "Ã" in text or "Â" in text or "â€" in text:
+    if not text.isascii() and ("Ã" in text or "Â" in text or "â€" in text):
         out = []
         for piece in text.split(" "):
             try:
@@ -52,81 +59,159 @@ def plain(text: str) -> str:
             except (UnicodeEncodeError, UnicodeDecodeError):
                 out.append(piece)
         text = " ".join(out)
-    return TAG.sub(" ", html.unescape(text))
+    if "&" in text:
+        text = html.unescape(text)
+    return TAG.sub(" ", text) if "<" in text else text
 
 
-def terms(sentence: str) -> dict[str, tuple[str, str]]:
-    """Words and pairs of neighbouring words, without case and accents; long words with their beginning and end,
-    which stand for a word that isn't known because of a slip in the other half."""
-    if not sentence.isascii():
-        sentence = "".join(c for c in unicodedata.normalize("NFKD", sentence) if not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
-    w = WORD.findall(sentence.lower().replace("'", "").replace("’", ""))
-    out: dict[str, tuple[str, str]] = {x: (f"{x[:5]}-", f"-{x[-5:]}") if len(x) > 6 else () for x in w}
-    out.update((f"{a} {b}", ()) for a, b in zip(w, w[1:], strict=False))
-    return out
-
+def bare(text: str | None) -> str:
+    """``plain`` text without accents and invisible signs."""
+    text = plain(text or "")
+    return text if text.isascii() else INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
 
-def with_ends(found: dict[str, tuple[str, str]]) -> set[str]:
-    return set(found).union(*found.values())
 
-
-def sentences(text: str | None) -> list[dict]:
-    """The terms of each sentence of a text."""
-    return [t for s in END.split(plain(text or "")) if (t := terms(s))]
+@dataclass
+class Sentences:
+    """The sentences of some texts: of each text's sentences the text's and the sentence's number, and of each word of
+    the different sentences the sentence's and the word's number in ``words``."""
+
+    texts: int
+    text: np.ndarray
+    sentence: np.ndarray
+    of: np.ndarray
+    code: np.ndarray
+    words: list[str]
+    different: int
+
+
+def sentences(texts: list[str | None]) -> Sentences:
+    """Words are without case and accents, of letters only."""
+    lines = pa.array([bare(t).replace(CUT, " ") for t in texts], pa.string())
+    lists = pc.split_pattern(pc.replace_substring_regex(lines, END, r"\1" + CUT), CUT)
+    text = pc.list_parent_indices(lists).to_numpy()
+    known = pc.list_flatten(lists).dictionary_encode()
+    lower = pc.replace_substring_regex(pc.utf8_lower(known.dictionary), "['’]", "")
+    parts = pc.split_pattern_regex(lower, r"[^\p{L}]+")
+    of, words = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts).dictionary_encode()
+    code, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+    there = np.array([bool(n) for n in names], bool)[code] if names else np.zeros(0, bool)
+    return Sentences(len(texts), text, known.indices.to_numpy(), of[there], code[there], names, len(known.dictionary))
+
+
+def ends(word: str) -> tuple[str, ...]:
+    """The beginning and end of a long word; they stand for one that isn't known because of a slip in the other half."""
+    return (f"{word[:5]}-", f"-{word[-5:]}") if len(word) > 6 else ()
+
+
+def neighbours(found: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, word, word) of each pair of neighbouring words."""
+    same = found.of[1:] == found.of[:-1]
+    return found.of[1:][same], found.code[:-1][same], found.code[1:][same]
+
+
+def once(row: np.ndarray, column: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a row and a column, in order."""
+    key = np.sort(row.astype(np.int64) * columns + column)
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+    row = key // max(columns, 1)
+    return row, key - row * columns
+
+
+def by_text(found: Sentences, row: np.ndarray, column: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of each text from those of each different sentence, rows in order."""
+    first = np.searchsorted(row, np.arange(found.different + 1))
+    n = np.diff(first)[found.sentence]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[found.sentence], n)
+    return once(np.repeat(found.text, n), column[at], columns)
+
+
+class Vocabulary:
+    """Numbers for terms: words and the ends of long ones first, then pairs of neighbouring words."""
+
+    def __init__(self, known: list[str]):
+        self.words = {t: i for i, t in enumerate(sorted(t for t in known if " " not in t))}
+        size = len(self.words)
+        both = (t.split(" ") for t in known if " " in t)
+        self.pairs = np.array(sorted(self.words[a] * size + self.words[b] for a, b in both if a in self.words and b in self.words), np.int64)
+        self.size = size + len(self.pairs)
+
+    def terms(self, found: Sentences, ends_always: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, term), each once, of the different sentences. The ends of a word count where it isn't known, or
+        always."""
+        none, size = -1, len(self.words)
+        word = np.array([self.words.get(w, none) for w in found.words], np.int64)
+        rest = [[self.words[e] for e in ends(w) if e in self.words] if ends_always or word[k] == none else [] for k, w in enumerate(found.words)]
+        first, last = (np.array([r[i] if len(r) > i else none for r in rest], np.int64) for i in (0, 1))
+        row, a, b = neighbours(found)
+        a, b = (word[x] if len(word) else x for x in (a, b))
+        key = np.where((a >= 0) & (b >= 0), a * size + b, none)
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        pair = np.where(self.pairs[at] == key, at + size, none) if len(self.pairs) else np.full(len(key), none)
+        code = found.code
+        one = [(found.of, x[code] if len(x) else code) for x in (word, first, last)]
+        rows, columns = np.concatenate([*[r for r, _ in one], row]), np.concatenate([*[c for _, c in one], pair])
+        return once(rows[columns >= 0], columns[columns >= 0], self.size)
 
 
 @dataclass
 class Model:
-    """``vocabulary`` numbers the terms; ``embedding`` holds a weighted row per term; ``centroids`` equally many
-    unit rows per subject; ``odds`` the log-odds of each term in sentences of a subject against sentences of none."""
+    """``embedding`` holds a weighted row per term of ``vocabulary``; ``centroids`` equally many unit rows per subject;
+    ``odds`` the log-odds of each term in sentences of a subject against sentences of none."""
 
     subjects: list[int]
-    vocabulary: dict[str, int] = field(default_factory=dict)
+    vocabulary: Vocabulary = field(default_factory=lambda: Vocabulary([]))
     embedding: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     odds: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     prior: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     strength: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
-    def of_sentence(self, found: dict[str, tuple[str, str]]) -> list[int]:
-        """Subjects that a sentence treats: those near to it whose log-odds are positive and at least half of the best."""
-        of = self.vocabulary
-        at = [of[x] for t, ends in found.items() for x in ((t,) if t in of else ends) if x in of]
-        if not at or self.strength[at].max() < MASS:
-            return []
-        v = self.embedding[at].sum(0)
-        size = float(np.linalg.norm(v))
-        if size < 1e-6:
-            return []
-        near = np.flatnonzero((self.centroids @ v).reshape(len(self.subjects), -1).max(1) >= NEAR * size)
-        if not len(near):
-            return []
-        likely = self.odds[np.ix_(at, near)].sum(0) + self.prior[near]
-        return [self.subjects[k] for k, o in zip(near, likely, strict=True) if o > 0 and o >= likely.max() / 2]
-
-    def of_text(self, text: str | None) -> set[int]:
-        return {s for found in sentences(text) for s in self.of_sentence(found)}
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, subject number): the subjects of each text's sentences, those near to a sentence whose log-odds are
+        positive and at least half of the best."""
+        found = sentences(texts)
+        row, term = self.vocabulary.terms(found, False)
+        rows = Rows(row, term, (found.different, self.vocabulary.size))
+        strong = np.flatnonzero(rows.most(self.strength) >= MASS)
+        if not len(strong):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = rows.rows(strong)
+        v = rows.times(self.embedding)
+        size = np.linalg.norm(v, axis=1)
+        near = (nearest(v, self.centroids, len(self.subjects)) >= NEAR * size[:, None]) & (size >= 1e-6)[:, None]
+        likely = np.where(near, rows.times(self.odds) + self.prior, -np.inf)
+        best = likely.max(1, keepdims=True)
+        mine, subject = np.nonzero(near & (likely > 0) & (likely >= best / 2))
+        return by_text(found, strong[mine], subject, len(self.subjects))
 
 
 class Rows:
     """A sparse 0/1 matrix as row and column numbers, with the products that the fit needs."""
 
-    def __init__(self, rows: list[np.ndarray], columns: int):
-        lengths = [len(r) for r in rows]
-        self.at = np.concatenate([np.zeros(0, np.int32), *rows])
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-        self.shape = (len(rows), columns)
-        self.by_column = np.argsort(self.at, kind="stable").astype(np.int32)
+    def __init__(self, row: np.ndarray, at: np.ndarray, shape: tuple[int, int]):
+        """``row`` in ascending order."""
+        self.row, self.at, self.shape = row.astype(np.int32), at.astype(np.int32), shape
+        self.column_order: np.ndarray | None = None
+
+    @property
+    def by_column(self) -> np.ndarray:
+        if self.column_order is None:
+            self.column_order = np.argsort(self.at, kind="stable").astype(np.int32)
+        return self.column_order
 
     def only(self, columns: np.ndarray) -> Rows:
         """The matrix of these columns, renumbered in their order."""
         to = np.full(self.shape[1], -1, np.int32)
         to[columns] = np.arange(len(columns))
-        out = object.__new__(Rows)
         kept = to[self.at] >= 0
-        out.at, out.row, out.shape = to[self.at[kept]], self.row[kept], (self.shape[0], len(columns))
-        out.by_column = np.argsort(out.at, kind="stable")
-        return out
+        return Rows(self.row[kept], to[self.at[kept]], (self.shape[0], len(columns)))
+
+    def rows(self, wanted: np.ndarray) -> Rows:
+        """The matrix of these rows, in ascending order, renumbered."""
+        to = np.full(self.shape[0], -1, np.int32)
+        to[wanted] = np.arange(len(wanted))
+        kept = to[self.row] >= 0
+        return Rows(to[self.row[kept]], self.at[kept], (len(wanted), self.shape[1]))
 
     def most(self, value: np.ndarray) -> np.ndarray:
         """The largest value of each row's columns, 0 for an empty row."""
@@ -136,27 +221,45 @@ class Rows:
             out[self.row[first]] = np.maximum.reduceat(value[self.at], first)
         return out
 
-    def times(self, dense: np.ndarray, step: int = 200_000) -> np.ndarray:
-        return self.summed(self.row, self.at, dense, self.shape[0], step)
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        return summed(self.row, self.at, dense, self.shape[0])
+
+    def transposed_times(self, dense: np.ndarray) -> np.ndarray:
+        return summed(self.at[self.by_column], self.row[self.by_column], dense, self.shape[1])
 
-    def transposed_times(self, dense: np.ndarray, step: int = 200_000) -> np.ndarray:
-        return self.summed(self.at[self.by_column], self.row[self.by_column], dense, self.shape[1], step)
 
-    @staticmethod
-    def summed(to: np.ndarray, take: np.ndarray, dense: np.ndarray, size: int, step: int) -> np.ndarray:
-        """Sums of ``dense[take]`` over equal values of the ascending ``to``."""
-        out = np.zeros((size, dense.shape[1]), np.float32)
-        for a in range(0, len(to), step):
-            t = to[a : a + step]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
-            out[t[first]] += np.add.reduceat(dense[take[a : a + step]], first, axis=0)
+def summed(to: np.ndarray, take: np.ndarray, dense: np.ndarray, size: int, long: int = 64, step: int = 4096) -> np.ndarray:
+    """Sums of ``dense[take]`` over equal values of the ascending ``to``: runs of one length are added side by side;
+    those longer than ``long`` are cut into pieces first, whose sums are added likewise."""
+    out = np.zeros((size, dense.shape[1]), np.float32)
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    if not len(first):
         return out
+    length, goal = np.diff(first, append=len(to)), to[first]
+    pieces = -(-length // long)
+    owner = np.repeat(np.arange(len(first)), pieces)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * long
+    first, length = first[owner] + begin, np.minimum(long, length[owner] - begin)
+    sums = np.zeros((len(first), dense.shape[1]), np.float32)
+    order = np.argsort(length, kind="stable")
+    ends = np.searchsorted(length[order], np.arange(1, long + 2))
+    for n in range(1, long + 1):
+        for a in range(ends[n - 1], ends[n], step):
+            rows = order[a : min(a + step, ends[n])]
+            total = dense[take[first[rows]]].astype(np.float32)
+            for j in range(1, n):
+                total += dense[take[first[rows] + j]]
+            sums[rows] = total
+    if len(owner) > len(goal):
+        return summed(goal[owner], np.arange(len(owner)), sums, size, long, step)
+    out[goal] = sums
+    return out
 
 
 def decomposed(rows: Rows, weight: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
     """Right singular vectors of the weighted matrix of ``rows`` by subspace iteration; 0 for columns whose weight
     is too small to turn them."""
-    heavy = np.flatnonzero(weight > 0.003 * weight.max())
+    heavy = np.flatnonzero(weight > LIGHT * weight.max())
     part = rows.only(heavy)
     w = weight[heavy, None].astype(np.float32)
     q = np.random.default_rng(7).standard_normal((len(heavy), min(rank, rows.shape[0], len(heavy)))).astype(np.float32)
@@ -177,9 +280,9 @@ def centres(unit: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     out[0] /= max(np.linalg.norm(out[0]), 1e-9)
     near = unit @ out[0]
     for j in range(1, min(k, len(unit))):
-        # Of the rows far from all seeds, the one that most others of them lie near to.
+        # Of the rows far from all seeds, the one nearest to their sum.
         far = unit[near <= np.quantile(near, 0.3)]
-        out[j] = far[np.concatenate([(far[a : a + 512] @ far.T).clip(0).sum(1) for a in range(0, len(far), 512)]).argmax()]
+        out[j] = far[(far @ far.sum(0)).argmax()]
         near = np.maximum(near, unit @ out[j])
     for _ in range(rounds):
         mine = (unit @ out.T).argmax(1)
@@ -195,16 +298,6 @@ def nearest(unit: np.ndarray, centroids: np.ndarray, subjects: int) -> np.ndarra
     return np.concatenate([(u @ centroids.T).reshape(len(u), subjects, -1).max(2) for u in np.array_split(unit, 1 + len(unit) // 20_000)])
 
 
-def vocabulary_of(texts: Iterable[str | None]) -> dict[str, float]:
-    """Terms that at least ``LEAST_TEXTS`` of the texts hold, with their share of the texts."""
-    held: Counter = Counter()
-    n = 0
-    for text in texts:
-        held.update(set().union(*map(with_ends, sentences(text))))
-        n += 1
-    return {x: k / n for x, k in held.items() if k >= LEAST_TEXTS}
-
-
 def pure(unit: np.ndarray, allowed: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Whether, of the sentences nearest to each centroid, ``PURITY`` are of texts with its subject's label;
     one sentence alone proves nothing."""
@@ -218,37 +311,35 @@ def pure(unit: np.ndarray, allowed: np.ndarray, centroids: np.ndarray) -> np.nda
     return (right >= PURITY * (hits + 1)).astype(np.float32)
 
 
-def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share: dict[str, float]) -> Model:
+def fit(texts: list[str | None], labels: list[set[int]], subjects: list[int], share: dict[str, float]) -> Model:
     """A model from texts with their labels; ``share`` has the terms to use and the share of all texts that hold
     them."""
     model = Model(subjects)
-    vocabulary = {x: i for i, x in enumerate(sorted(share))}
+    vocabulary = Vocabulary(list(share))
     number = {s: k for k, s in enumerate(subjects)}
-    size = len(vocabulary)
-    whole: list[np.ndarray] = []
-    lines: list[np.ndarray] = []
-    owner: list[int] = []
-    marks: list[list[int]] = []
-    for text, labels in texts:
-        found = [np.array(sorted({vocabulary[x] for x in with_ends(s) if x in vocabulary}), np.int32) for s in sentences(text)]
-        if not found:
-            continue
-        owner += [len(whole)] * len(found)
-        lines += found
-        whole.append(np.unique(np.concatenate(found)))
-        marks.append([number[s] for s in labels if s in number])
-    if not size or not subjects or not any(marks):
+    size = vocabulary.size
+    allowed = np.zeros((len(texts), len(subjects) + 1), np.float32)
+    for d, marks in enumerate(labels):
+        allowed[d, [number[s] for s in marks if s in number]] = 1
+    if not size or not subjects or not allowed.any():
         return model
-    idf = np.array([np.log(1 / max(share[x], 1e-7)) for x in vocabulary])
-    of_text, of_line = Rows(whole, size), Rows(lines, size)
-    owner_ = np.array(owner)
-    allowed = np.zeros((len(whole), len(subjects) + 1), np.float32)
-    for d, m in enumerate(marks):
-        allowed[d, m] = 1
     allowed[:, -1] = 1
-    texts_n = len(whole)
-    parts = min(max(LEAST_PARTS, texts_n // TEXTS_A_PART), MOST_PARTS)
-    del whole
+    found = sentences(texts)
+    row, term = vocabulary.terms(found, True)
+    of_text = Rows(*by_text(found, row, term, size), (len(texts), size))
+    first = np.searchsorted(row, np.arange(found.different + 1))
+    there = np.flatnonzero(np.diff(first)[found.sentence])
+    # Equal sentences are one row here; ``which`` is that of each sentence.
+    of_line, owner_, which = Rows(row, term, (found.different, size)), found.text[there], found.sentence[there]
+    name = [""] * size
+    for w, i in vocabulary.words.items():
+        name[i] = w
+    words = name[: len(vocabulary.words)]
+    for i, key in enumerate(vocabulary.pairs.tolist()):
+        name[len(words) + i] = f"{words[key // len(words)]} {words[key % len(words)]}"
+    idf = np.array([np.log(1 / max(share[x], 1e-7)) for x in name])
+    lines, texts_n = len(there), len(texts)
+    parts = PARTS
     # The first shares: texts with the term that have the label.
     base = allowed[:, :-1].mean(0)
     n = of_text.transposed_times(np.ones((texts_n, 1), np.float32))
@@ -260,12 +351,12 @@ def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share
         weight = idf * lift.max(1) ** 2
         q = decomposed(of_text, weight, RANK)
         embedding = (q * weight[:, None]).astype(np.float32)
-        v = of_line.times(embedding)
+        v = of_line.times(embedding)[which]
         length = np.linalg.norm(v, axis=1)
         unit = v / np.maximum(length, 1e-9)[:, None]
         # Seeds: sentences whose terms speak for a subject that their text's labels name; then the nearest centroid.
-        vote = of_line.times((weight[:, None] * share_of).astype(np.float32))
-        mass = of_line.most((lift.max(1) ** 2).astype(np.float32))
+        vote = of_line.times((weight[:, None] * share_of).astype(np.float32))[which]
+        mass = of_line.most((lift.max(1) ** 2).astype(np.float32))[which]
         for inner in range(3):
             if inner:
                 vote = nearest(unit, model.centroids, len(subjects))
@@ -276,12 +367,13 @@ def fit(texts: Iterable[tuple[str | None, set[int]]], subjects: list[int], share
             model.centroids *= pure(unit[mass >= MASS], allowed[owner_[mass >= MASS], :-1], model.centroids)[:, None]
         # Shares by sentence: those near a centroid that their labels allow against all others.
         near = nearest(unit, model.centroids, len(subjects))
-        belongs = np.zeros((len(lines), len(subjects) + 1), np.float32)
+        belongs = np.zeros((lines, len(subjects) + 1), np.float32)
         take = (near >= NEAR) & (allowed[owner_, :-1] > 0) & ((length > 1e-6) & (mass >= MASS))[:, None]
         belongs[:, :-1] = take
         belongs[:, -1] = ~take.any(1)
-        counts = of_line.transposed_times(belongs)
-        total = of_line.transposed_times(np.ones((len(lines), 1), np.float32))
+        by_line = np.stack([np.bincount(which, b, found.different) for b in belongs.T], 1).astype(np.float32)
+        counts = of_line.transposed_times(by_line)
+        total = of_line.transposed_times(np.bincount(which, minlength=found.different)[:, None].astype(np.float32))
         base = belongs[:, :-1].mean(0)
         share_of = (counts[:, :-1] + SMOOTH * base) / (total + SMOOTH)
     model.strength = (lift.max(1) ** 2).astype(np.float32)
@@ -300,18 +392,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOC
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "labels")
 
 
+def batches_of(column: pa.Array) -> Iterator[tuple[int, list]]:
+    for start in range(0, len(column), BATCH):
+        yield start, column.slice(start, BATCH).to_pylist()
+
+
+def all_terms(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The terms of some texts, words with the ends of long ones and pairs, and how many of the texts hold each."""
+    found = sentences(texts)
+    names = {w: k for k, w in enumerate(found.words)}
+    rest = [[names.setdefault(e, len(names)) for e in ends(w)] for w in found.words]
+    first, last = (np.array([r[i] if len(r) > i else -1 for r in rest], np.int64) for i in (0, 1))
+    row, a, b = neighbours(found)
+    size, known = len(names), len(found.words)
+    pairs, at = np.unique(a.astype(np.int64) * known + b, return_inverse=True)
+    rows = np.concatenate([found.of, found.of, found.of, row])
+    columns = np.concatenate([found.code, *[x[found.code] if len(x) else found.code for x in (first, last)], at + size])
+    r, c = once(rows[columns >= 0], columns[columns >= 0], size + len(pairs))
+    _, c = by_text(found, r, c, size + len(pairs))
+    n = np.bincount(c, minlength=size + len(pairs))
+    return [*names, *(f"{found.words[k // known]} {found.words[k % known]}" for k in pairs.tolist())], n
+
+
 def sample_terms(sample: DataFrame) -> list[str]:
     """Terms that at least ``LEAST_TEXTS`` texts of the sample hold."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                held.update(set().union(*map(with_ends, sentences(text))))
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+            for _, texts in batches_of(batch.column("text")):
+                names, n = all_terms(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n)], names=["term", "n"]).filter(pa.array(n > 0))
 
     counts = sample.select("text").mapInArrow(emit, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return [r["term"] for r in counts.where(F.col("n") >= LEAST_TEXTS).collect()]
+    return [r["term"] for r in counts.where((F.col("n") >= LEAST_TEXTS) & (F.col("term") != "")).collect()]
 
 
 def fitted(sample: DataFrame, subjects: list[int], share: dict[str, float]) -> bytes | None:
@@ -319,8 +432,8 @@ def fitted(sample: DataFrame, subjects: list[int], share: dict[str, float]) -> b
     shared = sample.sparkSession.sparkContext.broadcast(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((t, set(s)) for b in batches for t, s in zip(b.column("text").to_pylist(), b.column("labels").to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, subjects, shared.value))], pa.binary())], names=["model"])
+        rows = [(t, set(s)) for b in batches for t, s in zip(b.column("text").to_pylist(), b.column("labels").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [s for _, s in rows], subjects, shared.value))], pa.binary())], names=["model"])
 
     row = sample.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "model binary").first()
     return row["model"] if row else None
@@ -328,44 +441,50 @@ def fitted(sample: DataFrame, subjects: list[int], share: dict[str, float]) -> b
 
 def term_shares(docs: DataFrame, wanted: list[str]) -> dict[str, float]:
     """The share of all texts that hold each of ``wanted``; counts are added up in each task first."""
-    at = {x: i for i, x in enumerate(sorted(wanted))}
-    shared = docs.sparkSession.sparkContext.broadcast(at)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        n = np.zeros(len(of) + 1, np.int64)
+        of = Vocabulary(shared.value)
+        n = np.zeros(of.size + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for x in set().union(*map(with_ends, sentences(text))):
-                    if (i := of.get(x)) is not None:
-                        n[i] += 1
-                n[-1] += 1
+            for _, texts in batches_of(batch.column("text")):
+                found = sentences(texts)
+                _, term = by_text(found, *of.terms(found, True), of.size)
+                n[:-1] += np.bincount(term, minlength=of.size)
+                n[-1] += len(texts)
         there = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(n[there])], names=["i", "n"])
 
-    rows = spread(docs.select("text")).mapInArrow(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    n = {r["i"]: r["n"] for r in rows}
-    return {x: max(n.get(i, 0), 1) / max(1, n.get(len(at), 1)) for x, i in at.items()}
+    rows = spread(docs.select("text")).mapInArrow(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    of = Vocabulary(wanted)
+    n = np.zeros(of.size + 1, np.int64)
+    n[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
+    words, texts = list(of.words), max(1, int(n[-1]))
+    names = words + [f"{words[k // len(words)]} {words[k % len(words)]}" for k in of.pairs.tolist()]
+    return {x: max(int(n[i]), 1) / texts for i, x in enumerate(names)}
 
 
 def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject_id) for each subject of ``areas`` that a text of ``docs`` treats in a sentence.
+    """(doc_id, subject_id) for each subject of ``areas``, a table of settings, that a text of ``docs`` treats in a
+    sentence.
 
     Null and empty texts and null ids give nothing; nor does any text if there are no labels or no areas. Labels of
     unknown subjects, null subjects and repeats count for nothing. Whole texts are read. Equal texts get equal
     subjects. Further columns of the tables aren't read.
     """
-    subjects = sorted(r["subject_id"] for r in areas.select("subject_id").where("subject_id is not null").distinct().limit(10_000).collect())
+    subjects = sorted(r["subject_id"] for r in areas.select("subject_id").where("subject_id is not null").distinct().collect())
     sample = labelled_sample(docs, labels)
-    share = term_shares(docs, sample_terms(sample))
+    share = term_shares(docs, wanted) if (wanted := sample_terms(sample)) else {}
     model = fitted(sample, subjects, share) if share else None
     shared = docs.sparkSession.sparkContext.broadcast(model or pickle.dumps(Model(subjects)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
+        number = pa.array(model.subjects, pa.int64())
         for batch in batches:
-            rows = [(d, s) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for s in sorted(model.of_text(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "subject_id"])
+            for start, texts in batches_of(batch.column("text")):
+                text, subject = model.of_texts(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text + start)), number.take(pa.array(subject))], names=["doc_id", "subject_id"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return spread(rows).mapInArrow(assign, "doc_id bigint, subject_id bigint").distinct()
