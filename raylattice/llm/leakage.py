@@ -1,8 +1,10 @@
 """Evaluation passages that turn up in training texts.
 
-Word pairs of the test items that few items share are the seeds. Texts that hold at least two seeds of an item
-near each other are aligned with the item by Smith-Waterman on words, where words with a slip of spelling match
-and inserted numbering costs nothing; the alignments' unbroken runs decide.
+The word pairs of the test items that are rarest in the corpus are the seeds, a table of hashes. The texts' pairs are
+hashed a batch at a time and counted; a sieve of fixed size lets those through that may be seeds of one item, and they
+are joined with the seed table. Texts with three seeds of an item on nearly the same diagonal are aligned with the item
+by Smith-Waterman on words, where words with a slip of spelling match and inserted numbering costs nothing. The item's
+words in the alignments' unbroken runs decide, each counted once.
 """
 
 from __future__ import annotations
@@ -10,59 +12,85 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raylattice.session import materialise, small_enough, spread
+from raylattice.session import broadcast_if_small, materialise, small_enough, spread
 
 LEAST_WORDS, LEAST_RUN = 18, 12
-#: A pair is a seed if at most so many items share it.
-SEED_ITEMS = 3
-#: Where a run of ``LEAST_RUN`` words of an item has fewer seeds, its rarest pairs make up for them.
-RUN_SEEDS = 4
+#: Of each run of ``LEAST_RUN`` words of an item, so many pairs are seeds: the rarest in the corpus.
+RUN_SEEDS = 5
 #: A leading sentence that at least so many items share is an instruction.
 SHARED_BY = 5
-#: Words between two seeds of the same place in a text, and around the outermost ones that are aligned.
-NEAR, MARGIN = 60, 60
 #: Inserted words by which the places of two seeds of a run may differ.
 DRIFT = 12
+#: Items are aligned in segments of so many words, which overlap by more than a run, against windows of the text that
+#: reach ``REACH`` times a segment's words beyond its seeds and are themselves cut into overlapping pieces.
+SEGMENT, OVERLAP, REACH = 256, 40, 2
+#: Texts split at once; seeds of an item that a text must hold on nearly the same diagonal.
+BATCH, LEAST_SEEDS = 2000, 3
+#: Places of the sieve of seeds, two bytes each, and bits of that of ids: 32 and 16 MB whatever the number of rows.
+PLACES, ID_BITS = 1 << 24, 1 << 27
+#: Different pairs that a task counts before it passes them on.
+COUNTS_AT_ONCE = 1 << 22
+#: What a place of the sieve holds that seeds of several items share.
+ANY = 65_535
+#: Bytes that a row of seeds or candidates is taken to need, and the bytes up to which passages are broadcast.
+ROW_BYTES, BROADCAST_BYTES = 128, 16 << 20
 MATCH, MISMATCH, GAP = 2, -3, -3
 #: Letters of other scripts that look like Latin ones.
 ALIKE = str.maketrans("асеорхуікмтнвАСЕОРХУІКМТНВѕјԁɡοαιν", "aceopxyikmthbACEOPXYIKMTHBsjdgoaiv")
-TAG = re.compile(r"<[^<>]{0,200}>")
+FOREIGN = re.compile("[" + "".join(map(chr, ALIKE)) + "]")
+TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 JOINERS = re.compile(r"['’`´‐‑-]")
 NUMBERING = re.compile(r"[(\[]?(?:\d{1,3}|[a-z]|[ivx]{1,4})[)\].:]+|[(\[]\d{1,3}[)\]]?|[#§]\d{1,3}|[-–—*•·>#|]+", re.IGNORECASE)
-ITEM_BYTES = 4096
-PAIR = pa.struct([("a", pa.string()), ("b", pa.string())])
 
+def plain(text: str) -> str:
+    """Without markup, accents, letters that only look Latin and invisible signs."""
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKD", text.translate(ALIKE) if FOREIGN.search(text) else text)
 
-PLAIN = re.compile(r"[A-Za-z0-9 .,!?;:\n\r\t\"/$%]*")
-LIST_MARK = re.compile(r"(?:^|\s)(?:\d{1,3}|[A-Za-z]|[IVXivx]{1,4})[.:]+(?:\s|$)")
+
+@lru_cache(1 << 16)
+def words_of(raw: str) -> tuple[tuple[str, ...], bool]:
+    """The words in a part of a text without white space, and whether it is numbering that someone may have inserted.
+    Invisible signs and accents go, apostrophes and hyphens join."""
+    kept = raw if raw.isascii() else "".join(c for c in raw if c.isascii() or not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
+    return tuple(re.findall(r"[^\W_]+", JOINERS.sub("", kept).lower())), bool(NUMBERING.fullmatch(kept))
 
 
 def words(text: str) -> tuple[list[str], list[bool]]:
-    """The words of a text in plain form, and whether each is numbering that someone may have inserted."""
-    if PLAIN.fullmatch(text) and not LIST_MARK.search(text):
-        plain = re.findall(r"[a-z0-9]+", text.lower())
-        return plain, [False] * len(plain)
-    text = TAG.sub(" ", html.unescape(text))
-    text = unicodedata.normalize("NFKD", text.translate(ALIKE))
+    """The words of a text in plain form, and whether each is numbering."""
     out, free = [], []
-    for raw in text.split():
-        # Invisible signs and accents go, apostrophes and hyphens join.
-        kept = "".join(c for c in raw if c.isascii() or not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
-        marks = bool(NUMBERING.fullmatch(kept))
-        for w in re.findall(r"[^\W_]+", JOINERS.sub("", kept).lower()):
-            out.append(w)
-            free.append(marks)
+    for raw in plain(text).split():
+        found, marks = words_of(raw)
+        out += found
+        free += [marks] * len(found)
     return out, free
 
 
+@lru_cache(1 << 18)
+def letters(word: str) -> int:
+    """A bit per letter or digit of a word; a slip changes two bits at most."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(1 << 18)
 def alike(a: str, b: str) -> bool:
     """Whether two words are equal but for a slip: one letter more, less, other or swapped (two such in words of
     eight letters or more). Numbers must be equal."""
@@ -99,6 +127,12 @@ def edits(a: str, b: str) -> int:
     return last[-1]
 
 
+def stretch(can: np.ndarray) -> bool:
+    """Whether as many words as a run needs follow each other that can be matched."""
+    c = np.concatenate([[0], np.cumsum(can)])
+    return bool((c[LEAST_RUN:] - c[:-LEAST_RUN] == LEAST_RUN).any())
+
+
 def runs(item: list[str], text: list[str], free: list[bool]) -> list[tuple[int, int]]:
     """Unbroken runs (first item word, number of words) of the best local alignments, over disjoint item words.
 
@@ -108,19 +142,35 @@ def runs(item: list[str], text: list[str], free: list[bool]) -> list[tuple[int,
     m, n = len(item), len(text)
     if not m or not n:
         return []
-    distinct = {w: k for k, w in enumerate(dict.fromkeys(text))}
-    of = np.array([distinct[w] for w in text])
-    known = {w: np.fromiter((alike(w, x) for x in distinct), bool, len(distinct))[of] for w in set(item)}
-    equal = np.array([known[w] for w in item])
-    paid = np.concatenate([[0], np.cumsum(np.where(free, 0, GAP))])
+    rows, columns = list(dict.fromkeys(item)), list(dict.fromkeys(text))
+    sets = [np.array([letters(w) for w in side], np.uint64) for side in (rows, columns)]
+    sizes = [np.array([len(w) for w in side]) for side in (rows, columns)]
+    slips = np.where(np.minimum(sizes[0][:, None], sizes[1][None, :]) >= 8, 2, 1)
+    same = (np.abs(sizes[0][:, None] - sizes[1][None, :]) <= slips) & (np.bitwise_count(sets[0][:, None] ^ sets[1][None, :]) <= 2 * slips)
+    for i, j in zip(*np.nonzero(same), strict=True):
+        same[i, j] = alike(rows[i], columns[j])
+    at, of = ({w: k for k, w in enumerate(side)} for side in (rows, columns))
+    equal = same[np.array([at[w] for w in item])[:, None], np.array([of[w] for w in text])[None, :]]
+    can = equal.any(1)
+    if not stretch(can):
+        return []
+    paid = np.concatenate([[0], np.cumsum(np.where(free, 0, GAP))]).astype(np.int32)
+    gain = np.where(equal, MATCH, MISMATCH).astype(np.int32)
     barred = np.zeros(m, bool)
     found: list[tuple[int, int]] = []
-    while True:
-        score = np.zeros((m + 1, n + 1), int)
+    row, carried = np.zeros(n + 1, np.int32), np.zeros(n, np.int32)
+    while stretch(can & ~barred):
+        score = np.zeros((m + 1, n + 1), np.int32)
         for i in np.flatnonzero(~barred):
-            step = np.maximum(score[i, :-1] + np.where(equal[i], MATCH, MISMATCH), score[i, 1:] + GAP)
-            row = np.concatenate([[0], np.maximum(step, 0)])
-            score[i + 1] = np.maximum(np.maximum.accumulate(row - paid) + paid, 0)
+            row[0] = 0
+            np.add(score[i, 1:], GAP, out=carried)
+            np.add(score[i, :-1], gain[i], out=row[1:])
+            np.maximum(row[1:], carried, out=row[1:])
+            np.maximum(row, 0, out=row)
+            np.subtract(row, paid, out=row)
+            np.maximum.accumulate(row, out=row)
+            np.add(row, paid, out=row)
+            np.maximum(row, 0, out=score[i + 1])
         if score.max() < MATCH * LEAST_RUN:
             return found
         i, j = (int(k) for k in np.unravel_index(score.argmax(), score.shape))
@@ -148,160 +198,253 @@ def runs(item: list[str], text: list[str], free: list[bool]) -> list[tuple[int,
             length = 0
         if length:
             found.append((i, length))
+    return found
+
+
+def taken_over(item: list[str], text: list[str], free: list[bool]) -> set[int]:
+    """Places of the item's words that the text takes over in runs long enough to count."""
+    return {k for at, n in runs(item, text, free) if n >= LEAST_RUN for k in range(at, at + n)}
+
+
+def windows(at: list[tuple[int, int]], margin: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text, from its seeds (place in the text without numbering, place in the item), that can hold runs: those around
+    different seeds on nearly the same diagonal. Parts that would overlap are one; long ones are cut into pieces that
+    overlap by more than a window's margin."""
+    ends = sorted({(j - i, i, j) for j, i in at})
+    sure = sorted({x for a, b in zip(ends, ends[1:], strict=False) if b[0] - a[0] <= DRIFT and a[1] != b[1] for x in (a[2], b[2])})
+    start = 0
+    for k in range(1, len(sure) + 1):
+        if k == len(sure) or sure[k] - sure[k - 1] > 2 * margin:
+            lo, hi = max(0, sure[start] - margin), sure[k - 1] + margin
+            while hi - lo > 6 * margin:
+                yield lo, lo + 4 * margin
+                lo += 2 * margin
+            yield lo, hi
+            start = k
+
+
+def places(w: list[str], free: list[bool]) -> tuple[list[int], list[int]]:
+    """The places of words that aren't numbering, and the hashes of the pairs of those next to each other."""
+    kept = [j for j, f in enumerate(free) if not f]
+    h = np.array([hash_of(w[j]) for j in kept], np.uint64)
+    return kept, pair_hashes(h[:-1], h[1:]).tolist()
+
+
+def found_in(text: tuple[list[str], list[bool]], item: tuple[list[str], list[bool]], seeds: set[int]) -> bool:
+    """Whether a text, as ``words``, takes over enough of an item. Words count once, however often they are quoted."""
+    w, free = text
+    kept, pairs = places(w, free)
+    words, (own, own_pairs) = item[0], places(*item)
+    taken: set[int] = set()
+    for start in range(0, max(1, len(words) - OVERLAP), SEGMENT - OVERLAP):
+        part = words[start : start + SEGMENT]
+        of: dict[int, list[int]] = {}
+        for i, g in zip(own, own_pairs, strict=False):
+            if start <= i < start + SEGMENT and g in seeds:
+                of.setdefault(g, []).append(i)
+        at = [(j, i) for j, g in enumerate(pairs) if g in of for i in of[g]]
+        for lo, hi in windows(at, REACH * len(part) + DRIFT):
+            lo, hi = kept[lo], kept[hi] if hi < len(kept) else len(w)
+            taken |= {start + k for k in taken_over(part, w[lo:hi], free[lo:hi])}
+    return len(taken) >= LEAST_WORDS
+
+
+@lru_cache(1 << 16)
+def hash_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each pair of word hashes, different for the reverse."""
+    h = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0x7F4A7C15))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of each pair of neighbouring words of some texts, numbering left out. Each different part
+    of the texts without white space is taken to words once."""
+    parts = pc.utf8_split_whitespace(pa.array([plain(t or "") for t in texts], pa.string()))
+    known = pc.list_flatten(parts).dictionary_encode()
+    found = [() if free else w for w, free in map(words_of, known.dictionary.to_pylist())]
+    size = np.array([len(w) for w in found], np.int64)
+    h = np.array([hash_of(x) for w in found for x in w], np.uint64)
+    part, text = known.indices.to_numpy(), pc.list_parent_indices(parts).to_numpy()
+    n = size[part] if len(size) else size
+    begin = np.cumsum(size) - size
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[part] if len(size) else n, n)
+    text, h = np.repeat(text, n), h[at]
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    same = text[1:] == text[:-1]
+    return text[1:][same], place[:-1][same], pair_hashes(h[:-1][same], h[1:][same])
+
+
+def seeds_of(pairs: list[int], count: dict[int, int]) -> set[int]:
+    """The pairs of an item that lead to it: of each run's the rarest in the corpus, by ``count``."""
+    out: set[int] = set()
+    for a in range(max(1, len(pairs) - LEAST_RUN + 2)):
+        run = set(pairs[a : a + LEAST_RUN - 1])
+        out.update(sorted(run, key=lambda g: (count[g], g))[:RUN_SEEDS])
+    return out
+
 
+def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From test items: (eval_id, key) of each, and (key, body, hs) of each different passage without an instruction
+    that many items share, with the hashes of its pairs in order. Instructions are counted over all items."""
+    rows = items.select(F.col("eval_id").cast("bigint").alias("eval_id"), "passage").where("eval_id is not null and passage is not null and passage != ''").distinct()
+    rows = rows.withColumn("head", F.regexp_extract("passage", r"^\s*[^.!?:]*[.!?:]\s+", 0))
+    shared = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= SHARED_BY) & (F.col("head") != ""))
+    body = F.when(F.col("n").isNotNull(), F.substring("passage", F.length("head") + 1, F.length("passage"))).otherwise(F.col("passage"))
+    members = rows.join(shared, "head", "left").withColumn("body", body).select("eval_id", "body", F.sha2("body", 256).alias("key"))
+    members = materialise(members)
 
-def taken_over(item: list[str], text: list[str], free: list[bool]) -> int:
-    """Words of the item that the text takes over in runs long enough to count."""
-    return sum(n for _, n in runs(item, text, free) if n >= LEAST_RUN)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column("body").to_pylist()
+            text, _, h = pairs_of(bodies)
+            ends = pa.array(np.searchsorted(text, np.arange(len(bodies) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("body"), pa.ListArray.from_arrays(ends, pa.array(h))], names=["key", "body", "hs"])
 
+    bodies = materialise(members.groupBy("key").agg(F.first("body").alias("body")).mapInArrow(hashed, "key string, body string, hs array<bigint>"))
+    return members.select("eval_id", "key"), bodies
 
-def aligned(at: list[tuple[int, int]]) -> bool:
-    """Whether two different seeds lie on nearly the same diagonal, as those of an unbroken run do."""
-    ends = sorted({(j - i, i) for j, i in at})
-    return any(b[0] - a[0] <= DRIFT and a[1] != b[1] for a, b in zip(ends, ends[1:], strict=False))
 
+def pair_counts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h, n): how often the pairs ``h``, and some with an equal place in the bit field, occur in all texts. Counts are
+    added up in each task first."""
+    shared = texts.sparkSession.sparkContext.broadcast(bit_field(pairs))
 
-def head(passage: str) -> str:
-    """The leading sentence of a passage."""
-    m = re.match(r"\s*[^.!?:]*[.!?:]\s+", passage)
-    return m.group() if m else ""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                h = pairs_of(batch.column("text").slice(start, BATCH).to_pylist())[2]
+                h = h[in_field(shared.value, h)]
+                known, at = np.unique(np.concatenate([known, h]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, np.ones(len(h), np.int64)]), len(known)).astype(np.int64)
+                if len(known) > COUNTS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(n)], names=["h", "n"])
+                    known, n = known[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(n)], names=["h", "n"])
 
+    return spread(texts.select("text")).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
-def body(passage: str, shared: bool) -> str:
-    """A passage without its leading sentence if that is ``shared``."""
-    return passage[len(head(passage)) :] if shared else passage
 
+def seed_table(bodies: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, at, h): the seeds of each passage with their places."""
+    each = bodies.select("key", F.posexplode("hs").alias("at", "h")).join(counts, "h", "left")
+    lists = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h", F.coalesce("n", F.lit(0)).alias("n")))).alias("l"))
 
-def seeds_of(w: list[str], items_with: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
-    """The pairs of an item that lead to it, from the number of items with each: the rare ones and, where a run lacks
-    them, as in passages that many items share, the rarest."""
-    pairs = list(zip(w, w[1:], strict=False))
-    out = {g for g in pairs if items_with[g] <= SEED_ITEMS}
-    for a in range(len(pairs) - LEAST_RUN + 2):
-        run = set(pairs[a : a + LEAST_RUN - 1])
-        lack = RUN_SEEDS - len(run & out)
-        if lack > 0:
-            out.update(sorted(run - out, key=lambda g: (items_with[g], g))[:lack])
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, l in zip(b.column("key").to_pylist(), b.column("l").to_pylist(), strict=True):
+                seeds = seeds_of([x["h"] for x in l], {x["h"]: x["n"] for x in l})
+                out += [(key, x["at"], x["h"]) for x in l if x["h"] in seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["key", "at", "h"])
+
+    return materialise(lists.mapInArrow(chosen, "key string, at int, h bigint"))
+
+
+def sieve(seeds: DataFrame) -> np.ndarray:
+    """By the hash of a pair: 0 if no seed has it, a number of the item that has, ``ANY`` for several items. Spark adds
+    them up, so that the driver gets ``PLACES`` rows at most."""
+    marks = seeds.select(F.pmod("h", F.lit(PLACES)).alias("place"), (F.pmod(F.xxhash64("key"), F.lit(ANY - 1)) + 1).alias("mark"))
+    rows = marks.groupBy("place").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).select("place", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(ANY)).alias("mark")).toArrow()
+    out = np.zeros(PLACES, np.uint16)
+    out[rows.column("place").to_numpy()] = rows.column("mark").to_numpy()
     return out
 
 
-class Items:
-    """Test items ready for the search: their words without shared instructions, and the seeds."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        rows = sorted({(i, p) for i, p in rows if i is not None and p})
-        heads = Counter(head(p) for _, p in rows)
-        bodies = [(i, words(body(p, heads[head(p)] >= SHARED_BY))[0]) for i, p in rows]
-        items_with = Counter(g for _, w in bodies for g in set(zip(w, w[1:], strict=False)))
-        self.fill([(i, w, seeds_of(w, items_with)) for i, w in bodies])
-
-    def fill(self, prepared: list[tuple[int, list[str], set[tuple[str, str]]]]) -> Items:
-        self.words: dict[tuple[int, int], list[str]] = {}
-        self.seeds = defaultdict(list)
-        for k, (i, w, seeds) in enumerate(prepared):
-            self.words[i, k] = w
-            for at, g in enumerate(zip(w, w[1:], strict=False)):
-                if g in seeds:
-                    self.seeds[g].append(((i, k), at))
-        self.seeds = dict(self.seeds)
-        return self
-
-    @classmethod
-    def of(cls, prepared: list[tuple[int, list[str], set[tuple[str, str]]]]) -> Items:
-        return cls([]).fill(prepared)
-
-    def in_text(self, text: str | None) -> set[int]:
-        """Ids of the items that ``text`` takes over."""
-        if not text:
-            return set()
-        w, free = words(text)
-        kept = [j for j, f in enumerate(free) if not f]
-        hits = defaultdict(list)
-        for a, b in zip(kept, kept[1:], strict=False):
-            for key, i in self.seeds.get((w[a], w[b]), ()):
-                hits[key].append((a, i))
-        found: set[int] = set()
-        for key, at in hits.items():
-            if len(at) < 2 or key[0] in found:
-                continue
-            item, total, start = self.words[key], 0, 0
-            for k in range(1, len(at) + 1):
-                if k == len(at) or at[k][0] - at[k - 1][0] > NEAR:
-                    if aligned(at[start:k]):
-                        lo, hi = max(0, at[start][0] - MARGIN), at[k - 1][0] + MARGIN
-                        total += taken_over(item, w[lo:hi], free[lo:hi])
-                    start = k
-            if total >= LEAST_WORDS:
-                found.add(key[0])
-        return found
-
-
-def leaks(docs: DataFrame, items: DataFrame, limit_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, eval_id): texts of ``docs`` that take over at least 18 words of an item of ``items`` in runs of
-    at least 12.
-
-    The items' number is counted first. Within ``limit_bytes`` they travel to every task and each text is read once
-    and moved nowhere. Beyond it the items are handled in as many rounds over the texts, each within the bound.
-    Null or empty texts and passages and null ids give nothing; repeated items and rows give one row. Whole texts are
-    read, however long. Empty tables give an empty result; further columns of either table aren't read.
-    """
-    most = max(1, limit_bytes // ITEM_BYTES)
-    rows = items.select(F.col("eval_id").cast("bigint").alias("eval_id"), "passage")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    if small_enough(rows, ITEM_BYTES, limit_bytes):
-        return search(texts, Items([tuple(r) for r in rows.collect()]))
-    rounds = -(-rows.count() // most) * 2
-    items_ready, part = materialise(prepared(rows)), F.pmod(F.xxhash64("eval_id"), F.lit(rounds))
-    found = [search(texts, Items.of([(i, w, {tuple(g) for g in seeds}) for i, w, seeds in items_ready.where(part == k).collect()])) for k in range(rounds)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+def bit_field(hashes: DataFrame) -> np.ndarray:
+    """The bits of the column ``h``; the driver gets ``ID_BITS`` / 8 bytes at most."""
+    rows = hashes.select(F.pmod("h", F.lit(ID_BITS)).alias("h_")).groupBy(F.expr("cast(h_ div 8 as int)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(h_ % 8 as int)))").alias("bits")).toArrow()
+    out = np.zeros(ID_BITS // 8, np.uint8)
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
     return out
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """(eval_id, words, seeds) as in ``Items``, with instructions and pairs counted over all items."""
+def in_field(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = np.mod(h, ID_BITS)
+    return (field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
-    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            passages = b.column("passage").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("eval_id"), pa.array(passages, pa.string()), pa.array([head(p) for p in passages], pa.string())], names=["eval_id", "passage", "head"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = [words(body(p, s))[0] for p, s in zip(b.column("passage").to_pylist(), b.column("shared").to_pylist(), strict=True)]
-            pairs = [sorted(set(zip(x, x[1:], strict=False))) for x in w]
-            yield pa.RecordBatch.from_arrays([
-                b.column("eval_id"), b.column("passage"), pa.array(w, pa.list_(pa.string())), pa.array([[{"a": a, "b": c} for a, c in p] for p in pairs], pa.list_(PAIR)),
-            ], names=["eval_id", "passage", "words", "pairs"])
+def enough(row: np.ndarray, mark: np.ndarray, rows: int) -> np.ndarray:
+    """Which places of seeds, by their text and the sieve's mark, may belong to an item with enough of them."""
+    shared = np.bincount(row[mark == ANY], minlength=rows)
+    _, at, n = np.unique(row.astype(np.int64) * (ANY + 1) + mark, return_inverse=True, return_counts=True)
+    own = np.where(mark == ANY, 0, n[at])
+    most = np.zeros(rows, np.int64)
+    np.maximum.at(most, row, own)
+    return np.where(mark == ANY, most[row], own) + shared[row] >= LEAST_SEEDS
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = b.column("words").to_pylist()
-            counts = [{(c["pair"]["a"], c["pair"]["b"]): c["n"] for c in l} for l in b.column("counts").to_pylist()]
-            seeds = [[{"a": a, "b": c} for a, c in sorted(seeds_of(x, n))] for x, n in zip(w, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("eval_id"), pa.array(w, pa.list_(pa.string())), pa.array(seeds, pa.list_(PAIR))], names=["eval_id", "words", "seeds"])
-
-    one = rows.where("eval_id is not null and passage is not null and passage != ''").distinct()
-    one = materialise(one.mapInArrow(headed, "eval_id bigint, passage string, head string"))
-    shared = one.groupBy("head").agg((F.count(F.lit(1)) >= SHARED_BY).alias("shared"))
-    bodies = one.join(shared, "head").select("eval_id", "passage", "shared")
-    bodies = materialise(bodies.mapInArrow(cut, "eval_id bigint, passage string, words array<string>, pairs array<struct<a:string,b:string>>"))
-    each = bodies.select("eval_id", "passage", F.explode("pairs").alias("pair"))
-    counts = each.join(each.groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pair")
-    counts = counts.groupBy("eval_id", "passage").agg(F.collect_list(F.struct("pair", "n")).alias("counts"))
-    return bodies.join(counts, ["eval_id", "passage"]).select("eval_id", "words", "counts").mapInArrow(chosen, "eval_id bigint, words array<string>, seeds array<struct<a:string,b:string>>")
-
-
-def search(texts: DataFrame, items: Items) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(items)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+
+def sieved(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, j, h): the places of the pairs that may be seeds, of texts that may hold enough of an item's."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieve(seeds))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                row, j, h = pairs_of(part.column("text").to_pylist())
+                mark = shared.value[np.mod(h, PLACES)]
+                hit = np.flatnonzero(mark)
+                hit = hit[enough(row[hit], mark[hit], part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row[hit])), pa.array(j[hit].astype(np.int32)), pa.array(h[hit])], names=["doc_id", "j", "h"])
+
+    return spread(texts).mapInArrow(keep, "doc_id bigint, j int, h bigint")
+
+
+def texts_of(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """``texts`` joined with their rows in ``near``: by a broadcast where that is counted small, else by a shuffle of
+    those texts that a bit field of the ids doesn't rule out."""
+    if small_enough(near, ROW_BYTES):
+        return texts.join(F.broadcast(near), "doc_id")
+    shared = texts.sparkSession.sparkContext.broadcast(bit_field(near.select(F.xxhash64("doc_id").alias("h"))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                rows = [(d, e) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for e in sorted(of.in_text(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "eval_id"])
+            yield batch.select(["doc_id", "text"]).filter(pa.array(in_field(shared.value, batch.column("h").to_numpy())))
+
+    return texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(keep, "doc_id bigint, text string").join(near, "doc_id")
+
+
+def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, known = None, None
+    item_words = lru_cache(4096)(words)
+    for batch in batches:
+        found = []
+        for doc, text, key, body, seeds in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "key", "body", "seeds")), strict=True):
+            if text != last:
+                last, known = text, words(text)
+            if found_in(known, item_words(body), set(seeds)):
+                found.append((doc, key))
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["doc_id", "key"])
+
 
-    return spread(texts).mapInArrow(find, "doc_id bigint, eval_id bigint").distinct()
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, eval_id): texts of ``docs`` that take over at least 18 words of an item of ``items`` in runs of
+    at least 12.
+
+    Every text is hashed whole, to count pairs and to find seeds; only those with three seeds of an item on nearly the
+    same diagonal are read again to be aligned. Neither items nor texts are collected, and the result is the same for
+    every number of items. Items with equal passages are searched as one. Null or empty texts and passages and null ids give nothing; repeated items and rows give one row; of
+    texts with the same id each counts. A passage quoted twice counts its words once. Empty tables give an empty
+    result; further columns of either table aren't read.
+    """
+    members, bodies = prepared(items)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    seeds = seed_table(bodies, pair_counts(texts, bodies.select(F.explode("hs").alias("h"))))
+    bodies = materialise(bodies.select("key", "body").join(seeds.groupBy("key").agg(F.collect_set("h").alias("seeds")), "key"))
+    off = (F.col("j") - F.col("at")).cast("int")
+    hits = sieved(texts, seeds).join(broadcast_if_small(seeds, ROW_BYTES), "h")
+    # Two half-shifted rows of diagonals: seeds that drift apart by DRIFT at most share one of them.
+    hits = hits.select("doc_id", "key", "h", F.explode(F.array(F.floor(off / (2 * DRIFT)) * 2, F.floor((off + DRIFT) / (2 * DRIFT)) * 2 + 1)).alias("near_"))
+    near = hits.groupBy("doc_id", "key", "near_").agg(F.count(F.lit(1)).alias("n_"), F.min("h").alias("a_"), F.max("h").alias("b_")).where((F.col("n_") >= LEAST_SEEDS) & (F.col("a_") != F.col("b_"))).select("doc_id", "key").distinct()
+    if (bodies.agg(F.sum(F.octet_length("body") * 4)).first()[0] or 0) <= BROADCAST_BYTES:
+        bodies = F.broadcast(bodies)
+    pairs = texts_of(texts, materialise(near)).join(bodies, "key")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = pairs.repartition(parts, "doc_id", "key").mapInArrow(align, "doc_id bigint, key string")
+    return found.join(members, "key").select("doc_id", "eval_id").distinct()

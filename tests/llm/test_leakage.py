@@ -49,7 +49,7 @@ def test_other_numbers_and_words_break_a_run():
     item = leakage.words(ITEM)[0]
     changed = leakage.words(ITEM.replace("ledger", "canal").replace("orchard", "kiln"))[0]
     # Of the three runs left, of 5, 18 and 11 words, one is long enough.
-    assert leakage.taken_over(item, changed, [False] * len(changed)) == 18
+    assert len(leakage.taken_over(item, changed, [False] * len(changed))) == 18
 
 
 def test_against_brute_force_over_all_diagonals():
@@ -68,23 +68,65 @@ def test_against_brute_force_over_all_diagonals():
                 else:
                     brute = max(brute, run)
                     run = 0
-        assert leakage.taken_over(item, text, [False] * len(text)) == (brute if brute >= 12 else 0)
+        assert len(leakage.taken_over(item, text, [False] * len(text))) == (brute if brute >= 12 else 0)
 
 
-def test_empty_tables_and_rounds(spark, monkeypatch):
+def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
     assert leakage.leaks(docs.limit(0), items(spark)).count() == 0
     assert leakage.leaks(docs, items(spark).limit(0)).count() == 0
-    assert [tuple(r) for r in leakage.leaks(docs, items(spark), limit_bytes=leakage.ITEM_BYTES).collect()] == [(1, 1)]
 
 
-def test_rounds_and_shared_passages_find_the_same(spark):
+def test_shared_passages_are_all_found_and_shared_instructions_are_not(spark):
     rule = "Please read every line of the following passage with care and then choose the one statement that it clearly supports. "
     body = "The copper lantern of Ostrava burned through nine winters while the harbour clerks counted barrels and argued about tolls on salt and rope"
     rows = [(k, rule + " ".join(f"{w}{k}" for w in "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra".split()) + ".") for k in range(6)]
     rows += [(10 + k, f"{body} question{k}?") for k in range(6)]
     many = spark.createDataFrame(rows, "eval_id bigint, passage string")
     docs = spark.createDataFrame([(1, rule), (2, rows[3][1]), (3, "So: " + body + " indeed.")], "doc_id bigint, text string")
-    whole = sorted(tuple(r) for r in leakage.leaks(docs, many).collect())
-    assert whole == [(2, 3), *[(3, 10 + k) for k in range(6)]]
-    assert sorted(tuple(r) for r in leakage.leaks(docs, many, limit_bytes=leakage.ITEM_BYTES * 4).collect()) == whole
+    assert sorted(tuple(r) for r in leakage.leaks(docs, many).collect()) == [(2, 3), *[(3, 10 + k) for k in range(6)]]
+
+
+def test_any_number_of_equal_items(spark):
+    docs = spark.createDataFrame([(1, "Well. " + ITEM + " Yes.")], "doc_id bigint, text string")
+    for n in (1, 3, 4, 5, 8, 300):
+        same = spark.createDataFrame([(k, ITEM) for k in range(n)], "eval_id bigint, passage string")
+        assert sorted(r["eval_id"] for r in leakage.leaks(docs, same).collect()) == list(range(n))
+
+
+def test_a_run_quoted_twice_counts_once_at_any_distance(spark):
+    w = ITEM.split()
+    texts = [" ".join(w[:12]) + " zz" * apart + " " + " ".join(w[:12]) for apart in (1, 20, 150, 2000)]
+    assert leaks(spark, *texts, " ".join(w[:12]) + " zz" * 2000 + " " + " ".join(w[12:30])) == [(4, 1)]
+
+
+def test_long_items_long_tags_and_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{k}" for k in range(900))
+    w = long.split()
+    docs = spark.createDataFrame([(1, "ok " * 50_000 + " ".join(w[241:262])), (2, " ".join(w[500:509] + ["<a title='" + "x y " * 200 + "'>"] + w[509:520])), (3, " ".join(w[600:616])), (4, long)], "doc_id bigint, text string")
+    found = leakage.leaks(docs, spark.createDataFrame([(7, long)], "eval_id bigint, passage string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (2, 7), (4, 7)]
+    once = leakage.words(" ".join(w[:30]))
+    assert leakage.found_in(leakage.words((" ".join(w[:30]) + " ") * 3000), once, set(leakage.places(*once)[1]))
+
+
+def test_numbering_far_from_seeds_does_not_cut_a_run():
+    item = [f"word{chr(97 + k)}x" for k in range(20)]
+    text, free = [], []
+    for k, x in enumerate(item):
+        text += [x, *[str(n) for n in range(4)]]
+        free += [False, *[True] * 4]
+    once = (item, [False] * 20)
+    assert leakage.found_in((text, free), once, set(leakage.places(*once)[1][:3]))
+
+
+def test_pairs_of_a_batch_are_those_of_each_text():
+    texts = ["Café—naïve <b>Ünder</b> co-op &amp; l'été (3) 12. ﬁne", None, "ｗｉｄｅ led­ger Моrе", "§4 [5] x_y don’t 93 crates. 7", "", "...", "one", "漢字 straße ok"]
+    row, place, h = leakage.pairs_of(texts)
+    for k, t in enumerate(texts):
+        w, free = leakage.words(t or "")
+        mine = row == k
+        assert h[mine].tolist() == leakage.places(w, free)[1] and place[mine].tolist() == list(range(mine.sum()))
+    assert leakage.words(texts[2])[0] == ["wide", "ledger", "more"] and leakage.words(texts[3])[0] == ["4", "5", "x", "y", "dont", "93", "crates", "7"]
+    assert leakage.pairs_of(["a1 b2"])[2] != leakage.pairs_of(["b2 a1"])[2] and len(leakage.pairs_of([])[0]) == 0
