@@ -1,4 +1,6 @@
+import time
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -30,17 +32,53 @@ def test_plan_uses_every_piece_once_and_never_overfills(histogram):
 
 
 def test_exact_complements():
-    left = np.zeros(11, int)
-    left[[1, 3, 4]] = [1, 1, 2]
-    assert packing.exact_fill(4, left) == [4]
-    assert packing.exact_fill(8, left) == [4, 4]
-    assert sorted(packing.exact_fill(9, left)) == [1, 4, 4]
-    assert packing.exact_fill(10, left) is None
-    left[4] = 1
-    assert packing.exact_fill(9, left) is None
+    left = packing.Sums({1: 1, 3: 1, 4: 2}, 10)
+    assert left.fill(4) == [4]
+    assert left.fill(8) == [4, 4]
+    assert sorted(left.fill(9)) == [1, 4, 4]
+    assert left.fill(10) is None
+    left.take(4)
+    assert left.fill(9) is None and left.fill(8) in ([4, 3, 1], [4, 1, 3]) and left.longest(3) == 3
 
 
-def test_whole_texts_stay_whole_and_pieces_are_placed_once(spark):
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 25), st.integers(1, 3), max_size=8), st.lists(st.integers(1, 25), max_size=6), st.integers(1, 25))
+def test_index_of_sums_against_brute_force(histogram, gone, gap):
+    sums = packing.Sums(histogram, 25)
+    for x in gone:
+        if sums.left.get(x):
+            sums.take(x)
+            sums.fill((x * 7) % 25 + 1)
+    every = [x for x, n in sums.left.items() for _ in range(n)]
+    possible = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(every, k))
+    found = sums.fill(gap)
+    assert (found is not None) == possible
+    if found:
+        assert sum(found) == gap and not Counter(found) - Counter(every)
+
+
+def test_planning_grows_mildly_with_the_capacity():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(np.maximum(rng.lognormal(7, 1.5, 500_000), 1), 131_072).astype(int)
+    began = time.process_time()
+    plan = packing.packing_plan(dict(Counter(lengths.tolist())), 131_072)
+    assert time.process_time() - began < 20
+    assert lengths.sum() / (sum(t for _, t in plan) * 131_072) > 0.999
+
+
+def test_counts_by_parts_are_those_of_whole_texts():
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(packing.TOKENIZER)
+    t.encode_special_tokens = True
+    count = lambda texts: [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", " ", "a b", "a  b", " a", "a ", "a\n b", "a \nb", "a\nb c\td", "don't it's  \n\n x", "né à 漢字 \u3000 q", "\u00a0a b\u00a0 c", "<|endoftext|> x", "1 23 456", "a   ", "x \u2003y z", "\u3000 a"]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(list("ab1.,'\n\t  \u00a0\u3000é")) for _ in range(40)) for _ in range(500)]
+    assert packing.cut_at_spaces(t.to_str())
+    assert packing.lengths(texts, count, True).tolist() == count(texts) == packing.lengths(texts, count, False).tolist()
+
+
+def test_whole_texts_stay_whole_and_pieces_are_placed_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_A_PART", 30)
     rng = np.random.default_rng(0)
     tokens = [int(x) for x in rng.integers(0, 40, 500)] + [100, 100, 128, 7] + [16] * 200
     df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc_id bigint, tokens int")
