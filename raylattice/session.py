@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine) is a
-    temporary folder chosen and set, so that later calls see the same one.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is local (tests on one
+    machine) is a temporary folder chosen and set, so that later calls see the same one; on a cluster that raises
+    ValueError, as each executor would write to a disk of its own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="raylattice-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
