@@ -23,8 +23,12 @@ from raylattice.session import materialise, spread
 TEXT = "#text"
 #: Marks an element that holds a value that isn't blank, itself or below.
 HAS = "#value"
-#: Nesting beyond which a body isn't read.
-DEEPEST = 200
+#: Nesting beyond which a body isn't read but reported; Spark's JSON reader ends at 1,000 levels of objects and lists.
+DEEPEST = 50
+
+
+class TooDeep(ValueError):
+    """For a body nested beyond ``DEEPEST``."""
 
 
 def refused(name: str) -> float:
@@ -44,7 +48,7 @@ def xml_tree(body: str) -> dict | None:
 
     def start(name: str, attributes: dict) -> None:
         if len(stack) > DEEPEST:
-            raise ValueError("too deep")
+            raise TooDeep(f"nested beyond {DEEPEST} levels")
         node: dict = {}
         for k, v in attributes.items():
             if k.startswith("http://www.w3.org/2001/XMLSchema-instance "):
@@ -64,6 +68,8 @@ def xml_tree(body: str) -> dict | None:
     parser.EntityDeclHandler, parser.buffer_text = declared, True
     try:
         parser.Parse(re.sub(r"^(<\?xml[^>]*?)\s+encoding\s*=\s*(\"[^\"]*\"|'[^']*')", r"\1", body).encode("utf-8", "replace"), True)
+    except TooDeep:
+        raise
     except (xml.parsers.expat.ExpatError, ValueError):
         return None
     return top
@@ -72,7 +78,7 @@ def xml_tree(body: str) -> dict | None:
 def listed(value: object, depth: int = 0) -> list[dict]:
     """A JSON value as a list of objects; nulls hold their place as blank objects, nested lists are joined."""
     if depth > DEEPEST:
-        return []
+        raise TooDeep(f"nested beyond {DEEPEST} levels")
     if isinstance(value, list):
         return [x for v in value for x in listed(v, depth + 1)]
     if isinstance(value, dict):
@@ -87,7 +93,7 @@ def listed(value: object, depth: int = 0) -> list[dict]:
 
 
 def tree(body: str | None) -> dict | None:
-    """The uniform tree of a body, or None where it isn't well-formed. A JSON object whose text value ``payload``
+    """The uniform tree of a body, or None where it isn't well-formed; raises ``TooDeep``. A JSON object whose text value ``payload``
     (or, as its only long text, any value) is itself such a body is an envelope and is opened."""
     text = (body or "").strip("﻿ \t\r\n")
     if text[:1] == "<":
@@ -96,7 +102,9 @@ def tree(body: str | None) -> dict | None:
         return None
     try:
         value = json.loads(text, parse_constant=refused)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        raise TooDeep(f"nested beyond {DEEPEST} levels") from None
+    except ValueError:
         return None
     if isinstance(value, dict):
         inner = [v for v in value.values() if isinstance(v, str) and v.strip("﻿ \t\r\n")[:1] in ("<", "{") and len(v) > 1]
@@ -121,12 +129,50 @@ def marked(node: dict) -> bool:
     return HAS in node
 
 
+def judged(body: str | None) -> tuple[str | None, str | None]:
+    """(tree as JSON, None) of a body with a value, or (None, what keeps it from being read)."""
+    try:
+        found = tree(body)
+    except TooDeep as e:
+        return None, str(e)
+    if not found:
+        return None, "not well-formed"
+    return (json.dumps(found), None) if marked(found) else (None, "blank")
+
+
 def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            rows = [(k, json.dumps(t)) for k, b in zip(part.column("key_").to_pylist(), part.column("body").to_pylist(), strict=True) if (t := tree(b)) and marked(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["key_", "tree"])
+            found = [judged(b) for b in part.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("key_"), pa.array([t for t, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], names=["key_", "tree", "reason"])
+
+
+TREES = "key_ bigint, tree string, reason string"
+
+
+def bodies(docs: DataFrame, key: str, body: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("key_"), F.col(body).alias("body")).where("key_ is not null and body is not null")
+
+
+def unreadable(docs: DataFrame, key: str = "calib_id", body: str = "body") -> DataFrame:
+    """(key, reason) of each document with a key and a body that the flat tables leave out: ``not well-formed``,
+    ``blank`` or nested beyond ``DEEPEST`` levels. Repeats count once."""
+    return spread(bodies(docs, key, body)).mapInArrow(trees, TREES).where("reason is not null").select(F.col("key_").alias(key), "reason").distinct()
+
+
+def pruned(kind: DataType, names: tuple[str, ...]) -> DataType:
+    """``kind`` with only the elements on the way to those called one of ``names``, and the marks of values."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(pruned(kind.elementType, names))
+    if not isinstance(kind, StructType):
+        return kind
+    out = StructType()
+    for f in kind.fields:
+        below = pruned(f.dataType, names)
+        if f.name == HAS or f.name in names or isinstance(below, ArrayType) and isinstance(below.elementType, StructType) and set(below.elementType.fieldNames()) - {HAS}:
+            out.add(f.name, below)
+    return out
 
 
 def merged_schema(canonical: DataFrame) -> StructType:
@@ -163,21 +209,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def flatten(docs: DataFrame, key: str = "calib_id", body: str = "body", always: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def flatten(docs: DataFrame, key: str = "calib_id", body: str = "body", always: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Flat tables of the documents in ``docs``, by element path such as ``Scan/Acquisitions``.
 
     Each has the document's key, ``row_key`` (ordinals along the path: a surrogate key within the document),
     ``parent_key``, ``parent_no`` and ``child_no`` (positions from 1 among siblings of the same name, blank ones
     counted), ``blank`` and a text column per attribute or leaf child of the element (repeated leaves joined by a
     newline). A leaf element is a column of its parent, and no table of its own, unless some document gives it
-    children or attributes or ``always`` names it.
+    children or attributes or ``always`` names it. With ``only`` no more is parsed than leads to elements of these
+    names. Each document is parsed once, whatever the number of tables.
 
-    Null bodies, empty texts, bodies that aren't well-formed and rows without key give nothing. Of rows with the
+    Null bodies, empty texts, bodies that aren't well-formed or too deep, which ``unreadable`` reports, and rows
+    without key give nothing. Of rows with the
     same key and body one is read. An empty table gives no tables. Other columns of ``docs`` aren't read.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key_"), F.col(body).alias("body")).where("key_ is not null and body is not null")
-    canonical = materialise(spread(rows).mapInArrow(trees, "key_ bigint, tree string").dropDuplicates(["key_", "tree"]))
+    read = spread(bodies(docs, key, body)).mapInArrow(trees, TREES).where("tree is not null").select("key_", "tree")
+    canonical = materialise(read.dropDuplicates(["key_", "tree"]))
     schema = merged_schema(canonical)
+    if only:
+        schema = pruned(schema, only)
     unique = unique_names(schema)
     tables: dict[str, DataFrame] = {}
 
@@ -208,12 +258,12 @@ def flatten(docs: DataFrame, key: str = "calib_id", body: str = "body", always:
 
     top = canonical.select("key_", F.lit("").alias("row_key"), F.lit(1).cast("bigint").alias("child_no"), F.from_json("tree", schema).cast(unique).alias("node_")) if schema.fields else None
     if top is not None:
-        descend(top, unique, "")
+        descend(materialise(top), unique, "")
     return tables
 
 
 def children(docs: DataFrame, kinds: tuple[str, ...], key: str = "calib_id") -> DataFrame:
     """(key, child_kind, parent_no, child_no) of each element of ``kinds`` that holds a value, at any depth."""
     empty = docs.select(F.col(key).cast("bigint").alias(key), F.lit("").alias("child_kind"), F.lit(1).cast("bigint").alias("parent_no"), F.lit(1).cast("bigint").alias("child_no")).limit(0)
-    parts = [t.where("not blank").select(key, F.lit(p.rpartition("/")[2]).alias("child_kind"), "parent_no", "child_no") for p, t in flatten(docs, key, always=kinds).items() if p.rpartition("/")[2] in kinds]
+    parts = [t.where("not blank").select(key, F.lit(p.rpartition("/")[2]).alias("child_kind"), "parent_no", "child_no") for p, t in flatten(docs, key, always=kinds, only=kinds).items() if p.rpartition("/")[2] in kinds]
     return reduce(DataFrame.unionByName, parts, empty).distinct()

@@ -46,3 +46,13 @@ def test_tables_keep_their_links_and_repeats_fold(spark):
     assert [(r["T"], r["parent_no"], r["child_no"]) for r in kv] == [("1", 1, 1), ("2", 1, 2)] and {r["parent_key"] for r in kv} == parents
     row = tables["Scan/Acquisitions"].collect()[0]
     assert (row["SID"], row["sid_2"]) == ("5", "6")
+
+
+def test_documents_too_deep_are_reported(spark):
+    deep = '{"a":' * 60 + '{"ObjectScatterFit": 1}' + "}" * 60
+    xml = "<a>" * 60 + "<ObjectScatterFit>1</ObjectScatterFit>" + "</a>" * 60
+    fine = "<a>" * 48 + "<ObjectScatterFit>1</ObjectScatterFit>" + "</a>" * 48
+    docs = spark.createDataFrame([(1, deep), (2, xml), (3, fine), (4, "[" * 100_000), (5, "<a>"), (6, "{}"), (7, None), (None, "<a>"), (5, "<a>")], "calib_id bigint, body string")
+    assert [tuple(r) for r in nested.children(docs, ("ObjectScatterFit",)).collect()] == [(3, "ObjectScatterFit", 1, 1)]
+    reasons = {r["calib_id"]: r["reason"] for r in nested.unreadable(docs).collect()}
+    assert reasons.keys() == {1, 2, 4, 5, 6} and all("50" in reasons[k] for k in (1, 2, 4)) and reasons[5] == "not well-formed"
