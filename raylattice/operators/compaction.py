@@ -8,14 +8,14 @@ what was to be written does the staging directory take the place of the target.
 
 from __future__ import annotations
 
-import gzip
 import json
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raylattice.session import materialise, scratch, spread
@@ -26,6 +26,8 @@ RECORD = "file_id bigint, at timestamp, scan bigint, proj bigint, rev bigint, an
 WHOLE = re.compile(r"[+-]?\d+(?:\.0*)?$")
 #: Uncompressed bytes of a record besides its pixels, for sizing.
 RECORD_BYTES = 48
+#: Uncompressed bytes of the sample from which the size of the written files is told.
+SAMPLE_BYTES = 8 << 20
 
 
 def refused(name: str) -> float:
@@ -41,7 +43,10 @@ def whole(x: object) -> int | None:
         return x if abs(x) < 1 << 63 else None
     if isinstance(x, float):
         return int(x) if x == x and abs(x) < 1 << 53 and x == int(x) else None
-    return int(float(x)) if isinstance(x, str) and len(x) < 20 and WHOLE.match(x.strip()) else None
+    if not isinstance(x, str) or not WHOLE.match(x.strip()):
+        return None
+    digits = x.strip().partition(".")[0].lstrip("+").lstrip("0") or "0"
+    return whole(int(digits)) if len(digits) < 21 else None
 
 
 def real(x: object) -> float | None:
@@ -76,16 +81,31 @@ def delimited(lines: list[str]) -> Iterator[dict]:
             yield dict(zip(names, (p.strip().strip('"') for p in parts), strict=True))
 
 
+def unzipped(raw: bytes) -> bytes:
+    """The content of gzip members one after the other, up to where they are cut off or broken."""
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            for at in range(0, len(raw), 4096):
+                out.append(member.decompress(raw[at : at + 4096]))
+                if member.eof:
+                    raw = member.unused_data + raw[at + 4096 :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def records(raw: bytes | None) -> list[tuple]:
     """The complete records of one file, whatever its name says about its layout.
 
-    Gzip is told by its first bytes. A JSON array is read as a whole, JSON lines and the other layouts line by
+    Gzip is told by its first bytes and read as far as it goes. A JSON array is read as a whole, JSON lines and the other layouts line by
     line, so that a cut-off file still gives the records before the cut.
     """
-    try:
-        text = (gzip.decompress(raw) if raw and raw[:2] == b"\x1f\x8b" else raw or b"").decode("utf-8-sig", "replace").strip("﻿ \t\r\n\x00")
-    except (OSError, EOFError, ValueError, __import__("zlib").error):
-        return []
+    text = (unzipped(raw) if raw and raw[:2] == b"\x1f\x8b" else raw or b"").decode("utf-8-sig", "replace").strip("\ufeff \t\r\n\x00")
     if not text:
         return []
     found: list = []
@@ -133,12 +153,16 @@ def frame_records(files: DataFrame) -> DataFrame:
     return decoded.groupBy(*KEYS).agg(best).select(*KEYS, "r_.angle", "r_.n", "r_.px", "r_.file_id")
 
 
+def bytes_of_records() -> Column:
+    return F.sum(F.lit(RECORD_BYTES) + 8 * F.size("px"))
+
+
 def tally(df: DataFrame) -> tuple[int, int, int]:
     """(records, checksum, uncompressed bytes), in one pass."""
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64(*KEYS, "n", "px").cast("decimal(38,0)")).alias("h"),
-        F.sum(F.lit(RECORD_BYTES) + 8 * F.size("px")).alias("b"),
+        bytes_of_records().alias("b"),
     ).first()
     return row["n"], int(row["h"] or 0), int(row["b"] or 0)
 
@@ -160,9 +184,25 @@ def swap(spark: SparkSession, staging: str, target: str) -> None:
     fs.delete(old, True)
 
 
+def written_share(kept: DataFrame, size: int) -> float:
+    """Bytes on disk for each uncompressed byte, from a written sample of about ``SAMPLE_BYTES``; 1 without records."""
+    if not size:
+        return 1.0
+    spark = kept.sparkSession
+    at = scratch(spark, "sample")
+    sample = kept.sample(min(1.0, SAMPLE_BYTES / size), 7).coalesce(1).sortWithinPartitions(*KEYS)
+    sample.write.option("compression", "zstd").parquet(at)
+    whole = spark.read.schema(kept.schema).parquet(at).agg(bytes_of_records().alias("b")).first()["b"]
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = fs.getContentSummary(path).getLength()
+    fs.delete(path, True)
+    return written / whole if whole else 1.0
+
+
 def compact(files: DataFrame, target: str, target_bytes: int = 128 << 20) -> DataFrame:
-    """Writes every complete frame record of ``files`` once into sorted Parquet files of about ``target_bytes``
-    below ``target`` and returns them as a DataFrame.
+    """Writes every complete frame record of ``files`` once into sorted Parquet files of about ``target_bytes`` on
+    disk below ``target`` and returns them as a DataFrame.
 
     Keys are unique by then, so a scan that holds a third of all frames is split over files like any other range.
     Raises RuntimeError, leaving the old target in place, if the written count or checksum differs. No records
@@ -173,7 +213,7 @@ def compact(files: DataFrame, target: str, target_bytes: int = 128 << 20) -> Dat
     n, checksum, size = tally(kept)
     staging = target + ".staging"
     (
-        kept.repartitionByRange(max(1, math.ceil(size / target_bytes)), *KEYS)
+        kept.repartitionByRange(max(1, math.ceil(size * written_share(kept, size) / target_bytes)), *KEYS)
         .sortWithinPartitions(*KEYS)
         .write.mode("overwrite")
         .option("compression", "zstd")

@@ -26,6 +26,23 @@ def test_layouts(raw, found):
     assert keys(raw) == found
 
 
+def test_cut_and_joined_gzip_files_and_long_numbers():
+    many = "\n".join(LINE.replace('"proj":2', f'"proj":{k}').replace("[1,2,3]", f"[{k * k},{k**3 % 97}.25,3]") for k in range(2000))
+    whole = gzip.compress(many.encode())
+    cut = keys(whole[: len(whole) // 2])
+    assert 500 < len(cut) < 1500 and cut == [(1, k, 1) for k in range(len(cut))]
+    assert keys(gzip.compress(LINE.encode() + b"\n") + gzip.compress(LINE.encode())) == [(1, 2, 1)] * 2
+    assert keys(b"scan=00000000000000000000000000000004|proj=9223372036854775807|rev=1.000000000000000000000000|n=1|px=7") == [(4, 9223372036854775807, 1)]
+    assert keys(b"scan=4|proj=9223372036854775808|rev=1|n=1|px=7") == []
+
+
+def test_written_files_come_near_to_the_target(spark, tmp_path):
+    raws = [f'{{"scan":{k % 3},"proj":{k},"rev":1,"n":200,"px":[{",".join(str(k * j % 50) for j in range(200))}]}}'.encode() for k in range(3000)]
+    compaction.compact(files(spark, raws), f"file://{tmp_path}/out", target_bytes=100_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert 25_000 < sizes[len(sizes) // 2] < 250_000, sizes
+
+
 FILES = "file_id bigint, file_path string, n_bytes bigint, modified_at timestamp, raw_bytes binary, px string, scan int"
 
 
