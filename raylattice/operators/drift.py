@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raylattice.session import materialise
+
 
 @dataclass(frozen=True)
 class Tracked:
@@ -40,6 +42,8 @@ KEY_UNITS = ("um", "mm", "cm", "m")
 MM = {"um": 0.001, "µm": 0.001, "μm": 0.001, "mm": 1.0, "cm": 10.0, "m": 1000.0}
 #: A station's headers are put in order within spans of so many days, which are then chained; see ``changes``.
 SPAN_DAYS = 1
+#: Those without a time come first, in spans of so many ids.
+SPAN_IDS = 4096
 
 
 def plain(key: Column) -> Column:
@@ -78,27 +82,31 @@ def path_values(headers: DataFrame) -> DataFrame:
 
 
 def file_statistics(paths: DataFrame) -> DataFrame:
-    """Per header, key and raw type: how often it occurs and when the header was written."""
-    return paths.where("key is not null").groupBy("header_id", "station_id", "key", "raw_type").agg(F.count(F.lit(1)).alias("occurrences"), F.min("written_at").alias("written_at"))
+    """Per header, key and raw type: how often it occurs, its value and when the header was written. A header without
+    keys has one row with a null key. Partitioned by header as ``path_values`` is, so that nothing is shuffled."""
+    return paths.groupBy("header_id", "station_id", "key", "raw_type").agg(
+        F.count("key").alias("occurrences"), F.min("raw").alias("raw"), F.min("written_at").alias("written_at")
+    )
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:
     """Per station, key and raw type: the number of headers and the first and last time, from ``file_statistics``."""
-    return file_statistics(paths).groupBy("station_id", "key", "raw_type").agg(
+    return file_statistics(paths).where("key is not null").groupBy("station_id", "key", "raw_type").agg(
         F.count(F.lit(1)).alias("headers"), F.min("written_at").alias("first_at"), F.max("written_at").alias("last_at")
     )
 
 
-def states(paths: DataFrame, fields: tuple[Tracked, ...]) -> DataFrame:
-    """One row per readable header with ``s_``, an array of (key, raw, raw_type) by the position of each field.
+def states(statistics: DataFrame, fields: tuple[Tracked, ...]) -> DataFrame:
+    """From ``file_statistics``, one row per readable header with ``s_``, an array of (key, raw, raw_type) by the
+    position of each field.
 
     Of several keys for a field the first in alphabetical order counts.
     """
     field = field_of(F.col("key"), fields)
     one = F.struct("key", "raw", "raw_type")
     return (
-        paths.groupBy("header_id", "station_id", "written_at")
-        .agg(*[F.min(F.when(field == f.name, one)).alias(f"f{i}_") for i, f in enumerate(fields)])
+        statistics.groupBy("header_id", "station_id")
+        .agg(F.min("written_at").alias("written_at"), *[F.min(F.when(field == f.name, one)).alias(f"f{i}_") for i, f in enumerate(fields)])
         .select("header_id", "station_id", "written_at", F.array(*[f"f{i}_" for i in range(len(fields))]).alias("s_"))
     )
 
@@ -141,7 +149,7 @@ def consistent(headers: DataFrame, fields: tuple[Tracked, ...] = HEADER_FIELDS)
     """One row per readable header: header_id, station_id, written_at, a typed column per field (lengths in mm,
     angles in degrees; pairs as their width and, in a further column, their height) and ``failed_casts``, the fields whose value isn't null but gave no
     typed value. Bodies that are null, broken or no JSON object give no row; nulls and absent fields give null."""
-    rows = states(path_values(headers), fields)
+    rows = states(file_statistics(path_values(headers)), fields)
     columns = [(f, i, f.name + ("Height" if high else ""), high) for i, f in enumerate(fields) for high in ((False, True) if f.kind == "pair" else (False,))]
     cells = [typed(f, F.col("s_")[i], high).alias(name) for f, i, name, high in columns]
     rows = rows.select("header_id", "station_id", "written_at", "s_", *cells)
@@ -158,20 +166,22 @@ def changes(headers: DataFrame, fields: tuple[Tracked, ...] = HEADER_FIELDS) ->
     station's first header and an empty table report nothing.
 
     A station may hold a third of all headers, so no window runs over a whole station: rows are compared within
-    spans of days, and each span's first row with the last state of the spans before, taken from one
+    spans of days, those without a time within spans of ids, and each span's first row with the last state of the spans before, taken from one
     pre-aggregated row per station, field and span.
     """
     absent = F.lit("absent")
-    rows = states(path_values(headers), fields).select(
-        "station_id", "header_id", "written_at", F.floor(F.coalesce(F.unix_date(F.col("written_at").cast("date")), F.lit(-(1 << 30))) / SPAN_DAYS).cast("int").alias("span_"),
-        F.posexplode("s_").alias("f_", "s_"),
-    )
-    present = F.col("s_").isNotNull()
-    rows = rows.select(
-        "station_id", "f_", "span_", "written_at", "header_id",
-        F.when(present, F.col("s_.key")).otherwise(F.lit("")).alias("key_"), present.alias("has_"),
-        F.when(~present, absent).when(F.col("s_.raw_type") != "null", F.col("s_.raw_type")).alias("type_"),
+    of_field = lambda c: F.struct(
+        F.coalesce(c["key"], F.lit("")).alias("key_"), c.isNotNull().alias("has_"),
+        F.when(c.isNull(), absent).when(c["raw_type"] != "null", c["raw_type"]).alias("type_"),
     )
+    slim = states(file_statistics(path_values(headers)), fields)
+    slim = slim.select("station_id", "header_id", "written_at", F.transform("s_", of_field).alias("s_"))
+    # Read twice below; the bodies are parsed once.
+    rows = materialise(slim).select(
+        "station_id", "header_id", "written_at",
+        F.coalesce(F.floor(F.unix_date(F.col("written_at").cast("date")) / SPAN_DAYS), F.floor(F.col("header_id") / SPAN_IDS) - F.lit(1 << 60)).alias("span_"),
+        F.posexplode("s_").alias("f_", "s_"),
+    ).select("station_id", "f_", "span_", "written_at", "header_id", "s_.*")
     order = F.struct("written_at", "header_id")
     span = Window.partitionBy("station_id", "f_", "span_")
     last = (

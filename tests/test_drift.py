@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from raylattice.operators import drift
@@ -31,6 +32,11 @@ def test_order_repeats_unreadable_and_nulls(spark):
     assert changes(spark) == []
 
 
+def test_headers_without_time_are_chained_over_spans_of_ids(spark):
+    rows = [(k, 1, None, json.dumps({"SOD": k // 5000})) for k in (-9000, 3, 4096, 9999)] + [(20_000, 1, None, '{"SOD": "x"}'), (1, 1, 1, '{"SDD": 5}')]
+    assert changes(spark, *rows) == [(1, "SrcToDetector", "added"), (1, "SrcToObject", "removed"), (20_000, "SrcToObject", "retyped")]
+
+
 def test_ties_in_time_go_by_id_and_long_bodies_are_read(spark):
     long = '{"SOD": 1, "Note": "' + "x" * 300_000 + '"}'
     assert changes(spark, (2, 1, 1, '{"SOD": "1"}'), (1, 1, 1, long)) == [(2, "SrcToObject", "retyped")]
