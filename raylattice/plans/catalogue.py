@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raylattice.plans import ct, data, kernel
+from raylattice.plans import ct, data, kernel, kernel_sql
 
 QUERIES = {**data.QUERIES, **ct.QUERIES, **kernel.QUERIES}
-ORACLES = {**data.ORACLES, **ct.ORACLES}
+ORACLES = {**data.ORACLES, **ct.ORACLES, **kernel_sql.ORACLES}

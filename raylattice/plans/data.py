@@ -79,7 +79,32 @@ WITH named AS (
 )
 """
 
+P5_PATHS = """
+WITH one AS (SELECT header_id, station_id, arg_max(struct_pack(w := written_at, b := body), (coalesce(arrived_at, TIMESTAMP '0001-01-01'), coalesce(written_at, TIMESTAMP '0001-01-01'), coalesce(body, ''))) AS h
+  FROM header_file WHERE header_id IS NOT NULL AND station_id IS NOT NULL GROUP BY 1, 2),
+readable AS MATERIALIZED (SELECT header_id, station_id, h.w AS written_at, h.b AS body FROM one WHERE CASE WHEN json_valid(h.b) THEN json_type(h.b) = 'OBJECT' ELSE false END),
+keys AS (SELECT header_id, station_id, written_at, body, unnest(json_keys(body)) AS key FROM readable),
+paths AS MATERIALIZED (SELECT header_id, station_id, written_at, key, CASE json_type(body, '$."' || key || '"')
+  WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS raw_type FROM keys)"""
+
+#: As ``drift.field_of``: the key's plain form names the field, with or without a unit at its end.
+P5_NAMES = ", ".join(f"('{k}', {i}, '{f.name}')" for i, f in enumerate(drift.HEADER_FIELDS) for k in f.keys)
+P5_FOUND = f"""{P5_PATHS},
+names(plain, f, field_name) AS (VALUES {P5_NAMES}),
+named AS (SELECT p.*, coalesce(a.f, b.f) AS f FROM paths p LEFT JOIN names a ON a.plain = regexp_replace(lower(key), '[^a-z0-9]', '', 'g')
+  LEFT JOIN names b ON b.plain = regexp_replace(lower(regexp_replace(key, '(?i)[^A-Za-z0-9]+({'|'.join(drift.KEY_UNITS)})\\]?$', '')), '[^a-z0-9]', '', 'g')),
+cells AS (SELECT r.station_id, r.header_id, r.written_at, f.f, f.field_name, n.key, CASE WHEN n.key IS NULL THEN 'absent' WHEN n.raw_type <> 'null' THEN n.raw_type END AS kind
+  FROM readable r CROSS JOIN (SELECT DISTINCT f, field_name FROM names) f LEFT JOIN (SELECT header_id, station_id, f, min(key) AS key, arg_min(raw_type, key) AS raw_type FROM named WHERE f IS NOT NULL GROUP BY ALL) n
+  ON n.header_id = r.header_id AND n.station_id = r.station_id AND n.f = f.f),
+seq AS (SELECT *, row_number() OVER w AS n, lag(key) OVER w AS was, last_value(kind IGNORE NULLS) OVER (PARTITION BY station_id, f ORDER BY written_at NULLS FIRST, header_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kind0
+  FROM cells WINDOW w AS (PARTITION BY station_id, f ORDER BY written_at NULLS FIRST, header_id)),
+found AS (SELECT station_id, header_id, field_name, unnest([CASE WHEN key IS NOT NULL AND was IS NULL THEN 'added' END, CASE WHEN key IS NULL AND was IS NOT NULL THEN 'removed' END,
+  CASE WHEN key <> was THEN 'renamed' END, CASE WHEN key IS NOT NULL AND was IS NOT NULL AND kind0 <> 'absent' AND kind <> kind0 THEN 'retyped' END]) AS change_kind FROM seq WHERE n > 1)
+SELECT station_id, header_id, field_name, change_kind FROM found WHERE change_kind IS NOT NULL"""
+
 ORACLES = {
+    "p5_paths": P5_PATHS + " SELECT station_id, key, raw_type, count(DISTINCT header_id) AS headers, min(written_at) AS first_at, max(written_at) AS last_at FROM paths GROUP BY ALL",
+    "p5_found": P5_FOUND,
     "p1_found": P1_CELLS
     + "SELECT scan_id, field_name, CAST(round(CASE WHEN field_name = 'fdd' THEN v * 1000 ELSE v END) AS BIGINT) AS field_val FROM cells",
     "p1_wide": P1_CELLS

@@ -1,4 +1,5 @@
-"""Queries of the operators that SQL can't state: projectors, filters by FFT, corrections and reconstructions.
+"""Queries of the operators that run in kernels: projectors, filters by FFT, corrections and reconstructions. Those whose
+result SQL can state have a twin in ``kernel_sql``.
 
 Their input is the volume and the images derived from the whole tables. They are small (847 voxels, 12 views) so that
 each runs in seconds; tests hold the operators against analytic values and dense algebra.
@@ -33,6 +34,10 @@ PARALLEL = geometry.Geometry(SHAPE, (28.0, 44.0, 44.0), (7, 14), (4.0, 4.0), 500
 VIEWS = [2 * math.pi * i / 12 for i in range(12)]
 
 
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumn("value", F.round("value", digits) + 0.0)
+
+
 def field(spark: SparkSession, sf_dir: str, flag: str | None = None) -> Field:
     rows = volume(spark, sf_dir, flag).groupBy(F.col("z").alias("k")).agg(F.sort_array(F.collect_list(F.struct("y", "x", "value"))).alias("l"))
     return Field(rows.select("k", F.transform("l", lambda c: c["value"] / 1e9).alias("data")))
@@ -43,7 +48,7 @@ def projector(spark: SparkSession, g: geometry.Geometry = CONE, kind: str = "sid
 
 
 def long(f: Field) -> DataFrame:
-    return f.df.select("k", F.posexplode("data").alias("i", "value"))
+    return rounded(f.df.select("k", F.posexplode("data").alias("i", "value")), 6)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat(df: DataFrame) -> DataFrame:
-    return df.select("proj_idx", F.posexplode("data").alias("i", "value"))
+    return rounded(df.select("proj_idx", F.posexplode("data").alias("i", "value")), 9)
 
 
 for _name, _g, _kind in (("k01_siddon_cone", CONE, "siddon"), ("k02_siddon_parallel", PARALLEL, "siddon"), ("k03_interpolated_cone", CONE, "interpolated"), ("k04_interpolated_parallel", PARALLEL, "interpolated")):
