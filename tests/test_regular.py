@@ -74,3 +74,27 @@ def test_broadcast_and_salted_ways_agree(spark, monkeypatch):
     a = slots(run(spark, *args))
     monkeypatch.setattr(regular, "small_enough", lambda *_: False)
     assert slots(run(spark, *args)) == a
+
+
+def test_wide_detectors_are_cut_into_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    readings = [(s, 10.0 * k, "deg", [float(x) for x in rng.random(7 if k % 5 else 4)]) for s in range(6) for k in range(36) if (s + k) % 6]
+    scans = [(s, 0.0, 10.0, 36) for s in range(6)] + [(9, 0.0, 10.0, 36)]
+    whole = sorted(map(tuple, run(spark, scans, readings).collect()))
+    monkeypatch.setattr(regular, "ELEMENTS", 3)
+    cut = sorted(map(tuple, run(spark, scans, readings).collect()))
+    assert len(whole) == len(cut) == 7 * 36
+    for a, b in zip(whole, cut, strict=True):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
+def test_noise_is_filled_by_the_mean_within_the_observed_range(spark):
+    rng = np.random.default_rng(2)
+    truth = rng.exponential(10, (30, 24, 2))
+    missing = {(s, k) for s in range(30) for k in range(24) if rng.random() < 0.2}
+    readings = [(s, 15.0 * k, "deg", [float(x) for x in truth[s, k]]) for s in range(30) for k in range(24) if (s, k) not in missing]
+    rows = {(r["scan_id"], r["slot"]): r["projs"] for r in run(spark, [(s, 0.0, 15.0, 24) for s in range(30)], readings).collect()}
+    means = {s: np.mean([rows[s, k] for k in range(24) if (s, k) not in missing], 0) for s in range(30)}
+    error = np.sqrt(np.mean([(np.array(rows[s, k]) - truth[s, k]) ** 2 for s, k in missing]))
+    assert error < 1.03 * np.sqrt(np.mean([(means[s] - truth[s, k]) ** 2 for s, k in missing]))
+    assert min(min(rows[m]) for m in missing) >= 0
