@@ -28,7 +28,7 @@ def zeros(a: Projector) -> Field:
 
 def ids(a: Projector) -> list[int]:
     """View numbers: a scan's views, bounded by its acquisition."""
-    return [int(r[0]) for r in a.views.select("proj_idx").orderBy("proj_idx").collect()]
+    return [int(v["proj_idx"]) for v in a.rows]
 
 
 def angular_order(angles: list[float]) -> list[int]:
@@ -47,7 +47,7 @@ def blocks(a: Projector, size: int, order: str = "ordered", seed: int = 0) -> li
     if order == "random2":
         ks = [ks[i] for i in rng.permutation(len(ks))]
     elif order == "angularDistance":
-        alpha = {int(r[0]): r[1] for r in a.views.select("proj_idx", "alpha").collect()}
+        alpha = {int(v["proj_idx"]): v["alpha"] for v in a.rows}
         ks = [ks[i] for i in angular_order([alpha[k] for k in ks])]
     elif order not in ("ordered", "random"):
         raise ValueError(f"unknown order {order!r}")
@@ -211,28 +211,28 @@ def piccs(b: Field, a: Projector, iterations: int, prior: Field, **kw) -> Result
 
 
 def pcsd(b: Field, a: Projector, iterations: int, blocksize: int = 1, tv_steps: int = 25, epsilon: float | None = None, delta: float | None = None, beta: float = 1.0, beta_red: float = 0.99) -> Result:
-    """Projection-controlled descent: the descent's length follows the data step, which runs only while the squared
-    residual exceeds ``epsilon``."""
+    """Projection-controlled descent: the descent's length is the residual before the data step over that after the first
+    one (1 at first); the data step runs only while the squared residual exceeds ``epsilon``."""
     parts = blocks(a, blocksize)
     w, v = weights(a, parts)
     if epsilon is None:
         epsilon = 0.2 * (a.forward(fdk(b, a) if a.g.mode == "cone" else fbp(b, a)) - b).norm()
     out = Result(zeros(a))
     first = None
+    before = b.norm()
     for _ in range(iterations):
-        start = out.x
-        x = start
-        dd = (a.forward(x) - b).norm()
-        if dd * dd > epsilon:
+        start = x = out.x
+        if before**2 > epsilon:
             for part, vj in zip(parts, v, strict=True):
                 sub = a.only(part)
                 x = x.plus(beta, sub.adjoint((b.rows(part) - sub.forward(x)) * w.rows(part), "fdk") * vj).positive().done()
-        dp = (x - start).norm()
-        first = first or dp or 1.0
-        y = regular.descend(x, a.g.n_voxel, dp / first, tv_steps, delta)
+        dd = (a.forward(x) - b).norm()
+        length = 1.0 if first is None else before / max(first, 1e-300)
+        first = dd if first is None else first
+        y = regular.descend(x, a.g.n_voxel, length, tv_steps, delta).done()
         out.history.append(dd)
-        c = (y - x).dot(x - start) / max((y - x).norm() * dp, 1e-6)
-        out.x = y
+        c = (y - x).dot(x - start) / max((y - x).norm() * (x - start).norm(), 1e-6)
+        out.x, before = y, (a.forward(y) - b).norm()
         beta *= beta_red
         if (c < -0.99 and dd <= epsilon) or beta < 0.005:
             break
@@ -351,23 +351,11 @@ def irn_tv_cgls(b: Field, a: Projector, iterations: int, outer: int = 4, weight:
     g = a.g.n_voxel
     out = Result(zeros(a))
 
-    def diff(v: np.ndarray) -> list[np.ndarray]:
-        return [np.diff(v, axis=k, append=np.take(v, [-1], axis=k)) for k in range(3)]
-
-    def back(d: list[np.ndarray]) -> np.ndarray:
-        total = np.zeros(g)
-        for k, x in enumerate(d):
-            x = x.copy()
-            x[tuple(slice(-1, None) if i == k else slice(None) for i in range(3))] = 0
-            total -= np.diff(x, axis=k, prepend=0)
-        return total
-
     def penalty(x: Field, at: Field) -> Field:
         def run(v: np.ndarray, p: np.ndarray) -> np.ndarray:
-            w2 = weight**2 * (sum(d * d for d in diff(p)) + 1e-6) ** -0.5
-            return back([w2 * d for d in diff(v)])
+            return differences_back(weight**2 * ((differences(p) ** 2).sum(0) + 1e-6) ** -0.5 * differences(v))
 
-        return regular.whole(x, g, run, at)
+        return regular.local(x, at, g, run)
 
     for _ in range(outer):
         at, x = out.x, out.x
@@ -564,17 +552,30 @@ def mlem(b: Field, a: Projector, iterations: int, x: Field | None = None) -> Res
     return osem(b, a, iterations, 1 << 30, x)
 
 
+def enlarged(x: Field, shape: tuple[int, ...], to: tuple[int, ...]) -> Field:
+    """A volume on a finer grid, each voxel that of the coarse one at its place; slice by slice."""
+    from pyspark.sql import functions as F
+
+    (_, cy, cx), (nz, ny, nx) = shape, to
+    fine = a_range(x, nz).select("k", F.least(F.floor(F.col("k") * shape[0] / nz), F.lit(shape[0] - 1)).cast("int").alias("from_"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(ny * nx - 1)), lambda i: F.least(F.floor(F.floor(i / nx) * cy / ny), F.lit(cy - 1)) * cx + F.least(F.floor(i % nx * cx / nx), F.lit(cx - 1)))
+    rows = fine.join(x.df.withColumnRenamed("k", "from_"), "from_")
+    return Field(rows.select("k", F.transform(at, lambda i: F.get("data", i.cast("int"))).alias("data"))).done()
+
+
+def a_range(x: Field, n: int):
+    from pyspark.sql import functions as F
+
+    return x.df.sparkSession.range(n).select(F.col("id").cast("int").alias("k"))
+
+
 def multigrid_start(b: Field, a: Projector, levels: int = 2, iterations: int = 2) -> Field:
     """A first volume from coarse grids: SIRT on a grid of 1/2^levels, then each finer one from the one before."""
     g, x = a.g, None
     for level in range(levels, -1, -1):
         n = tuple(max(1, k >> level) for k in g.n_voxel)
-        here = Projector(Geometry(**{**g.__dict__, "n_voxel": n}), a.views, a.kind, a.whole_bytes)
-        start = None
-        if x is not None:
-            coarse = x.array().reshape(last)
-            pick = np.ix_(*[np.minimum(np.arange(k) * c // k, c - 1) for k, c in zip(n, last, strict=True)])
-            start = Field.of(a.spark, coarse[pick].reshape(n[0], -1))
+        here = Projector(Geometry(**{**g.__dict__, "n_voxel": n}), a.views, a.kind, a.slab_bytes, a.rows)
+        start = None if x is None else enlarged(x, last, n)
         if level:
             x, last = sirt(b, here, iterations, x=start).x, n
     return start if start is not None else zeros(a)

@@ -30,7 +30,9 @@ def gradient(x: np.ndarray, eps: float = 1e-8, delta: float | None = None) -> np
 
 
 def whole(x: Field, shape: tuple[int, int, int], run: Callable[[np.ndarray], np.ndarray], *others: Field) -> Field:
-    """``run`` on the whole volume in one task; for volumes whose size has been checked."""
+    """``run`` on the whole volume in one task; raises ValueError beyond ``WHOLE_BYTES``."""
+    if 8 * int(np.prod(shape)) > WHOLE_BYTES:
+        raise ValueError(f"a volume of {shape} is too large for one task")
     parts, count = x.df.withColumn("i", F.lit(0)), len(others) + 1
     for i, o in enumerate(others, 1):
         parts = parts.unionByName(o.df.withColumn("i", F.lit(i)))
@@ -44,6 +46,23 @@ def whole(x: Field, shape: tuple[int, int, int], run: Callable[[np.ndarray], np.
     return Field(parts.withColumn("all_", F.lit(0)).groupBy("all_").applyInArrow(work, FIELD))
 
 
+def local(x: Field, other: Field, shape: tuple[int, int, int], run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Field:
+    """``run`` of two volumes slice by slice, where a slice of its result depends on that slice and its neighbours."""
+    both = x.df.join(other.df.withColumnRenamed("data", "other"), "k").select("k", F.struct("data", "other").alias("s"))
+    before = both.select((F.col("k") + 1).alias("k"), F.col("s").alias("before"))
+    after = both.select((F.col("k") - 1).alias("k"), F.col("s").alias("after"))
+    rows = both.join(before, "k", "left").join(after, "k", "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                there = [r[c] for c in ("before", "s", "after") if r[c] is not None]
+                a, o = (np.array([t[c] for t in there], float).reshape(-1, *shape[1:]) for c in ("data", "other"))
+                yield as_table([r["k"]], run(a, o)[1 if r["before"] is not None else 0].reshape(1, -1))
+
+    return Field(rows.mapInArrow(work, FIELD))
+
+
 def gradient_field(x: Field, shape: tuple[int, int, int], eps: float, delta: float | None) -> Field:
     """``gradient`` slice by slice, each with its neighbours."""
     area = shape[1:]

@@ -70,9 +70,13 @@ def test_distributed_plans_equal_dense_algebra(spark, scan):
     a, vol, f, b, m = scan
     assert b.array().ravel() == pytest.approx(m @ vol.ravel(), abs=1e-9)
     assert a.adjoint(b).array().ravel() == pytest.approx(m.T @ (m @ vol.ravel()), rel=1e-9, abs=1e-9)
-    by_slice = Projector(CONE, a.views, whole_bytes=0)
-    assert by_slice.forward(f).array() == pytest.approx(b.array(), abs=1e-9)
-    assert by_slice.adjoint(b).array() == pytest.approx(a.adjoint(b).array(), abs=1e-9)
+    for kind in ("siddon", "interpolated", "fdk", "matched"):
+        one = Projector(CONE, a.views, kind)
+        for slab_bytes in (0, 8 * 90 * 3):
+            cut = Projector(CONE, a.views, kind, slab_bytes)
+            assert len(cut.slabs) == (8 if not slab_bytes else 3)
+            assert cut.forward(f).array() == pytest.approx(one.forward(f).array(), abs=1e-9)
+            assert cut.adjoint(b).array() == pytest.approx(one.adjoint(b).array(), abs=1e-9)
     assert largest_singular_value(a, 12) == pytest.approx(np.linalg.svd(m, compute_uv=False)[0], rel=0.02)
 
 
