@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raylattice.session import broadcast_if_small, placed
+
 EPS = 2.220446049250313e-16
 
 
@@ -53,31 +58,21 @@ def subsets(views: DataFrame, blocksize: int, how: str = "ordered", seed: int =
     """
     place = F.col("idx")
     if how == "random2":
-        w = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("idx", F.lit(seed)), "idx")
-        views, place = views.withColumn("place_", F.row_number().over(w) - 1), F.col("place_")
+        views, place = placed(views.withColumn("hash_", F.xxhash64("idx", F.lit(seed))), "hash_", "idx", name="place_"), F.col("place_")
     elif how not in ("ordered", "random"):
         raise ValueError(f"unknown order {how!r}")
     out = views.select("idx", F.floor(place / blocksize).cast("int").alias("block_id"), (place % blocksize).cast("int").alias("pos_in_block"))
     if how == "random":
-        blocks = out.select("block_id").distinct()
-        w = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("block_id", F.lit(seed)), "block_id")
-        out = out.join(F.broadcast(blocks.withColumn("to_", (F.row_number().over(w) - 1).cast("int"))), "block_id").select("idx", F.col("to_").alias("block_id"), "pos_in_block")
+        blocks = out.select("block_id").distinct().withColumn("hash_", F.xxhash64("block_id", F.lit(seed)))
+        blocks = placed(blocks, "hash_", "block_id", name="to_").select("block_id", F.col("to_").cast("int").alias("to_"))
+        out = out.join(broadcast_if_small(blocks, 16), "block_id").select("idx", F.col("to_").alias("block_id"), "pos_in_block")
     return out
 
 
 def sorted_modulo(views: DataFrame, period: float, angle: str = "angle", idx: str = "idx") -> DataFrame:
-    """``views`` with ``place``, their place from 1 in order of the angle modulo ``period``, then of ``idx``.
-
-    The places of each angle start after the counts of the smaller ones, so that only views of one angle are ranked
-    together.
-    """
-    at = views.withColumn("at_", F.pmod(F.col(angle), F.lit(period)))
-    counts = at.groupBy("at_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(F.lit(0)).orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("at_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    own = Window.partitionBy("at_").orderBy(idx)
-    ranked = at.withColumn("own_", F.row_number().over(own)).join(starts, "at_")
-    return ranked.withColumn("place", (F.col("start_") + F.col("own_")).cast("bigint")).drop("at_", "own_", "start_")
+    """``views`` with ``place``, their place from 1 in order of the angle modulo ``period``, then of ``idx``."""
+    at = placed(views.withColumn("at_", F.pmod(F.col(angle), F.lit(period))), "at_", idx)
+    return at.withColumn("place", F.col("place") + 1).drop("at_")
 
 
 def cylinder(image: DataFrame, cy: float, cx: float, radius: float, outside: float = 0.0, strict: bool = False) -> DataFrame:
@@ -87,26 +82,74 @@ def cylinder(image: DataFrame, cy: float, cx: float, radius: float, outside: flo
     return image.withColumn("value", F.when(inside, F.col("value")).otherwise(F.lit(outside).cast("double") if outside else F.lit(0)))
 
 
-def ellipsoids(spark: SparkSession, shape: tuple[int, int, int], rows: list[tuple]) -> DataFrame:
-    """(z, y, x, value) on [-1, 1]³: the sum of the amplitudes of the ellipsoids (a, b, c, x0, y0, z0, phi in degrees
-    about z, amplitude) that hold the voxel's centre. The few ellipsoids become one expression, so that each voxel
-    is made once and nothing is joined."""
+#: The three head phantoms' ellipsoids, as half axes a, b, c, centre x, y, z, Euler angles in degrees, amplitude.
+#: First that of Kak and Slaney; that of Yu, Ye and Wang has its places with amplitudes of more contrast.
+KAK_SLANEY = [
+    (0.69, 0.92, 0.9, 0, 0, 0, 0, 0, 0, 2.0),
+    (0.6624, 0.874, 0.88, 0, 0, 0, 0, 0, 0, -0.98),
+    (0.41, 0.16, 0.21, -0.22, 0, -0.25, 108, 0, 0, -0.02),
+    (0.31, 0.11, 0.22, 0.22, 0, -0.25, 72, 0, 0, -0.02),
+    (0.21, 0.25, 0.5, 0, 0.35, -0.25, 0, 0, 0, 0.02),
+    (0.046, 0.046, 0.046, 0, 0.1, -0.25, 0, 0, 0, 0.02),
+    (0.046, 0.023, 0.02, -0.08, -0.65, -0.25, 0, 0, 0, 0.01),
+    (0.046, 0.023, 0.02, 0.06, -0.65, -0.25, 90, 0, 0, 0.01),
+    (0.056, 0.04, 0.1, 0.06, -0.105, 0.625, 90, 0, 0, 0.02),
+    (0.056, 0.056, 0.1, 0, 0.1, 0.625, 0, 0, 0, -0.02),
+]
+YU_YE_WANG = [1.0, -0.8, -0.2, -0.2, 0.2, 0.2, 0.1, 0.1, 0.2, -0.2]
+TOFT_SCHABEL = [
+    (0.69, 0.92, 0.81, 0, 0, 0, 0, 0, 0, 1.0),
+    (0.6624, 0.874, 0.78, 0, -0.0184, 0, 0, 0, 0, -0.8),
+    (0.11, 0.31, 0.22, 0.22, 0, 0, -18, 0, 10, -0.2),
+    (0.16, 0.41, 0.28, -0.22, 0, 0, 18, 0, 10, -0.2),
+    (0.21, 0.25, 0.41, 0, 0.35, -0.15, 0, 0, 0, 0.1),
+    (0.046, 0.046, 0.05, 0, 0.1, 0.25, 0, 0, 0, 0.1),
+    (0.046, 0.046, 0.05, 0, -0.1, 0.25, 0, 0, 0, 0.1),
+    (0.046, 0.023, 0.05, -0.08, -0.605, 0, 0, 0, 0, 0.1),
+    (0.023, 0.023, 0.02, 0, -0.606, 0, 0, 0, 0, 0.1),
+    (0.023, 0.046, 0.02, 0.06, -0.605, 0, 0, 0, 0, 0.1),
+]
+
+
+def head_phantom(spark: SparkSession, shape: tuple[int, int, int], kind: str = "yu-ye-wang") -> DataFrame:
+    """(z, y, x, value): ``kak-slaney``, ``yu-ye-wang`` or ``toft-schabel``. The centres of the last turn with their
+    ellipsoids."""
+    if kind == "toft-schabel":
+        return ellipsoids(spark, shape, TOFT_SCHABEL, turned_centres=True, ends=True)
+    if kind not in ("kak-slaney", "yu-ye-wang"):
+        raise ValueError(f"unknown phantom {kind!r}")
+    rows = KAK_SLANEY if kind == "kak-slaney" else [(*r[:9], a) for r, a in zip(KAK_SLANEY, YU_YE_WANG, strict=True)]
+    return ellipsoids(spark, shape, rows, ends=True)
+
+
+def ellipsoids(spark: SparkSession, shape: tuple[int, int, int], rows: list[tuple], turned_centres: bool = False, ends: bool = False) -> DataFrame:
+    """(z, y, x, value) on [-1, 1]³: the sum of the amplitudes of the ellipsoids (a, b, c, x0, y0, z0, angles in degrees,
+    amplitude) that hold the voxel's centre. There is one angle, about z, or three: the frame is turned by the first
+    about z, by the second about the new x and by the third about the new z. Ellipsoids turn about their centres, or with
+    ``turned_centres`` about the origin. With ``ends`` the first and last voxels' centres lie at -1 and 1, else their outer faces. The few ellipsoids become one expression, so that each voxel is made once and
+    nothing is joined."""
     nz, ny, nx = shape
-    import math
-
-    at = [((F.col(a) * 2.0 + 1) / n - 1) for a, n in (("x", nx), ("y", ny), ("z", nz))]
+    place = (lambda i, n: i * (2.0 / max(n - 1, 1)) - 1) if ends else (lambda i, n: (i * 2.0 + 1) / n - 1)
+    at = [place(F.col(a), n) for a, n in (("x", nx), ("y", ny), ("z", nz))]
     total: Column = F.lit(0.0)
-    for a, b, c, x0, y0, z0, phi, amp in rows:
-        cos, sin = math.cos(math.radians(phi)), math.sin(math.radians(phi))
-        dx, dy, dz = at[0] - x0, at[1] - y0, at[2] - z0
-        rx, ry = dx * cos + dy * sin, dy * cos - dx * sin
-        total = total + F.when((rx / a) ** 2 + (ry / b) ** 2 + (dz / c) ** 2 <= 1, float(amp)).otherwise(0.0)
+    for a, b, c, x0, y0, z0, *angles, amp in rows:
+        phi, theta, psi = (math.radians(t) for t in (*angles, 0, 0)[:3])
+        turn = about_z(psi) @ np.array([[1, 0, 0], [0, math.cos(theta), math.sin(theta)], [0, -math.sin(theta), math.cos(theta)]]) @ about_z(phi)
+        before = [p if turned_centres else p - q for p, q in zip(at, (x0, y0, z0), strict=True)]
+        own = [sum((before[j] * float(turn[i, j]) for j in (1, 2)), before[0] * float(turn[i, 0])) for i in range(3)]
+        own = [p - q if turned_centres else p for p, q in zip(own, (x0, y0, z0), strict=True)]
+        total = total + F.when((own[0] / a) ** 2 + (own[1] / b) ** 2 + (own[2] / c) ** 2 <= 1, float(amp)).otherwise(0.0)
     cells = spark.range(nz * ny * nx).select(
         F.floor(F.col("id") / (ny * nx)).cast("int").alias("z"), F.floor(F.col("id") / nx % ny).cast("int").alias("y"), (F.col("id") % nx).cast("int").alias("x")
     )
     return cells.select("z", "y", "x", total.alias("value"))
 
 
+def about_z(angle: float) -> np.ndarray:
+    """Turns the frame, not the point."""
+    return np.array([[math.cos(angle), math.sin(angle), 0], [-math.sin(angle), math.cos(angle), 0], [0, 0, 1]])
+
+
 def flat_dark(projection: DataFrame, flats: DataFrame, darks: DataFrame, floor: float = 0.001) -> DataFrame:
     """(proj_idx, v, u, value): -ln of (p - dark) / (flat - dark) over its largest value; ratios that aren't
     positive become ``floor``. Flats and darks are averaged per pixel; the detector's size bounds them."""
@@ -154,6 +197,15 @@ def dose(files: DataFrame, factor: float, mas: float, least_bytes: int = 10 * 10
     return files.agg(n.alias("n_proj"), (factor * mas / 100 * n).alias("ctdi"))
 
 
+def zero_padded(images: DataFrame, shape: tuple[int, int], left: int, right: int) -> DataFrame:
+    """Images with columns of zeros added at both ends of u, as for a displaced detector whose filter must not be cut at
+    its edge. Column expressions only."""
+    nv, nu = shape
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(nv - 1)), lambda v: F.concat(zeros(left), F.slice("data", v * nu + 1, F.lit(nu)), zeros(right)))
+    return images.withColumn("data", F.flatten(rows))
+
+
 def union_scans(scans: list[DataFrame]) -> DataFrame:
     """Scans one after the other, the view numbers of each continuing those before. Each scan's size is one
     aggregate; no window runs over all views."""

@@ -2,71 +2,107 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def circular_spans(blanks: DataFrame, angle: str = "angle", period: float = 360.0) -> DataFrame:
-    """(lo, hi, lo_value, hi_value) between neighbouring blank views, with the one that wraps round.
-
-    ``blanks`` is one scan's calibration (angle, value), at most some hundred views; equal angles are averaged.
-    """
-    b = blanks.groupBy(F.pmod(F.col(angle), F.lit(period)).alias("lo")).agg(F.avg("value").alias("lo_value"))
-    w = Window.partitionBy(F.lit(0)).orderBy("lo")
-    first = b.agg(F.min("lo").alias("a"), F.min_by("lo_value", "lo").alias("v"))
-    spans = b.withColumns({"hi": F.lead("lo").over(w), "hi_value": F.lead("lo_value").over(w)})
-    wrapped = spans.withColumns({"hi": F.coalesce("hi", first.select("a").scalar() + period), "hi_value": F.coalesce("hi_value", first.select("v").scalar())})
-    last = wrapped.where(F.col("hi") >= period).select((F.col("lo") - period).alias("lo"), "lo_value", (F.col("hi") - period).alias("hi"), "hi_value")
-    return wrapped.unionByName(last)
+from raylattice.session import broadcast_if_small, materialise
+
+#: Cells of sources at most.
+CELLS = 1 << 24
+
+
+def source_cells(sources: DataFrame, low: float, high: float) -> tuple[DataFrame, Column]:
+    """Sources (angle, ``s_`` a struct that begins with it) in as many even cells as there are sources: per cell its
+    sources in order and the last before and first after, and the cell of a column ``angle``. Cells without sources
+    have a row as well, so that each target meets one row. A cell's neighbours come from blocks of cells, whose ends are
+    chained, so that no window holds all cells."""
+    n = max(1, min(CELLS, sources.count()))
+    cell = lambda a: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((a - low) / max(high - low, 1e-300) * n))).cast("int")
+    held = sources.withColumn("cell_", cell(F.col("angle"))).groupBy("cell_").agg(F.sort_array(F.collect_list("s_")).alias("l_"))
+    every = sources.sparkSession.range(n).select(F.col("id").cast("int").alias("cell_")).join(held, "cell_", "left").withColumn("block_", F.floor(F.col("cell_") / 1024))
+    ends = every.withColumns({"last_": F.element_at("l_", -1), "first_": F.element_at("l_", 1)})
+    blocks = ends.groupBy("block_").agg(F.max("last_").alias("b_last"), F.min("first_").alias("b_first"))
+    across = Window.partitionBy(F.lit(0)).orderBy("block_")  # one row for 1,024 cells
+    chained = blocks.select(
+        "block_", F.last("b_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("b_before"),
+        F.first("b_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("b_after"),
+    )
+    within = Window.partitionBy("block_").orderBy("cell_")
+    carried = ends.select(
+        "cell_", "l_", "block_", F.last("last_", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"),
+        F.first("first_", ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing)).alias("after_"),
+    ).join(chained, "block_")
+    return carried.select("cell_", "l_", F.coalesce("before_", "b_before").alias("before_"), F.coalesce("after_", "b_after").alias("after_")), cell(F.col("angle"))
+
+
+def around(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """``targets`` with ``lo_`` and ``hi_``, the sources' structs just at or before and at or after their ``angle``. An
+    equi-join with cells that hold about one source each: the cells are broadcast where they are counted small, else
+    hot cells are split like those of any join."""
+    ends = sources.agg(F.min("angle").alias("a"), F.max("angle").alias("b")).first()
+    cells, cell = source_cells(sources, *(float(x) if x is not None else 0.0 for x in (ends["a"], ends["b"])))
+    joined = targets.withColumn("cell_", cell).join(broadcast_if_small(cells, 128), "cell_")
+    own = F.coalesce("l_", F.array())
+    lo = F.element_at(F.filter(own, lambda s: s["angle"] <= F.col("angle")), -1)
+    hi = F.get(F.filter(own, lambda s: s["angle"] >= F.col("angle")), 0)
+    at = lambda c, other: F.coalesce(F.when(F.size("l_") > 0, c), F.col(other))
+    safe = F.when(F.size(F.filter(own, lambda s: s["angle"] <= F.col("angle"))) > 0, lo)
+    return joined.withColumns({"lo_": at(safe, "before_"), "hi_": at(hi, "after_")}).drop("cell_", "l_", "before_", "after_")
 
 
 def interpolate_circular(views: DataFrame, blanks: DataFrame, period: float = 360.0) -> DataFrame:
     """``views`` with ``blank``: the blank value at their angle, linear between the two neighbours modulo ``period``.
-
-    A range join whose small side is a calibration; each view meets one span, so no row is multiplied.
-    """
-    at = F.pmod(F.col("angle"), F.lit(period))
-    spans = circular_spans(blanks, period=period)
-    joined = views.withColumn("at_", at).join(F.broadcast(spans), (F.col("at_") >= F.col("lo")) & (F.col("at_") < F.col("hi")), "left")
-    share = (F.col("at_") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return joined.withColumn("blank", F.col("lo_value") * (1 - share) + F.col("hi_value") * share).drop("at_", "lo", "hi", "lo_value", "hi_value")
+    Equal blank angles are averaged. A view meets one row of the blanks' cells."""
+    b = blanks.groupBy(F.pmod(F.col("angle"), F.lit(period)).alias("angle")).agg(F.avg("value").alias("value"))
+    turns = b.withColumn("t_", F.explode(F.array(F.lit(-period), F.lit(0.0), F.lit(period)))).select((F.col("angle") + F.col("t_")).alias("angle"), "value")
+    sources = materialise(turns.select("angle", F.struct("angle", "value").alias("s_")))
+    at = F.pmod(F.col("angle_"), F.lit(period))
+    near = around(views.withColumnRenamed("angle", "angle_").withColumn("angle", at), sources)
+    width = F.col("hi_.angle") - F.col("lo_.angle")
+    share = F.when(width > 0, (F.col("angle") - F.col("lo_.angle")) / width).otherwise(0.0)
+    blank = F.col("lo_.value") * (1 - share) + F.col("hi_.value") * share
+    return near.withColumn("blank", blank).drop("angle", "lo_", "hi_").withColumnRenamed("angle_", "angle")
 
 
 def nearest(targets: DataFrame, sources: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(t_idx, t_angle, s_idx, s_angle, delta): each target's nearest source by angle; ties go to the smaller
-    source id. With ``tolerance`` targets whose nearest is further away are left out.
+    source id. With ``tolerance`` targets whose nearest is further away are left out. Both sides are (idx, angle)."""
+    s = materialise(sources.where("angle is not null and not isnan(angle)").groupBy("angle").agg(F.min("idx").alias("idx")).select("angle", F.struct("angle", "idx").alias("s_")))
+    near = around(targets.where("angle is not null and not isnan(angle)").select(F.col("idx").alias("t_idx"), "angle"), s)
 
-    Both sides are (idx, angle). They are merged and sorted once: a running last and a running next source give the
-    two candidates, so that no pairs are formed. Whole degrees split the sort into ranges, each carrying in the last
-    source before it and the first one after it.
-    """
-    s = sources.groupBy("angle").agg(F.min("idx").alias("idx"))
-    both = targets.select(F.col("idx").alias("t_idx"), "angle", F.lit(None).cast("bigint").alias("s_idx")).unionByName(
-        s.select(F.lit(None).cast("bigint").alias("t_idx"), "angle", F.col("idx").alias("s_idx"))
-    ).withColumn("cell_", F.floor("angle"))
-    src = F.when(F.col("s_idx").isNotNull(), F.struct("angle", "s_idx"))
-    ends = both.groupBy("cell_").agg(F.max(src).alias("last_"), F.min(src).alias("first_"))
-    cells = Window.partitionBy(F.lit(0)).orderBy("cell_")
-    carried = ends.select(
-        "cell_", F.last("last_", ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"),
-        F.first("first_", ignorenulls=True).over(cells.rowsBetween(1, Window.unboundedFollowing)).alias("after_"),
-    )
-    w = Window.partitionBy("cell_").orderBy("angle")
-    near = both.withColumns({
-        "lo_": F.last(src, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "hi_": F.first(src, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-    }).where("t_idx is not null").join(carried, "cell_")
-    lo, hi = F.coalesce("lo_", "before_"), F.coalesce("hi_", "after_")
-    def cand(c: Column) -> Column:
-        return F.when(c.isNotNull(), F.struct(F.abs(F.col("angle") - c["angle"]).alias("delta"), c["s_idx"].alias("s_idx"), c["angle"].alias("s_angle")))
-    best = F.least(cand(lo), cand(hi))
-    out = near.withColumn("b_", best).select("t_idx", F.col("angle").alias("t_angle"), "b_.s_idx", "b_.s_angle", "b_.delta").where("s_idx is not null")
+    def cand(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("angle") - F.col(f"{c}.angle")).alias("delta"), F.col(f"{c}.idx").alias("s_idx"), F.col(f"{c}.angle").alias("s_angle")))
+
+    out = near.withColumn("b_", F.least(cand("lo_"), cand("hi_"))).select("t_idx", F.col("angle").alias("t_angle"), "b_.s_idx", "b_.s_angle", "b_.delta").where("s_idx is not null")
     return out if tolerance is None else out.where(F.col("delta") <= tolerance)
 
 
+def keyed(rows: DataFrame, calibration: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``calibration`` for their ``keys``, of which it must hold one row each. A key that it
+    lacks ends the query with an error that names it; it is never a silent null."""
+    known = calibration.dropDuplicates(keys).withColumn("known_", F.lit(True))
+    joined = rows.join(broadcast_if_small(known, 256), keys, "left")
+    name = F.concat(F.lit("no calibration for "), F.to_json(F.struct(*keys)))
+    return joined.where(F.when(F.col("known_").isNull(), F.raise_error(name).cast("boolean")).otherwise(F.lit(True))).drop("known_")
+
+
+def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The real roots of a x³ + b x² + c x + d in ascending order, for a that isn't 0: by the cosines of thirds where there
+    are three, else Cardano's one. Null coefficients give null."""
+    p, q = (3 * a * c - b * b) / (3 * a * a), (2 * b * b * b - 9 * a * b * c + 27 * a * a * d) / (27 * a * a * a)
+    shift, disc = b / (3 * a), q * q / 4 + p * p * p / 27
+    cube = lambda x: F.signum(x) * F.pow(F.abs(x), F.lit(1 / 3))
+    size = 2 * F.sqrt(F.greatest(-p / 3, F.lit(0.0)))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(size > 0, 3 * q / (p * size)).otherwise(1.0))))
+    three = F.array(*[size * F.cos((angle - 2 * math.pi * k) / 3) - shift for k in range(3)])
+    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+    return F.when(disc.isNotNull(), F.when(disc < 0, F.array_sort(three)).otherwise(F.array(cube(-q / 2 + root) + cube(-q / 2 - root) - shift)))
+
+
 def spaced_views(views: DataFrame, threshold: float, by: str = "scan_id") -> DataFrame:
     """The views of each scan, in order of ``idx``, whose angle differs from the last kept one by more than
     ``threshold``; the first is kept. Null and NaN angles are left out.

@@ -427,3 +427,54 @@ def q51_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ANG_SQL} SELECT idx, angle, row_number() OVER (ORDER BY (angle % 180 + 180) % 180, idx) AS place FROM ang")
 def q52_sort_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquisition.sorted_modulo(angles(spark, sf_dir).select("idx", "angle"), 180.0)
+
+
+def phantom_sql(rows: list[tuple], turned_centres: bool) -> str:
+    values = ", ".join(str(tuple(float(x) for x in r)) for r in rows)
+    start = "x - 0" if turned_centres else "x - x0"
+    return f"""WITH e AS (SELECT a, b, c, x0, y0, z0, radians(f) AS f, radians(t) AS t, radians(s) AS s, amp FROM (VALUES {values}) v(a, b, c, x0, y0, z0, f, t, s, amp)),
+g AS (SELECT CAST(i // 576 AS INT) AS z, CAST(i // 24 % 24 AS INT) AS y, CAST(i % 24 AS INT) AS x FROM range(13824) r(i)),
+p AS (SELECT e.*, g.z AS iz, g.y AS iy, g.x AS ix, {"0" if turned_centres else "1"} AS own, g.x * (2e0 / 23) - 1 AS x, g.y * (2e0 / 23) - 1 AS y, g.z * (2e0 / 23) - 1 AS z FROM g, e),
+q AS (SELECT *, {start} AS x1, y - own * y0 AS y1, z - own * z0 AS z1 FROM p),
+r AS (SELECT *, x1 * cos(f) + y1 * sin(f) AS x2, y1 * cos(f) - x1 * sin(f) AS y2 FROM q),
+u AS (SELECT *, y2 * cos(t) + z1 * sin(t) AS y3, z1 * cos(t) - y2 * sin(t) AS z3 FROM r),
+w AS (SELECT *, x2 * cos(s) + y3 * sin(s) - (1 - own) * x0 AS x4, y3 * cos(s) - x2 * sin(s) - (1 - own) * y0 AS y4, z3 - (1 - own) * z0 AS z4 FROM u)
+SELECT iz AS z, iy AS y, ix AS x, round(CAST(sum(CASE WHEN power(x4 / a, 2) + power(y4 / b, 2) + power(z4 / c, 2) <= 1 THEN amp ELSE 0 END) AS DOUBLE), 9) + 0.0 AS value FROM w GROUP BY 1, 2, 3"""
+
+
+def phantom(spark: SparkSession, kind: str) -> DataFrame:
+    return rounded(acquisition.head_phantom(spark, (24, 24, 24), kind), 9).withColumn("value", F.col("value") + 0.0)
+
+
+@query(phantom_sql(acquisition.KAK_SLANEY, False))
+def q53_phantom_kak_slaney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phantom(spark, "kak-slaney")
+
+
+@query(phantom_sql([(*r[:9], a) for r, a in zip(acquisition.KAK_SLANEY, acquisition.YU_YE_WANG, strict=True)], False))
+def q54_phantom_yu_ye_wang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phantom(spark, "yu-ye-wang")
+
+
+@query(phantom_sql(acquisition.TOFT_SCHABEL, True))
+def q55_phantom_toft_schabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phantom(spark, "toft-schabel")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice FROM lineitem), c AS (SELECT l_returnflag, l_linestatus, CAST(count(*) AS DOUBLE) AS gain FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / gain, 9) AS value FROM t JOIN c USING (l_returnflag, l_linestatus)""")
+def q56_keyed_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem")
+    keys = ["l_returnflag", "l_linestatus"]
+    gain = t.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("gain"))
+    rows = lookup.keyed(t.select("l_orderkey", "l_linenumber", *keys, "l_extendedprice"), gain, keys)
+    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / F.col("gain"), 9).alias("value"))
+
+
+@query("""WITH e AS (SELECT vec_id AS proj_idx, CAST(i AS INT) AS i, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))
+SELECT proj_idx, CAST(i // 8 * 12 + i % 8 + 3 AS INT) AS i, round(e, 9) + 0.0 AS value FROM e
+UNION ALL SELECT DISTINCT proj_idx, CAST(k AS INT), 0.0e0 FROM e, range(96) t(k) WHERE k % 12 < 3 OR k % 12 = 11""")
+def q57_zero_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("proj_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
+    wide = acquisition.zero_padded(images, (8, 8), 3, 1)
+    return wide.select("proj_idx", F.posexplode("data").alias("i", "value")).withColumn("value", F.round("value", 9) + 0.0)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def placed(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``df`` with ``name``, each row's place from 0 in the given order. Rows are split by range and sorted, then each
+    part begins after the counts of those before; no part holds all rows. Ties of all of ``order`` take any place."""
+    parts = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    rows = parts.withColumns({"part_": F.spark_partition_id(), "row_": F.monotonically_increasing_id()})
+    rows = rows.withColumn("row_", F.col("row_").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # a row per partition
+    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"))
+    return rows.join(F.broadcast(before), "part_").withColumn(name, (F.col("start_") + F.col("row_")).cast("bigint")).drop("part_", "row_", "start_")

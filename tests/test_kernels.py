@@ -275,3 +275,85 @@ def test_straight_protons_land_in_their_pixel(spark):
     out = protons.project(spark.createDataFrame(rows, schema), (4, 4), (1.0, 1.0), 50.0, 200.0).collect()
     assert [(r["pixel"], r["value"], r["rejected"]) for r in out] == [(10, pytest.approx(15.0), 2)]
     assert protons.project(spark.createDataFrame([], schema), (4, 4), (1.0, 1.0), 50.0, 200.0).count() == 0
+
+
+def test_phantoms_roots_keys_padding_and_places(spark):
+    from pyspark.sql import functions as F
+
+    from raylattice.operators import acquisition, lookup
+    from raylattice.session import placed
+
+    with pytest.raises(ValueError):
+        acquisition.head_phantom(spark, (4, 4, 4), "x")
+    head = {(r["z"], r["y"], r["x"]): r["value"] for r in acquisition.head_phantom(spark, (9, 9, 9), "kak-slaney").collect()}
+    assert head[4, 4, 4] == pytest.approx(1.02) and head[0, 0, 0] == 0
+    rng = np.random.default_rng(5)
+    rows = [tuple(float(x) for x in r) for r in rng.normal(size=(50, 4))] + [(1.0, -6.0, 11.0, -6.0), (1.0, 0.0, 0.0, 0.0), (2.0, 0.0, 0.0, -16.0)]
+    df = spark.createDataFrame(rows + [(1.0, None, 1.0, 1.0)], "a double, b double, c double, d double")
+    got = [r["x"] for r in df.select(lookup.cubic_roots(*[F.col(k) for k in "abcd"]).alias("x")).collect()]
+    for r, x in zip(rows, got, strict=False):
+        true = sorted(z.real for z in np.roots(r) if abs(z.imag) < 1e-7)
+        assert x == pytest.approx(true if len(x) == len(true) else [true[0]], abs=1e-6)
+    assert got[-1] is None
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    assert lookup.keyed(left, spark.createDataFrame([(1, 5.0), (2, 6.0), (2, 6.0)], "k int, gain double"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="no calibration for"):
+        lookup.keyed(left, spark.createDataFrame([(1, 5.0)], "k int, gain double"), ["k"]).collect()
+    image = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0])], "proj_idx int, data array<double>")
+    assert acquisition.zero_padded(image, (2, 2), 1, 2).first()["data"] == [0, 1, 2, 0, 0, 0, 3, 4, 0, 0]
+    many = spark.range(5000).withColumn("x", (F.col("id") * 7919) % 1000)
+    at = placed(many, "x", "id").orderBy("x", "id").collect()
+    assert [r["place"] for r in at] == list(range(5000)) and placed(many.limit(0), "id").count() == 0
+
+
+def test_nearest_against_brute_force(spark):
+    from raylattice.operators import lookup
+
+    rng = np.random.default_rng(9)
+    sources = [(i, float(a)) for i, a in enumerate(np.concatenate([rng.normal(0, 1, 300).round(2), [50.0, 50.0, -80.0]]))]
+    targets = [(i, float(a)) for i, a in enumerate(np.concatenate([rng.normal(0, 40, 500).round(1), [50.0] * 40]))]
+    kind = "idx bigint, angle double"
+    s, t = spark.createDataFrame([*sources, (999, None), (998, float("nan"))], kind), spark.createDataFrame([*targets, (999, None)], kind)
+    got = {r["t_idx"]: (r["s_idx"], r["delta"]) for r in lookup.nearest(t, s).collect()}
+    assert len(got) == len(targets)
+    for i, a in targets:
+        best = min(abs(a - b) for _, b in sources)
+        assert got[i][1] == best and abs(dict(sources)[got[i][0]] - a) == best
+    assert lookup.nearest(t, s.limit(0)).count() == 0 and lookup.nearest(t.limit(0), s).count() == 0
+    one = spark.createDataFrame([(0, 10.0)], kind).selectExpr("angle", "5.0D as value")
+    assert all(abs(r["blank"] - 5) < 1e-9 for r in lookup.interpolate_circular(t.where("angle is not null"), one).collect())
+
+
+def test_pcsd_against_a_dense_loop(scan):
+    a, vol, _, b, m = scan
+    rhs = m @ vol.ravel()
+    rays = int(np.prod(CONE.n_detector))
+    back = dense(CONE, "fdk")
+    w = np.where(m.sum(1) <= min(CONE.d_voxel) / 2, 0, 1 / np.maximum(m.sum(1), 1e-300))
+    out = R.pcsd(b, a, 3, blocksize=5, tv_steps=2, epsilon=1.0)
+    x, first, before, beta = np.zeros(m.shape[1]), None, np.linalg.norm(rhs), 1.0
+    for k in range(3):
+        if before**2 > 1.0:
+            for part in (slice(0, 5 * rays), slice(5 * rays, None)):
+                v = back[part].sum(0)
+                v = np.where(v <= 0, 0, 1 / np.maximum(v, 1e-300))
+                x = np.maximum(x + beta * v * (back[part].T @ ((rhs[part] - m[part] @ x) * w[part])), 0)
+        dd = np.linalg.norm(m @ x - rhs)
+        assert out.history[k] == pytest.approx(dd, rel=1e-6)
+        length, first = (1.0, dd) if first is None else (before / first, first)
+        for _ in range(2):
+            g = regular.gradient(x.reshape(vol.shape)).ravel()
+            x = x - length * g / np.sqrt((g * g).sum() + 1e-7)
+        before = np.linalg.norm(m @ x - rhs)
+        beta *= 0.99
+    assert out.x.array().ravel() == pytest.approx(x, abs=1e-6)
+    # The descent goes on once the data step has stopped.
+    still = R.pcsd(b, a, 2, blocksize=5, tv_steps=2, epsilon=1e12)
+    assert np.isfinite(still.history).all() and len(still.history) >= 1
+
+
+def test_coarse_volumes_are_enlarged_slice_by_slice(spark):
+    x = np.arange(2 * 3 * 2, dtype=float).reshape(2, 3, 2)
+    got = R.enlarged(Field.of(spark, x.reshape(2, -1)), (2, 3, 2), (5, 7, 4)).array().reshape(5, 7, 4)
+    pick = np.ix_(*[np.minimum(np.arange(k) * c // k, c - 1) for k, c in zip((5, 7, 4), (2, 3, 2), strict=True)])
+    assert (got == x[pick]).all()
