@@ -52,8 +52,8 @@ def raw_frame(raw: bytes, shape: tuple[int, int], dtype: str = "<u2", flip: bool
     return image[::-1] if flip else image
 
 
-def xim(raw: bytes) -> tuple[np.ndarray, dict]:
-    """(image, properties) of a compressed detector frame.
+def xim(raw: bytes, pixels: bool = True) -> tuple[np.ndarray | None, dict]:
+    """(image, properties) of a compressed detector frame; without ``pixels`` they are skipped and the image is None.
 
     After the header come the first row and one pixel in full, then differences of 1, 2 or 4 bytes whose sizes two
     bits each tell. A difference adds to left + above - above left, so that a row is a running sum of the differences
@@ -62,7 +62,12 @@ def xim(raw: bytes) -> tuple[np.ndarray, dict]:
     at = 8
     _, width, height, _, _, packed = struct.unpack("<6i", raw[at : at + 24])
     at += 24
-    if packed:
+    image = None
+    if not pixels:
+        if packed:
+            at += 4 + struct.unpack("<i", raw[at : at + 4])[0]
+        at += 4 + struct.unpack("<i", raw[at : at + 4])[0] + 4 * bool(packed)
+    elif packed:
         n = struct.unpack("<i", raw[at : at + 4])[0]
         table = np.frombuffer(raw, np.uint8, n, at + 4)
         at += 4 + n + 4

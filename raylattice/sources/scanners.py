@@ -5,15 +5,19 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raylattice.geometry import Geometry
-from raylattice.operators.acquisition import sampled
+from raylattice.operators import corrections
+from raylattice.operators.acquisition import log_normalised, sampled
+from raylattice.operators.lookup import around, spaced_views
+from raylattice.session import broadcast_if_small, materialise, placed
 from raylattice.sources import formats
 
 FRAME = "proj_idx bigint, data array<double>"
@@ -31,7 +35,7 @@ def numbered(spark: SparkSession, folder: str, glob: str, how: str = "step", n:
     """(idx, path): the folder's frames in order of their names, those that the sampling keeps. Only names are listed
     and sorted; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-    files = files.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).cast("bigint").alias("idx"), "path")
+    files = placed(files, "path", name="idx").select("idx", "path")
     return sampled(files, how, n, files.count() if how == "equidistant" else None)
 
 
@@ -139,31 +143,138 @@ def diondo(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> t
     return logged(frames(spark, folder, "*.raw", lambda raw: formats.raw_frame(raw, (nv, nu)), how, n), 65535.0), g, sampled(angles, how, n, total)
 
 
-def xim_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, data, properties) of every XIM frame below ``folder``; properties as texts."""
+def xim_files(spark: SparkSession, folder: str, glob: str = "*.xim") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+
+def xim_properties(spark: SparkSession, folder: str, glob: str = "*.xim") -> DataFrame:
+    """(path, angle, airnorm) of every XIM frame below ``folder``: its gantry angle in degrees and its air reading.
+    Pixels are skipped. Frames without image or angle give nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.map_(pa.string(), pa.string())
         for b in batches:
+            rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                image, props = formats.xim(content)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([image.astype(float).ravel()], pa.list_(pa.float64())), pa.array([[(k, str(v)) for k, v in props.items()]], kind)], names=["path", "data", "properties"])
+                try:
+                    p = formats.xim(content, pixels=False)[1]
+                    rows.append((path, float(p["GantryRtn"]), float(p["KVNormChamber"])))
+                except (ValueError, KeyError, IndexError, struct.error):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.string(), pa.float64(), pa.float64()), strict=True)], names=["path", "angle", "airnorm"])
+
+    return xim_files(spark, folder, glob).mapInArrow(run, "path string, angle double, airnorm double")
+
+
+def xim_images(spark: SparkSession, folder: str, wanted: DataFrame, glob: str = "*.xim") -> DataFrame:
+    """``wanted`` (path, airnorm, ...) with ``data``: each frame, mirrored along u, over its air reading. Other files
+    aren't decoded."""
+    more = [c for c in wanted.columns if c != "airnorm"]
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xim").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return raw.mapInArrow(run, "path string, data array<double>, properties map<string,string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (content, air) in enumerate(zip(b.column("content").to_pylist(), b.column("airnorm").to_pylist(), strict=True)):
+                image = formats.xim(content)[0][:, ::-1].astype(float) / air
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in more), pa.array([image.ravel()], pa.list_(pa.float64()))], names=[*more, "data"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in wanted.dtypes if c != "airnorm")
+    return xim_files(spark, folder, glob).join(broadcast_if_small(wanted, 512), "path").mapInArrow(run, f"{schema}, data array<double>")
+
+
+#: Degrees between the gantry's head and the imaging source.
+SOURCE_TURN = 90.0
 
 
 def varian_projections(spark: SparkSession, folder: str, threshold: float) -> DataFrame:
-    """(idx, angle, airnorm, data): frames in order of their names, those whose gantry angle is more than
-    ``threshold`` from the last kept one."""
-    from raylattice.operators.lookup import spaced_views
-
-    x = xim_frames(spark, folder).select(
-        "path", F.col("properties")["GantryRtn"].try_cast("double").alias("angle"), F.col("properties")["KVNormChamber"].try_cast("double").alias("airnorm"), "data"
-    )
-    order = x.select("path", "angle").withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).cast("bigint"))
-    kept = spaced_views(order.withColumn("scan_id", F.lit(0)), threshold).select("idx")
-    return x.join(order.select("path", "idx").join(kept, "idx"), "path").select("idx", "angle", "airnorm", F.transform("data", lambda v: v).alias("data"))
+    """(idx, angle, data): frames in order of their names, those whose angle is more than ``threshold`` degrees from the
+    last kept one, divided by their air readings. Angles are read first, pixels of the kept frames only."""
+    seen = placed(xim_properties(spark, folder, "Proj_*.xim"), "path", name="idx").withColumn("angle", F.col("angle") + SOURCE_TURN)
+    kept = spaced_views(seen.select(F.lit(0).alias("scan_id"), "idx", "angle"), threshold).select("idx")
+    wanted = seen.join(broadcast_if_small(kept, 16), "idx").select("path", "idx", "angle", "airnorm")
+    return xim_images(spark, folder, wanted, "Proj_*.xim").select("idx", "angle", "data")
+
+
+def varian_blanks(spark: SparkSession, folder: str, bowtie: bool, version: float, clockwise: bool) -> DataFrame:
+    """(angle, data): blank frames over their air readings; the older version has one for all angles."""
+    name = "Filter.xim" if not bowtie else "FilterBowtie.xim" if version < 2.7 else f"FilterBowtie_{'CW' if clockwise else 'CC'}*.xim"
+    found = xim_properties(spark, f"{folder}/Calibrations/Air-*", name)
+    if version < 2.7:
+        found = found.orderBy("path").limit(1)
+    wanted = materialise(found.withColumn("angle", F.col("angle") + SOURCE_TURN))
+    if not wanted.head(1):
+        raise FileNotFoundError(f"{folder}/Calibrations has no blank frame {name}")
+    return xim_images(spark, f"{folder}/Calibrations/Air-*", wanted, name).select("angle", "data")
+
+
+def varian_settings(spark: SparkSession, folder: str) -> tuple[dict[str, str], Geometry]:
+    """The scan's settings by name, and its geometry: the grid of the scanner's own reconstruction if there is one, else
+    one that covers the detector. Raises ValueError for versions other than 2.0 and 2.7 and for missing settings."""
+    raw = formats.xml_values(text_of(spark, f"{folder}/Scan.xml"))
+    version = next((v for k, v in raw.items() if k.endswith("Scan@Version")), "")
+    h = {k.rpartition("/")[2]: v for k, v in raw.items() if "/Acquisitions/" in f"/{k}/"} | {"Version": version.removesuffix(".0.0")}
+    if not re.fullmatch(r"2\.[07](\..*)?|2", h["Version"]):
+        raise ValueError(f"unknown version {version!r} of {folder}/Scan.xml")
+    try:
+        nu, nv, du, dv = int(h["ImagerSizeX"]), int(h["ImagerSizeY"]), float(h["ImagerResX"]), float(h["ImagerResY"])
+        dso, dsd, lateral = float(h["SAD"]), float(h["SID"]), float(h["ImagerLat"])
+    except (KeyError, ValueError) as e:
+        raise ValueError(f"{folder}/Scan.xml: {e}") from e
+    own = spark.read.format("binaryFile").option("pathGlobFilter", "Reconstruction.xml").option("recursiveFileLookup", "true").load(folder).select("content").limit(2).collect()
+    if len(own) > 1:
+        raise ValueError(f"several Reconstruction.xml below {folder}")
+    if own:
+        r = {k.rpartition("/")[2]: v for k, v in formats.xml_values(bytes(own[0]["content"]).decode("utf-8-sig", "replace")).items()}
+        size = tuple(float(r[f"VOISize{a}"]) for a in "ZYX")
+        n = (math.ceil(size[0] / float(r["SliceThickness"])), int(r["MatrixSize"]), int(r["MatrixSize"]))
+    else:
+        voxel = (dv * dso / dsd, du * dso / dsd, du * dso / dsd)
+        n = (nv, *[math.ceil(nu + abs(lateral) / du)] * 2)
+        size = tuple(k * d for k, d in zip(n, voxel, strict=True))
+    return h, Geometry(n, size, (nv, nu), (dv, du), dso, dsd, off_detector=(0.0, -lateral))
+
+
+def blank_of_view(views: DataFrame, blanks: DataFrame) -> DataFrame:
+    """``views`` (idx, angle, data) with ``blank``, linear between the blanks (angle, data) just before and after their
+    angle modulo 360. Angles find their neighbours first; images are joined by number."""
+    known = materialise(placed(blanks.groupBy(F.pmod("angle", F.lit(360.0)).alias("angle")).agg(F.first("data").alias("data")), "angle", name="b_"))
+    turns = known.select("b_", "angle", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).alias("t_")).select((F.col("angle") + F.col("t_")).alias("angle"), "b_")
+    near = around(views.select("idx", F.pmod("angle", F.lit(360.0)).alias("angle")), materialise(turns.select("angle", F.struct("angle", "b_").alias("s_"))))
+    width = F.col("hi_.angle") - F.col("lo_.angle")
+    share = F.when(width > 0, (F.col("angle") - F.col("lo_.angle")) / width).otherwise(0.0)
+    near = near.select("idx", share.alias("w_"), F.col("lo_.b_").alias("lo_"), F.col("hi_.b_").alias("hi_"))
+    images = known.select("b_", "data")
+    lo, hi = images.select(F.col("b_").alias("lo_"), F.col("data").alias("d_lo")), images.select(F.col("b_").alias("hi_"), F.col("data").alias("d_hi"))
+    both = views.join(near.join(lo, "lo_").join(hi, "hi_"), "idx")
+    return both.withColumn("blank", F.zip_with("d_lo", "d_hi", lambda a, b: a * (1 - F.col("w_")) + b * F.col("w_"))).drop("w_", "lo_", "hi_", "d_lo", "d_hi")
+
+
+def cleared(views: DataFrame, g: Geometry, run: Callable[..., np.ndarray], *others: str) -> DataFrame:
+    """``views`` (idx, data, ...) with ``run`` applied to each image."""
+    images = corrections.per_image(views.withColumnRenamed("idx", "proj_idx"), g.n_detector, run, *others)
+    return views.drop("data").join(images.withColumnRenamed("proj_idx", "idx"), "idx")
+
+
+def varian(spark: SparkSession, folder: str, spaced: bool = True, point: list[float] | None = None, groups: list[dict] | None = None, airs: float = 0.02) -> tuple[DataFrame, Geometry, DataFrame]:
+    """(projections, geometry, angles) of a cone-beam folder: Scan.xml, Acquisitions with XIM frames, Calibrations with
+    blanks. Angles are read before pixels; with ``spaced`` frames taken while the gantry speeds up or slows down are
+    left out (0.9 of the usual step). Frames and blanks are divided by their air readings, cleared of the detector's
+    scatter with ``point`` and of the object's with ``groups``, where given; then the logarithm against the blank of the
+    view's angle, and the median of nine pixels along u against rings."""
+    h, g = varian_settings(spark, folder)
+    bowtie = bool(h.get("Bowtie", "").strip()) and h["Bowtie"].strip().lower() != "none"
+    threshold = 0.9 * float(h["Velocity"]) / float(h["FrameRate"]) if spaced else 0.0
+    clockwise = float(h["StopAngle"]) < float(h["StartAngle"])
+    views = varian_projections(spark, f"{folder}/Acquisitions", threshold)
+    blanks = varian_blanks(spark, folder, bowtie, float(".".join(h["Version"].split(".")[:2])), clockwise)
+    if point:
+        points = lambda _, p: corrections.point_scatter(p, g.d_detector, point)
+        views, blanks = cleared(views, g, points), cleared(placed(blanks, "angle", name="idx"), g, points)
+    rows = blank_of_view(views, blanks)
+    if groups:
+        rows = cleared(rows, g, lambda _, p, b: corrections.object_scatter(p, b, groups, g.d_detector, airs), "blank")
+    rows = rows.withColumn("data", F.zip_with("data", "blank", log_normalised)).select(F.col("idx").alias("proj_idx"), "angle", "data")
+    rows = materialise(rows)
+    images = corrections.ring_removal(rows.select("proj_idx", "data"), g.n_detector)
+    return images, g, rows.select(F.col("proj_idx").alias("idx"), F.radians("angle").alias("angle"))
 
 
 def material_table(spark: SparkSession, path: str) -> DataFrame:

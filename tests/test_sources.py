@@ -64,7 +64,9 @@ def test_folders(spark, tmp_path):
     frames.mkdir()
     for k, a in enumerate((0.0, 0.4, 1.1, 1.2, 2.5)):
         (frames / f"Proj_{k}.xim").write_bytes(xim_bytes(np.arange(12).reshape(3, 4), {"GantryRtn": a, "KVNormChamber": 2.0}))
-    assert [r["angle"] for r in scanners.varian_projections(spark, str(frames), 1.0).orderBy("idx").collect()] == [0.0, 1.1, 2.5]
+    kept = scanners.varian_projections(spark, str(frames), 1.0).orderBy("idx").collect()
+    assert [r["angle"] for r in kept] == [90.0, 91.1, 92.5]
+    assert kept[0]["data"] == (np.arange(12).reshape(3, 4)[:, ::-1] / 2.0).ravel().tolist()
     with pytest.raises(FileNotFoundError):
         scanners.text_of(spark, f"{tmp_path}/*.tif")
 
@@ -117,3 +119,58 @@ def test_spaced_stream_keeps_its_state(spark, tmp_path):
     q = incremental.spaced_stream(stream, 1.0).writeStream.format("memory").queryName("spaced").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("spaced").collect())) == [(1, 0, 0.0), (1, 2, 1.2), (2, 0, 5.0)]
+
+
+SCAN_XML = (
+    '<Scan xmlns="http://baltic.varian.com" Version="{version}"><Acquisitions><SID>1500</SID><SAD>1000</SAD><ImagerSizeX>12</ImagerSizeX><ImagerSizeY>3</ImagerSizeY><ImagerResX>2</ImagerResX><ImagerResY>2</ImagerResY>'
+    "<ImagerLat>-4</ImagerLat><StartAngle>0</StartAngle><StopAngle>30</StopAngle><Bowtie>{bowtie}</Bowtie><Velocity>6</Velocity><FrameRate>1</FrameRate></Acquisitions></Scan>"
+)
+
+
+def varian_folder(at, version="2.7.0.0", bowtie="Half"):
+    """Six frames of which two come too early, two blanks, a broken file."""
+    rng = np.random.default_rng(4)
+    (at / "Acquisitions/77").mkdir(parents=True)
+    (at / "Calibrations/Air-1/Current").mkdir(parents=True)
+    (at / "Scan.xml").write_text(SCAN_XML.format(version=version, bowtie=bowtie))
+    frames = {}
+    for k, angle in enumerate((0.0, 1.0, 6.0, 8.0, 12.0, 350.0)):
+        frames[angle] = rng.integers(100, 1000, (3, 12))
+        (at / f"Acquisitions/77/Proj_{k}.xim").write_bytes(xim_bytes(frames[angle], {"GantryRtn": angle, "KVNormChamber": 2.0 + k}))
+    (at / "Acquisitions/77/Proj_9.xim").write_bytes(b"broken")
+    blanks = {a: np.full((3, 12), 40_000 + 100 * int(a)) for a in (0.0, 20.0)}
+    for k, (a, image) in enumerate(blanks.items()):
+        (at / f"Calibrations/Air-1/Current/FilterBowtie_CC{k}.xim").write_bytes(xim_bytes(image, {"GantryRtn": a, "KVNormChamber": 4.0}))
+    (at / "Calibrations/Air-1/Current/Filter.xim").write_bytes(xim_bytes(blanks[0.0], {"GantryRtn": 0.0, "KVNormChamber": 4.0}))
+    return frames, blanks
+
+
+def test_varian_folder_from_frames_to_line_integrals(spark, tmp_path):
+    frames, blanks = varian_folder(tmp_path)
+    images, g, angles = scanners.varian(spark, str(tmp_path))
+    assert (g.n_detector, g.d_detector, g.dso, g.dsd, g.off_detector) == ((3, 12), (2.0, 2.0), 1000.0, 1500.0, (0.0, 4.0)) and g.n_voxel == (3, 14, 14)
+    at = {r["idx"]: np.degrees(r["angle"]) for r in angles.collect()}
+    assert at == pytest.approx({0: 90.0, 2: 96.0, 4: 102.0, 5: 440.0})
+    got = {r["proj_idx"]: np.array(r["data"]).reshape(3, 12) for r in images.collect()}
+    for k, a in zip((0, 2, 4, 5), (0.0, 6.0, 12.0, 350.0), strict=True):
+        share = {0.0: 0.0, 6.0: 0.3, 12.0: 0.6, 350.0: 10 / 340}[a]
+        blank = ((1 - share) * blanks[0.0] + share * blanks[20.0]) / 4
+        lines = np.log(np.maximum(1, blank / (frames[a][:, ::-1] / (2.0 + k))))
+        wide = np.pad(lines, [(0, 0), (4, 4)], mode="symmetric")
+        assert got[k] == pytest.approx(np.median([wide[:, j : j + 12] for j in range(9)], axis=0), rel=1e-9)
+    assert scanners.varian(spark, str(tmp_path), spaced=False)[2].count() == 6
+    with_scatter = scanners.varian(spark, str(tmp_path), point=[1.0, 0.3, 0.2, 0.1, 1.0, 0.04])[0]
+    assert with_scatter.count() == 4
+    (tmp_path / "Reconstruction.xml").write_text("<R><VOISizeX>40</VOISizeX><VOISizeY>40</VOISizeY><VOISizeZ>9</VOISizeZ><MatrixSize>20</MatrixSize><SliceThickness>2</SliceThickness></R>")
+    assert scanners.varian_settings(spark, str(tmp_path))[1].n_voxel == (5, 20, 20)
+
+
+def test_older_varian_folders_have_one_blank_and_unknown_ones_are_refused(spark, tmp_path):
+    frames, blanks = varian_folder(tmp_path / "old", "2.0", "None")
+    images, _, _ = scanners.varian(spark, str(tmp_path / "old"))
+    first = np.array(images.where("proj_idx = 0").first()["data"]).reshape(3, 12)
+    lines = np.pad(np.log(blanks[0.0] / 4 / (frames[0.0][:, ::-1] / 2.0)), [(0, 0), (4, 4)], mode="symmetric")
+    assert first == pytest.approx(np.median([lines[:, j : j + 12] for j in range(9)], axis=0), rel=1e-9)
+    varian_folder(tmp_path / "new", "3.1")
+    with pytest.raises(ValueError, match="unknown version"):
+        scanners.varian(spark, str(tmp_path / "new"))
