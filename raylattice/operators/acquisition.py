@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raylattice.session import broadcast_if_small, placed
+from raylattice.operators.lookup import around, nearest
+from raylattice.session import broadcast_if_small, materialise, placed
 
 EPS = 2.220446049250313e-16
 
@@ -175,6 +176,80 @@ def virtual_mono(m1: Column, m2: Column, mu1: float, mu2: float) -> Column:
     return mu1 * m1 + mu2 * m2
 
 
+def not_a_knot(xs: list[float], ys: list[float], x: float) -> float:
+    """The cubic spline through the points of a small calibration, whose third derivative is continuous at the second and
+    the last but one; beyond the ends it goes on. Fewer than four points give their polynomial. Points needn't be in
+    order; of equal ones their mean counts."""
+    order: dict[float, list[float]] = {}
+    for a, b in sorted(zip(xs, ys, strict=True)):
+        order.setdefault(float(a), []).append(float(b))
+    t, y = np.array(list(order)), np.array([np.mean(v) for v in order.values()])
+    n = len(t)
+    if not n:
+        raise ValueError("a spline needs points")
+    if n < 4:
+        return float(np.polyval(np.polyfit(t - t[0], y, n - 1), x - t[0]))
+    h, slope = np.diff(t), np.diff(y) / np.diff(t)
+    a, rhs = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        rhs[i] = 6 * (slope[i] - slope[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, rhs)
+    i = int(np.clip(np.searchsorted(t, x) - 1, 0, n - 2))
+    d = x - t[i]
+    return float(y[i] + d * (slope[i] - h[i] * (2 * m[i] + m[i + 1]) / 6) + d * d * m[i] / 2 + d**3 * (m[i + 1] - m[i]) / (6 * h[i]))
+
+
+def monochromatic(images: DataFrame, attenuation: dict[str, tuple[list[float], list[float]]], materials: tuple[str, str], energy: float) -> DataFrame:
+    """(..., data): the images at one energy from thicknesses ``material1`` and ``material2``, with attenuations from
+    splines through a table of (energies, attenuations) by material. Raises KeyError for materials it lacks and ValueError
+    for energies beyond it."""
+    for m in materials:
+        if m not in attenuation:
+            raise KeyError(f"no attenuation of {m!r}; known are {sorted(attenuation)}")
+        if not min(attenuation[m][0]) <= energy <= max(attenuation[m][0]):
+            raise ValueError(f"{energy} lies beyond the energies of {m!r}")
+    mu1, mu2 = (not_a_knot(*attenuation[m], energy) for m in materials)
+    return images.withColumn("data", F.zip_with("material1", "material2", lambda a, b: virtual_mono(a, b, mu1, mu2))).drop("material1", "material2")
+
+
+def decomposed(low: DataFrame, high: DataFrame, calibration: dict, scanner: str, pair: str, materials: tuple[str, str], model: str = "nearest", tolerance: float | None = None) -> DataFrame:
+    """(idx, angle, material1, material2): each high-energy view (idx, angle, data) with its counterpart among the
+    low-energy ones mapped to thicknesses of two materials by their polynomials.
+
+    ``model`` is ``nearest``; ``skip``, which leaves out views whose nearest is further than ``tolerance``; or ``linear``
+    between the two around a view, the nearest where there is one only. ``calibration`` nests scanner, pair of
+    voltages, material and nine coefficients; a name it lacks raises KeyError with those it has. Angles find their
+    neighbours first; images are then joined by number."""
+    at = calibration
+    for key in (scanner, pair):
+        if key not in at:
+            raise KeyError(f"no calibration for {key!r}; known are {sorted(at)}")
+        at = at[key]
+    for m in materials:
+        if m not in at:
+            raise KeyError(f"no calibration for {m!r}; known are {sorted(at)}")
+    if model not in ("nearest", "skip", "linear") or model == "skip" and tolerance is None:
+        raise ValueError(f"unknown model {model!r}, or no tolerance")
+    views, sources = high.select("idx", "angle"), low.select("idx", "angle")
+    if model == "linear":
+        one = materialise(sources.groupBy("angle").agg(F.min("idx").alias("idx")).select("angle", F.struct("angle", "idx").alias("s_")))
+        near = around(views, one)
+        lo, hi = F.coalesce("lo_", "hi_"), F.coalesce("hi_", "lo_")
+        share = F.when(hi["angle"] > lo["angle"], (F.col("angle") - lo["angle"]) / (hi["angle"] - lo["angle"])).otherwise(0.0)
+        near = near.select("idx", share.alias("w_"), lo["idx"].alias("a_"), hi["idx"].alias("b_"))
+    else:
+        found = nearest(views, sources, tolerance if model == "skip" else None)
+        near = found.select(F.col("t_idx").alias("idx"), F.lit(0.0).alias("w_"), F.col("s_idx").alias("a_"), F.col("s_idx").alias("b_"))
+    image = lambda k, d: low.select(F.col("idx").alias(k), F.col("data").alias(d))
+    both = high.join(near, "idx").join(image("a_", "l_"), "a_").join(image("b_", "h_"), "b_")
+    both = both.withColumn("l_", F.zip_with("l_", "h_", lambda a, b: a * (1 - F.col("w_")) + b * F.col("w_")))
+    c, d = (at[m] for m in materials)
+    return both.select("idx", "angle", F.zip_with("l_", "data", lambda x, y: dual_energy(x, y, c)).alias("material1"), F.zip_with("l_", "data", lambda x, y: dual_energy(x, y, d)).alias("material2"))
+
+
 def hounsfield_fit(pairs: DataFrame) -> list[float]:
     """(a, b, c) of the least-squares hu = a v² + b v + c over (v, hu), from one pass of power sums."""
     import numpy as np

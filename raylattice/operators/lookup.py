@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,3 +151,45 @@ def rotation_centre(projection: DataFrame, candidates: list[int], width: int) ->
     other = other.withColumn("u", F.lit(width - 1) - F.col("u") + F.col("cor"))
     cost = first.join(other, ["v", "u"]).groupBy("cor").agg(F.avg((F.col("a") - F.col("b")).cast("double") ** 2).alias("cost"))
     return cost.agg(F.min(F.struct("cost", "cor")).alias("m")).select("m.cor", "m.cost")
+
+
+def centre_search(views: DataFrame, pitch: float, dso: float, dsd: float, levels: int = 7) -> DataFrame:
+    """(scan_id, cor): the shift of the rotation's centre, in mm at the axis, for which opposite rays agree best.
+
+    ``views`` has scan_id, angle in radians and ``row``, the values along u of one detector row, which with a scan's
+    views makes a sinogram for one task. Each ray is compared with the one that a full turn's scan sees from the other
+    side if the centre's image lies at c on the detector, linear between angles and pixels and 0 beyond the detector.
+    Of 21 shifts a step apart the best, the smallest of equals, is the middle of the next level's, ten times finer; the
+    first step is 1 mm. Null rows and angles are left out; a scan without any gives nothing."""
+
+    def best(table: pa.Table) -> pa.Table:
+        scan = table["scan_id"][0]
+        order = np.argsort(angles := table["angle"].to_numpy(), kind="stable")
+        data = np.array(table["row"].to_pylist(), float)[order]
+        turns = np.concatenate([angles[order] + k for k in (-2 * np.pi, 0, 2 * np.pi)])
+        wide, nu = np.concatenate([data] * 3), data.shape[1]
+        u = (np.arange(nu) - (nu - 1) / 2) * pitch
+        gamma, middle = np.arctan(u / dsd), 0.0
+
+        def cost(c: float) -> float:
+            own = np.arctan(c / dsd)
+            to = angles[order][:, None] + 2 * (gamma - own) + np.pi
+            to = np.where(to > turns[-1], to - 2 * np.pi, to)
+            s = np.tan(2 * own - gamma) * dsd / pitch + (nu - 1) / 2
+            i = np.clip(np.searchsorted(turns, to, "right") - 1, 0, len(turns) - 2)
+            gap = turns[i + 1] - turns[i]
+            w = np.clip(np.where(gap > 0, (to - turns[i]) / np.where(gap > 0, gap, 1), 0), 0, 1)
+            j = np.clip(np.floor(s).astype(int), 0, max(nu - 2, 0))
+            v, k = np.clip(s - j, 0, 1), np.minimum(j + 1, nu - 1)
+            seen = (1 - w) * ((1 - v) * wide[i, j] + v * wide[i, k]) + w * ((1 - v) * wide[i + 1, j] + v * wide[i + 1, k])
+            seen = np.where((s >= 0) & (s <= nu - 1), seen, 0)
+            there = seen > 0
+            return float(((seen - data)[there] ** 2).mean()) if there.any() else np.inf
+
+        for level in range(levels):
+            shifts = middle + np.arange(-10, 11) * 10.0**-level
+            middle = float(shifts[np.argmin([cost(c) for c in shifts])])
+        return pa.table({"scan_id": pa.array([scan.as_py()], pa.int64()), "cor": pa.array([-middle * dso / dsd], pa.float64())})
+
+    rows = views.where("scan_id is not null and angle is not null and row is not null").select(F.col("scan_id").cast("bigint").alias("scan_id"), F.col("angle").cast("double").alias("angle"), "row")
+    return rows.groupBy("scan_id").applyInArrow(best, "scan_id bigint, cor double")

@@ -7,6 +7,7 @@ import math
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,21 +102,58 @@ def nikon(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tu
     return logged(frames(spark, folder, "*.tif*", formats.tiff, how, n), float(h.get("whitelevel", 65535))), g, sampled(angles, how, n, total)
 
 
-def bruker(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tuple[DataFrame, Geometry, DataFrame]:
-    """(projections, geometry, angles) of a .log folder with TIFF frames."""
-    h = {k: v for section in formats.ini(text_of(spark, f"{folder}/*.log")).values() for k, v in section.items()}
+def bruker(spark: SparkSession, folder: str, how: str = "step", n: int = 1, dataset: int | str | None = None) -> tuple[DataFrame, Geometry, DataFrame]:
+    """(projections, geometry, angles) of a .log folder with TIFF frames.
+
+    A folder of several connected scans, whose logs and frames are numbered by two digits, needs ``dataset``: a number or
+    ``all``, which puts the scans one after the other under the first one's geometry. The frame after the last step
+    repeats the first and is left out. With a .csv of detector shifts by view (five heading lines; then view, u and v in
+    pixels) angles have off_v and off_u in mm as well."""
+    logs = sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).select("path").collect())
+    scans = [p for p in logs if re.search(r"\d\d\.log$", p)] if len(logs) > 1 else []
+    if scans and dataset is None:
+        raise ValueError(f"{folder} holds {len(scans)} scans; choose one by dataset, or 'all'")
+    if scans and dataset == "all":
+        parts = [bruker(spark, folder, how, n, k) for k in range(len(scans))]
+        before, images, angles = 0, [], []
+        for p, _, a in parts:
+            images.append(p.withColumn("proj_idx", F.col("proj_idx") + before))
+            angles.append(a.withColumn("idx", F.col("idx") + before))
+            before += (a.agg(F.max("idx")).first()[0] if a.head(1) else -1) + 1
+        return reduce(DataFrame.unionByName, images), parts[0][1], reduce(DataFrame.unionByName, angles)
+    own = f"*{int(dataset):02d}" if scans else ""
+    if scans and not [p for p in scans if p.endswith(f"{int(dataset):02d}.log")]:
+        raise ValueError(f"{folder} has no scan {dataset}")
+    h = {k: v for section in formats.ini(text_of(spark, f"{folder}/{own or '*'}.log")).values() for k, v in section.items()}
     f = lambda *ks: float(next(h[k] for k in ks if k in h))
-    pixel, nv, nu = f("camera pixel size (um)") / 1000, int(f("number of rows")), int(f("number of columns"))
+    nv, nu, total, step = int(f("number of rows")), int(f("number of columns")), int(f("number of files")) - 1, f("rotation step (deg)")
+    plain = f("camera pixel size (um)") / 1000
+    binned = re.match(r"\s*(\d)\D(\d)", h.get("camera binning", ""))
+    bin_u, bin_v = (float(b) for b in binned.groups()) if binned else (1.0, 1.0)
+    resized = float(h.get("resized in image", 1) or 1)
+    dv, du = plain * bin_v * resized, plain * bin_u * resized
     dso, dsd = f("object to source (mm)"), f("camera to source (mm)")
-    voxel = pixel * dso / dsd
-    g = Geometry((nv, nu, nu), (nv * voxel, nu * voxel, nu * voxel), (nv, nu), (pixel, pixel), dso, dsd)
-    total, step = int(f("number of files")), f("rotation step (deg)")
+    voxel = float(h["image pixel size (um)"]) / 1000 if "image pixel size (um)" in h else du * dso / dsd
+    axis = -(nv / 2 - float(h["optical axis (line)"])) * dv if "optical axis (line)" in h else 0.0
+    g = Geometry((nv, nu, nu), (nv * voxel, nu * voxel, nu * voxel), (nv, nu), (dv, du), dso, dsd, off_detector=(axis, 0.0))
     angles = spark.range(total).select(F.col("id").alias("idx"), F.radians(F.col("id") * step).alias("angle"))
-    return logged(frames(spark, folder, "*.tif*", formats.tiff, how, n), 65535.0), g, sampled(angles, how, n, total)
+    shifts = spark.read.format("binaryFile").option("pathGlobFilter", f"{own}*.csv").load(folder).select("content").orderBy("path").limit(1).collect()
+    if shifts:
+        lines = bytes(shifts[0]["content"]).decode("utf-8-sig", "replace").splitlines()[5:]
+        rows = [(k, *[float(x) for x in line.split(",")[1:3]]) for k, line in enumerate(x for x in lines if x.strip())]
+        table = spark.createDataFrame(rows, "idx bigint, u double, v double")
+        angles = angles.join(F.broadcast(table), "idx", "left").select("idx", "angle", (F.coalesce("v", F.lit(0.0)) * dv / bin_v + axis).alias("off_v"), (F.coalesce("u", F.lit(0.0)) * du / bin_u).alias("off_u"))
+    glob = f"{own}????????.[tT][iI][fF]*" if scans else "*.[tT][iI][fF]*"
+    white = float(1 << int(h["depth (bits)"])) if "depth (bits)" in h else 65536.0
+    images = frames(spark, folder, glob, formats.tiff, how, n).where(F.col("proj_idx") < total)
+    return logged(images, white), g, sampled(angles, how, n, total)
 
 
 def yxlon(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tuple[DataFrame, Geometry, DataFrame]:
-    """(projections, geometry, angles) of a folder with a tab-separated header and raw 16-bit frames, upside down."""
+    """(projections, geometry, angles) of a folder with ScanParameter.xml and TIFF frames, or else with a tab-separated
+    header and raw 16-bit frames, upside down. Of the first, only circular scans are read."""
+    if spark.read.format("binaryFile").option("pathGlobFilter", "ScanParameter.xml").load(folder).select("path").head(1):
+        return yxlon_xml(spark, folder, how, n)
     h = formats.tab_header(text_of(spark, f"{folder}/*.txt"))
     f = lambda k: float(h[k].replace(",", "."))
     side, total = int(f("Number of Detector Elements")), int(f("CT: Number of Projections"))
@@ -129,6 +167,26 @@ def yxlon(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tu
     return logged(frames(spark, folder, "*.raw", decode, how, n), 65535.0), g, sampled(angles, how, n, total)
 
 
+def yxlon_xml(spark: SparkSession, folder: str, how: str, n: int) -> tuple[DataFrame, Geometry, DataFrame]:
+    raw = formats.xml_values(text_of(spark, f"{folder}/ScanParameter.xml"))
+    h = {k.partition("ConeBeamScanParameter/")[2]: v for k, v in raw.items() if "ConeBeamScanParameter/" in k}
+    kind = h.get("ScanTrajectory@type", "")
+    if kind != "CircleTrajectory":
+        raise ValueError(f"only circular scans are supported, not {kind!r}")
+    f = lambda k: float(h[k])
+    nv, nu = int(f("ProjectionSize/Height")), int(f("ProjectionSize/Width"))
+    dv, du = f("PixelSize/Height"), f("PixelSize/Width")
+    scale, total = f("ScanTrajectory/PixelPitch"), int(f("ScanTrajectory/NumberOfProjections"))
+    dso, dsd = scale * f("ScanTrajectory/Fod"), scale * f("ScanTrajectory/Fdd")
+    off = tuple(-scale * float(h.get(f"DejustmentParameter/{k}DetectorOffset", 0)) for k in ("Vertical", "Horizontal"))
+    size = tuple(k * dso / dsd for k in (nv * dv, nu * du, nu * du))
+    g = Geometry((nv, nu, nu), size, (nv, nu), (dv, du), dso, dsd, off_detector=off, cor=-scale * f("ScanTrajectory/YoCenter"))
+    first, turn = math.radians(f("ScanTrajectory/StartAngle")), math.radians(f("ScanTrajectory/Rotation")) / total
+    angles = spark.range(total).select(F.col("id").alias("idx"), (F.lit(first) - F.col("id") * turn).alias("angle"))
+    white = float((1 << int(f("ProjectionBitdepth"))) - 1) if "ProjectionBitdepth" in h else 65535.0
+    return logged(frames(spark, folder, "*.[tT][iI][fF]*", formats.tiff, how, n), white), g, sampled(angles, how, n, total)
+
+
 def diondo(spark: SparkSession, folder: str, how: str = "step", n: int = 1) -> tuple[DataFrame, Geometry, DataFrame]:
     """(projections, geometry, angles) of an .xml folder with raw 16-bit frames; helical scans are refused."""
     h = {k.rpartition("/")[2]: v for k, v in formats.xml_values(text_of(spark, f"{folder}/*.xml")).items()}

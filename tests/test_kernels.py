@@ -357,3 +357,47 @@ def test_coarse_volumes_are_enlarged_slice_by_slice(spark):
     got = R.enlarged(Field.of(spark, x.reshape(2, -1)), (2, 3, 2), (5, 7, 4)).array().reshape(5, 7, 4)
     pick = np.ix_(*[np.minimum(np.arange(k) * c // k, c - 1) for k, c in zip((5, 7, 4), (2, 3, 2), strict=True)])
     assert (got == x[pick]).all()
+
+
+def test_dual_energy_from_two_scans_and_splines(spark):
+    from raylattice.operators import acquisition
+
+    xs, ys = [0.0, 1.0, 2.5, 4.0, 7.0], [x**3 - 2 * x for x in (0.0, 1.0, 2.5, 4.0, 7.0)]
+    assert [acquisition.not_a_knot(xs, ys, x) for x in (0.5, 3.3, 8.0)] == pytest.approx([x**3 - 2 * x for x in (0.5, 3.3, 8.0)])
+    assert acquisition.not_a_knot([1.0, 3.0], [2.0, 6.0], 2.0) == pytest.approx(4.0)
+    kind = "idx bigint, angle double, data array<double>"
+    low = spark.createDataFrame([(k, 10.0 * k, [float(k), 1.0]) for k in range(5)], kind)
+    high = spark.createDataFrame([(k, a, [2.0, 3.0]) for k, a in enumerate((0.0, 12.5, 34.0, 90.0))], kind)
+    cal = {"S": {"V_80_140": {"Al": [1.0, *[0.0] * 8], "PMMA": [0.0, 1.0, *[0.0] * 7]}}}
+    run = lambda *a: {r["idx"]: (r["material1"], r["material2"]) for r in acquisition.decomposed(low, high, cal, "S", "V_80_140", ("Al", "PMMA"), *a).collect()}
+    assert {k: v[0][0] for k, v in run().items()} == {0: 0.0, 1: 1.0, 2: 3.0, 3: 4.0} and run()[1][1] == [2.0, 3.0]
+    assert {k: v[0][0] for k, v in run("skip", 3.0).items()} == {0: 0.0, 1: 1.0}
+    assert {k: v[0][0] for k, v in run("linear").items()} == pytest.approx({0: 0.0, 1: 1.25, 2: 3.4, 3: 4.0})
+    for bad in (("T", "V_80_140"), ("S", "V_1_2")):
+        with pytest.raises(KeyError, match="known are"):
+            acquisition.decomposed(low, high, cal, *bad, ("Al", "PMMA"))
+    table = {"Al": ([10.0, 20.0, 30.0, 40.0], [4.0, 3.0, 2.0, 1.0]), "PMMA": ([10.0, 40.0], [1.0, 1.0])}
+    both = acquisition.decomposed(low, high, cal, "S", "V_80_140", ("Al", "PMMA"))
+    assert acquisition.monochromatic(both, table, ("Al", "PMMA"), 25.0).where("idx = 1").first()["data"] == pytest.approx([2.5 * 1 + 2, 2.5 * 1 + 3])
+    with pytest.raises(ValueError):
+        acquisition.monochromatic(both, table, ("Al", "PMMA"), 50.0)
+
+
+def test_centre_search_finds_a_shifted_axis(spark):
+    from raylattice.operators import lookup
+
+    pitch, dso, dsd, nu, n = 1.0, 500.0, 750.0, 129, 180
+    u = (np.arange(nu) - (nu - 1) / 2) * pitch
+    for shift in (0.0, 2.4):
+        rows = []
+        for k in range(n):
+            a = 2 * np.pi * k / n
+            row = np.zeros(nu)
+            for x, y, r in ((12.0, 5.0, 6.0), (-15.0, -9.0, 4.0), (3.0, -20.0, 5.0)):
+                px, py = x * np.cos(a) + y * np.sin(a), -x * np.sin(a) + y * np.cos(a)
+                at = (py) * dsd / (dso - px) + shift
+                row += np.exp(-(((u - at) / (r * 1.5)) ** 2) / 2)
+            rows.append((7, float(a), [float(x) for x in row]))
+        views = spark.createDataFrame([*rows, (7, None, None), (None, 0.0, [1.0])], "scan_id int, angle double, row array<double>")
+        got = [tuple(r) for r in lookup.centre_search(views, pitch, dso, dsd).collect()]
+        assert len(got) == 1 and got[0][0] == 7 and abs(abs(got[0][1]) - shift * dso / dsd) < 0.1

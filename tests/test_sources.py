@@ -174,3 +174,47 @@ def test_older_varian_folders_have_one_blank_and_unknown_ones_are_refused(spark,
     varian_folder(tmp_path / "new", "3.1")
     with pytest.raises(ValueError, match="unknown version"):
         scanners.varian(spark, str(tmp_path / "new"))
+
+
+LOG = "[System]\nCamera Pixel Size (um)=50\n[Acquisition]\nNumber of Files=4\nNumber of Rows=3\nNumber of Columns=4\nCamera binning=2x2\nOptical Axis (line)=2\nImage Pixel Size (um)=20\nObject to Source (mm)=100\nCamera to Source (mm)=200\nRotation Step (deg)=30\nDepth (bits)=12\n"
+
+
+def test_bruker_shifts_white_level_and_connected_scans(spark, tmp_path):
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir()
+    many.mkdir()
+    for k in range(4):
+        (one / f"f{k:04d}.tif").write_bytes(formats.tiff_bytes(np.full((3, 4), 1000 + k, "<u2")))
+    (one / "s.log").write_text(LOG)
+    images, g, angles = scanners.bruker(spark, str(one))
+    assert images.count() == 3 and g.d_detector == (0.1, 0.1) and g.off_detector == (pytest.approx(0.05), 0.0) and g.d_voxel[0] == pytest.approx(0.02)
+    assert images.where("proj_idx = 1").first()["data"] == pytest.approx([-np.log(1001 / 4096)] * 12) and angles.columns == ["idx", "angle"]
+    (one / "s.csv").write_text("a\nb\nc\nd\ne\n0,1.5,2\n1,-1,0\n2,0,0\n")
+    shifted = {r["idx"]: (r["off_v"], r["off_u"]) for r in scanners.bruker(spark, str(one))[2].collect()}
+    assert shifted == {0: pytest.approx((0.15, 0.075)), 1: pytest.approx((0.05, -0.05)), 2: pytest.approx((0.05, 0.0))}
+    for scan in range(2):
+        (many / f"s{scan:02d}.log").write_text(LOG)
+        for k in range(4):
+            (many / f"s{scan:02d}{k:08d}.tif").write_bytes(formats.tiff_bytes(np.full((3, 4), 1000 + 10 * scan + k, "<u2")))
+    with pytest.raises(ValueError, match="choose one"):
+        scanners.bruker(spark, str(many))
+    with pytest.raises(ValueError, match="no scan"):
+        scanners.bruker(spark, str(many), dataset=5)
+    second = scanners.bruker(spark, str(many), dataset=1)[0]
+    assert second.where("proj_idx = 0").first()["data"][0] == pytest.approx(-np.log(1010 / 4096))
+    images, _, angles = scanners.bruker(spark, str(many), dataset="all")
+    assert sorted(r["proj_idx"] for r in images.collect()) == sorted(r["idx"] for r in angles.collect()) == list(range(6))
+
+
+def test_yxlon_with_an_xml_header(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"p{k}.tif").write_bytes(formats.tiff_bytes(np.full((3, 4), 500 + k, "<u2")))
+    body = '<P xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><ConeBeamScanParameter><PixelSize><Height>0.4</Height><Width>0.2</Width></PixelSize><ProjectionSize><Height>3</Height><Width>4</Width></ProjectionSize><ProjectionBitdepth>16</ProjectionBitdepth><ScanTrajectory xsi:type="{}"><PixelPitch>0.5</PixelPitch><Fdd>800</Fdd><Fod>400</Fod><YoCenter>2</YoCenter><NumberOfProjections>2</NumberOfProjections><StartAngle>90</StartAngle><Rotation>360</Rotation></ScanTrajectory><DejustmentParameter><HorizontalDetectorOffset>4</HorizontalDetectorOffset><VerticalDetectorOffset>6</VerticalDetectorOffset></DejustmentParameter></ConeBeamScanParameter></P>'
+    (tmp_path / "ScanParameter.xml").write_text(body.format("CircleTrajectory"))
+    images, g, angles = scanners.yxlon(spark, str(tmp_path))
+    assert (g.dsd, g.dso, g.cor, g.off_detector, g.n_detector, g.d_detector) == (400.0, 200.0, -1.0, (-3.0, -2.0), (3, 4), (0.4, 0.2))
+    assert {r["idx"]: r["angle"] for r in angles.collect()} == pytest.approx({0: np.pi / 2, 1: -np.pi / 2})
+    assert images.where("proj_idx = 1").first()["data"] == pytest.approx([-np.log(501 / 65535)] * 12)
+    (tmp_path / "ScanParameter.xml").write_text(body.format("HelixTrajectory"))
+    with pytest.raises(ValueError, match="circular"):
+        scanners.yxlon(spark, str(tmp_path))
