@@ -261,9 +261,10 @@ def hounsfield_fit(pairs: DataFrame) -> list[float]:
 
 
 def weighted_pixels(tracks: DataFrame) -> DataFrame:
-    """(pixel, value): the mean of ``wepl`` weighted by the squared share of the path in the pixel."""
+    """(pixel, value): the mean of ``wepl`` weighted by the squared share of the path in the pixel; null where no track
+    has a share."""
     w = F.col("share") * F.col("share")
-    return tracks.groupBy("pixel").agg((F.sum(w * F.col("wepl")) / F.sum(w)).alias("value"))
+    return tracks.groupBy("pixel").agg(F.try_divide(F.sum(w * F.col("wepl")), F.sum(w)).alias("value"))
 
 
 def dose(files: DataFrame, factor: float, mas: float, least_bytes: int = 10 * 1024) -> DataFrame:

@@ -17,8 +17,8 @@ from raylattice.session import table
 QUERIES = {}
 ORACLES = {}
 CELLS = ["z", "y", "x"]
-#: The views of the scan that the lookups serve: one event type; another one is its calibration.
-SCAN, BLANK = "click", "purchase"
+#: Events of this type are the calibration of the lookups, all others the views that they serve.
+BLANK = "purchase"
 
 
 def query(sql: str | None = None):
@@ -195,11 +195,11 @@ def s_sql(x: str) -> str:
 FAN = 0.25
 
 
-@query(f"""WITH {ANG_SQL}, a AS (SELECT idx, u, radians(angle) AS beta, atan((u - 3.5) * 40 / 1536) AS al FROM ang, (SELECT unnest(range(8)) AS u) WHERE angle < 220 AND kind = '{SCAN}'),
+@query(f"""WITH {ANG_SQL}, a AS (SELECT idx, u, radians(angle) AS beta, atan((u - 3.5) * 40 / 1536) AS al FROM ang, (SELECT unnest(range(8)) AS u)),
 b AS (SELECT *, 2 * {FAN} - 2 * al AS f, 2 * {FAN} + 2 * al AS r FROM a)
 SELECT idx, CAST(u AS INT) AS u, round(0.5 * ({s_sql('beta / f - 0.5')} + {s_sql(f'(beta - 2 * {FAN} + 2 * al) / f + 0.5')} - {s_sql('(beta - pi() + 2 * al) / r - 0.5')} - {s_sql(f'(beta - pi() - 2 * {FAN}) / r + 0.5')}), 9) AS weight FROM b""")
 def q20_parker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = angles(spark, sf_dir).where((F.col("angle") < 220) & (F.col("kind") == SCAN)).select("idx", F.radians("angle").alias("beta"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("u"))
+    views = angles(spark, sf_dir).select("idx", F.radians("angle").alias("beta"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("u"))
     return views.select("idx", "u", F.round(filtering.parker_weight(F.col("beta"), F.atan((F.col("u") - 3.5) * 40 / 1536), FAN), 9).alias("weight"))
 
 
@@ -221,7 +221,7 @@ def q23_log_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return angles(spark, sf_dir).select("idx", F.round(acquisition.log_normalised(F.col("i0"), F.lit(50000.0)), 9).alias("value"))
 
 
-@query(f"""WITH {ANG_SQL}, b AS (SELECT angle AS lo, avg(i0) AS v FROM ang WHERE kind = '{BLANK}' GROUP BY 1), c AS (SELECT idx, angle + 0.4e0 AS angle FROM ang WHERE kind = '{SCAN}'),
+@query(f"""WITH {ANG_SQL}, b AS (SELECT angle AS lo, avg(i0) AS v FROM ang WHERE kind = '{BLANK}' GROUP BY 1), c AS (SELECT idx, angle + 0.4e0 AS angle FROM ang WHERE kind IS DISTINCT FROM '{BLANK}'),
 s AS (SELECT lo, v, lead(lo) OVER w AS hi, lead(v) OVER w AS hv FROM b WINDOW w AS (ORDER BY lo)),
 f AS (SELECT min(lo) AS a, arg_min(v, lo) AS fv, max(lo) AS z, arg_max(v, lo) AS lv FROM b),
 t AS (SELECT lo, v, hi, hv FROM s WHERE hi IS NOT NULL UNION ALL SELECT z, lv, a + 360, fv FROM f UNION ALL SELECT z - 360, lv, a, fv FROM f)
@@ -229,12 +229,12 @@ SELECT idx, round(v * (1 - (angle - lo) / (hi - lo)) + hv * ((angle - lo) / (hi
 def q24_interp_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = angles(spark, sf_dir)
     blanks = a.where(F.col("kind") == BLANK).select("angle", F.col("i0").alias("value"))
-    views = a.where(F.col("kind") == SCAN).select("idx", (F.col("angle") + 0.4).alias("angle"))
+    views = a.where(~F.col("kind").eqNullSafe(BLANK)).select("idx", (F.col("angle") + 0.4).alias("angle"))
     return rounded(lookup.interpolate_circular(views, blanks).select("idx", "blank"), 6, "blank")
 
 
 def near_sql(extra: str = "") -> str:
-    return f"""WITH {ANG_SQL}, t AS (SELECT idx AS t_idx, angle + idx % 4 * 0.25e0 AS t_angle FROM ang WHERE kind = '{SCAN}'),
+    return f"""WITH {ANG_SQL}, t AS (SELECT idx AS t_idx, angle + idx % 4 * 0.25e0 AS t_angle FROM ang WHERE kind IS DISTINCT FROM '{BLANK}'),
 s AS (SELECT min(idx) AS s_idx, angle AS s_angle FROM ang WHERE kind = '{BLANK}' GROUP BY 2),
 a AS (SELECT DISTINCT t_angle FROM t),
 r AS (SELECT t_angle, s_idx, s_angle, abs(t_angle - s_angle) AS delta, row_number() OVER (PARTITION BY t_angle ORDER BY abs(t_angle - s_angle), s_idx) AS k FROM a, s)
@@ -244,7 +244,7 @@ SELECT t_idx, t_angle, s_idx, s_angle, delta FROM t JOIN r USING (t_angle) WHERE
 def near(spark: SparkSession, sf_dir: str, tolerance: float | None) -> DataFrame:
     a = angles(spark, sf_dir)
     sources = a.where(F.col("kind") == BLANK).select("idx", "angle")
-    return lookup.nearest(a.where(F.col("kind") == SCAN).select("idx", (F.col("angle") + F.col("idx") % 4 * 0.25).alias("angle")), sources, tolerance)
+    return lookup.nearest(a.where(~F.col("kind").eqNullSafe(BLANK)).select("idx", (F.col("angle") + F.col("idx") % 4 * 0.25).alias("angle")), sources, tolerance)
 
 
 @query(near_sql())
@@ -257,15 +257,14 @@ def q26_nearest_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(spark, sf_dir, 0.3)
 
 
-@query("""WITH RECURSIVE v AS (SELECT scan_id, CAST(k AS BIGINT) AS idx, (k * k * 7 % 360) / 10.0 AS angle FROM (SELECT DISTINCT scan_id FROM scan WHERE scan_id IS NOT NULL), range(60) t(k)),
-kept AS (SELECT scan_id, idx, CAST(angle AS DOUBLE) AS angle FROM v WHERE idx = 0 UNION ALL
-  SELECT n.scan_id, n.idx, n.angle FROM (SELECT v.scan_id, v.idx, CAST(v.angle AS DOUBLE) AS angle, row_number() OVER (PARTITION BY v.scan_id ORDER BY v.idx) AS k
-    FROM kept JOIN v ON v.scan_id = kept.scan_id AND v.idx > kept.idx AND abs(CAST(v.angle AS DOUBLE) - kept.angle) > 5.05) n WHERE k = 1)
-SELECT scan_id, idx, angle FROM kept""")
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id AS scan_id, event_id AS idx, CAST(event_id * 37 % 360 AS DOUBLE) / 10 AS angle, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id IS NOT NULL),
+walk AS (SELECT scan_id, idx, angle, n, angle AS kept, true AS keep FROM v WHERE n = 1 UNION ALL
+  SELECT v.scan_id, v.idx, v.angle, v.n, CASE WHEN abs(v.angle - w.kept) > 5.05e0 THEN v.angle ELSE w.kept END, abs(v.angle - w.kept) > 5.05e0 FROM walk w JOIN v ON v.scan_id = w.scan_id AND v.n = w.n + 1)
+SELECT scan_id, idx, angle FROM walk WHERE keep""")
 def q27_acdc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = table(spark, sf_dir, "scan").where("scan_id is not null").select("scan_id").distinct()
-    views = scans.select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("idx")).withColumn("angle", F.col("idx") * F.col("idx") * 7 % 360 / 10)
-    return lookup.spaced_views(views, 5.05)
+    """Each user's events as the views of a scan."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), F.col("event_id").alias("idx"), ((F.col("event_id") * 37 % 360).cast("double") / 10).alias("angle"))
+    return lookup.spaced_views(e, 5.05)
 
 
 @query(f"WITH {ANG_SQL} SELECT idx, angle, i0 FROM ang WHERE idx % 3 = 0")
@@ -346,9 +345,9 @@ def q38_cor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.rotation_centre(p, list(range(-3, 4)), 11)
 
 
-@query("""SELECT l_linenumber * 100 + CAST(floor(l_quantity / 5) AS INT) AS pixel, round(sum(l_tax * l_tax * l_extendedprice) / sum(l_tax * l_tax), 4) AS value FROM lineitem WHERE l_tax > 0 GROUP BY 1""")
+@query("""SELECT l_linenumber * 100 + CAST(floor(l_quantity / 5) AS INT) AS pixel, round(sum(l_tax * l_tax * l_extendedprice) / nullif(sum(l_tax * l_tax), 0), 4) AS value FROM lineitem GROUP BY 1""")
 def q39_weighted_mean_protons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").where("l_tax > 0")
+    t = table(spark, sf_dir, "lineitem")
     tracks = t.select((F.col("l_linenumber") * 100 + F.floor(F.col("l_quantity") / 5).cast("int")).alias("pixel"), F.col("l_tax").alias("share"), F.col("l_extendedprice").alias("wepl"))
     return rounded(acquisition.weighted_pixels(tracks), 4)
 
@@ -478,3 +477,61 @@ def q57_zero_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("proj_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
     wide = acquisition.zero_padded(images, (8, 8), 3, 1)
     return wide.select("proj_idx", F.posexplode("data").alias("i", "value")).withColumn("value", F.round("value", 9) + 0.0)
+
+
+#: Made-up calibration of two materials, and attenuations that lie on cubics, which their splines give back.
+DUAL = {"made_up": {"V_80_140": {"Al": BASIS, "PMMA": [0.3, 0.9, -0.02, 0.01, -0.03, 0.002, 0.001, -0.004, 0.003]}}}
+ENERGIES = [10.0, 20.0, 40.0, 60.0, 80.0]
+MU = {"Al": (ENERGIES, [2.5 - 0.03 * e + 1e-6 * e**3 for e in ENERGIES]), "PMMA": (ENERGIES, [0.4 - 0.001 * e + 2e-5 * e**2 for e in ENERGIES])}
+
+
+def cubic_sql(c: list[float]) -> str:
+    return " + ".join(f"({k!r}) * {t}" for k, t in zip(c, ("l", "h", "l*l", "l*h", "h*h", "l*l*l", "h*l*l", "l*h*h", "h*h*h"), strict=True))
+
+
+def two_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every second embedding as a low-energy view at whole degrees, the others as high-energy ones a quarter further."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("data"))
+    return e.where("idx % 2 = 0").withColumn("angle", F.col("idx").cast("double")), e.where("idx % 2 = 1").withColumn("angle", F.col("idx") + F.lit(0.25))
+
+
+DUAL_SQL = f"""WITH e AS (SELECT vec_id AS idx, CAST(i AS INT) AS i, abs(CAST(e AS DOUBLE)) AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)),
+near AS (SELECT h.idx, arg_min(l.idx, (abs(l.idx - h.idx - 0.25e0), l.idx)) AS low FROM (SELECT DISTINCT idx FROM e WHERE idx % 2 = 1) h JOIN (SELECT DISTINCT idx FROM e WHERE idx % 2 = 0) l ON abs(l.idx - h.idx) <= 3 GROUP BY 1),
+m AS (SELECT n.idx, a.i, l.v AS l, a.v AS h FROM near n JOIN e a ON a.idx = n.idx JOIN e l ON l.idx = n.low AND l.i = a.i),
+d AS (SELECT idx, i, {cubic_sql(DUAL['made_up']['V_80_140']['Al'])} AS al, {cubic_sql(DUAL['made_up']['V_80_140']['PMMA'])} AS pmma FROM m)"""
+
+
+@query(f"{DUAL_SQL} SELECT idx, i, round(al, 9) + 0.0 AS al, round(pmma, 9) + 0.0 AS pmma FROM d")
+def q58_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = acquisition.decomposed(*two_scans(spark, sf_dir), DUAL, "made_up", "V_80_140", ("Al", "PMMA"))
+    return both.select("idx", F.posexplode(F.arrays_zip("material1", "material2")).alias("i", "m")).select("idx", "i", (F.round("m.material1", 9) + 0.0).alias("al"), (F.round("m.material2", 9) + 0.0).alias("pmma"))
+
+
+@query(f"{DUAL_SQL} SELECT idx, i, round((2.5e0 - 0.03e0 * 52 + 1e-6 * 52 * 52 * 52) * al + (0.4e0 - 0.001e0 * 52 + 2e-5 * 52 * 52) * pmma, 9) + 0.0 AS value FROM d")
+def q59_monochromatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = acquisition.decomposed(*two_scans(spark, sf_dir), DUAL, "made_up", "V_80_140", ("Al", "PMMA"))
+    mono = acquisition.monochromatic(both, MU, ("Al", "PMMA"), 52.0)
+    return mono.select("idx", F.posexplode("data").alias("i", "value")).withColumn("value", F.round("value", 9) + 0.0)
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS a, l_discount * 100 AS b, l_tax * 100 AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(least(a, b, c), 6) + 0.0 AS x1, round(a + b + c - least(a, b, c) - greatest(a, b, c), 6) + 0.0 AS x2, round(greatest(a, b, c), 6) + 0.0 AS x3
+FROM t WHERE abs(a - b) > 0.5 AND abs(b - c) > 0.5 AND abs(a - c) > 0.5""")
+def q60_cubic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roots of the cubics that three columns, where they differ, are the roots of."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    t = t.where((F.abs(a - b) > 0.5) & (F.abs(b - c) > 0.5) & (F.abs(a - c) > 0.5))
+    roots = lookup.cubic_roots(F.lit(1.0), -(a + b + c), a * b + b * c + a * c, -(a * b * c))
+    return t.select("l_orderkey", "l_linenumber", *[(F.round(roots[k], 6) + 0.0).alias(f"x{k + 1}") for k in range(3)])
+
+
+@query()
+def q61_centre_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scan's readings as the sinogram of one detector row."""
+    p = table(spark, sf_dir, "projection")
+    deg = F.when(F.col("angle_unit") == "rad", F.degrees("angle")).otherwise(F.col("angle"))
+    rows = p.select("scan_id", F.radians(deg).alias("angle"), F.transform("projs", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x.cast("double"), F.lit(0.0)))).alias("row"))
+    wide = rows.where(F.abs("angle") < 1e6).withColumn("n", F.size("row"))
+    same = wide.join(wide.where("n > 1").groupBy("scan_id").agg(F.max("n").alias("n")), ["scan_id", "n"])
+    return rounded(lookup.centre_search(same, 1.0, 1000.0, 1536.0), 6, "cor")
