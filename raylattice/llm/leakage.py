@@ -13,6 +13,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +35,11 @@ DRIFT = 12
 #: Items are aligned in segments of so many words, which overlap by more than a run, against windows of the text that
 #: reach ``REACH`` times a segment's words beyond its seeds and are themselves cut into overlapping pieces.
 SEGMENT, OVERLAP, REACH = 256, 40, 2
-#: Texts split at once; seeds of an item that a text must hold on nearly the same diagonal.
-BATCH, LEAST_SEEDS = 2000, 3
+#: Texts split at once.
+BATCH = 2000
+#: A text must hold so many seeds of an item on nearly the same diagonal, or two that no more than one in ``RARE`` texts
+#: has (their pairs' count over that of texts).
+LEAST_SEEDS, RARE = 3, 1500
 #: Places of the sieve of seeds, two bytes each, and bits of that of ids: 32 and 16 MB whatever the number of rows.
 PLACES, ID_BITS = 1 << 24, 1 << 27
 #: Different pairs that a task counts before it passes them on.
@@ -143,14 +147,17 @@ def runs(item: list[str], text: list[str], free: list[bool]) -> list[tuple[int,
     if not m or not n:
         return []
     rows, columns = list(dict.fromkeys(item)), list(dict.fromkeys(text))
-    sets = [np.array([letters(w) for w in side], np.uint64) for side in (rows, columns)]
-    sizes = [np.array([len(w) for w in side]) for side in (rows, columns)]
+    sets = [np.fromiter(map(letters, side), np.uint64, len(side)) for side in (rows, columns)]
+    sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (rows, columns)]
     slips = np.where(np.minimum(sizes[0][:, None], sizes[1][None, :]) >= 8, 2, 1)
     same = (np.abs(sizes[0][:, None] - sizes[1][None, :]) <= slips) & (np.bitwise_count(sets[0][:, None] ^ sets[1][None, :]) <= 2 * slips)
+    at, of = ({w: k for k, w in enumerate(side)} for side in (rows, columns))
+    at_, of_ = np.array([at[w] for w in item]), np.array([of[w] for w in text])
+    if not stretch(same.any(1)[at_]):  # by letters and lengths alone
+        return []
     for i, j in zip(*np.nonzero(same), strict=True):
         same[i, j] = alike(rows[i], columns[j])
-    at, of = ({w: k for k, w in enumerate(side)} for side in (rows, columns))
-    equal = same[np.array([at[w] for w in item])[:, None], np.array([of[w] for w in text])[None, :]]
+    equal = same[at_[:, None], of_[None, :]]
     can = equal.any(1)
     if not stretch(can):
         return []
@@ -230,22 +237,33 @@ def places(w: list[str], free: list[bool]) -> tuple[list[int], list[int]]:
     return kept, pair_hashes(h[:-1], h[1:]).tolist()
 
 
-def found_in(text: tuple[list[str], list[bool]], item: tuple[list[str], list[bool]], seeds: set[int]) -> bool:
-    """Whether a text, as ``words``, takes over enough of an item. Words count once, however often they are quoted."""
-    w, free = text
-    kept, pairs = places(w, free)
-    words, (own, own_pairs) = item[0], places(*item)
+@dataclass
+class Split:
+    """A text or item in words, with what the search needs of them."""
+
+    words: list[str]
+    free: list[bool]
+    kept: list[int]
+    pairs: list[int]
+
+    @classmethod
+    def of(cls, w: list[str], free: list[bool]) -> Split:
+        return cls(w, free, *places(w, free))
+
+
+def found_in(text: Split, item: Split, seeds: set[int]) -> bool:
+    """Whether a text takes over enough of an item. Words count once, however often they are quoted."""
     taken: set[int] = set()
-    for start in range(0, max(1, len(words) - OVERLAP), SEGMENT - OVERLAP):
-        part = words[start : start + SEGMENT]
+    for start in range(0, max(1, len(item.words) - OVERLAP), SEGMENT - OVERLAP):
+        part = item.words[start : start + SEGMENT]
         of: dict[int, list[int]] = {}
-        for i, g in zip(own, own_pairs, strict=False):
+        for i, g in zip(item.kept, item.pairs, strict=False):
             if start <= i < start + SEGMENT and g in seeds:
                 of.setdefault(g, []).append(i)
-        at = [(j, i) for j, g in enumerate(pairs) if g in of for i in of[g]]
+        at = [(j, i) for j, g in enumerate(text.pairs) if g in of for i in of[g]]
         for lo, hi in windows(at, REACH * len(part) + DRIFT):
-            lo, hi = kept[lo], kept[hi] if hi < len(kept) else len(w)
-            taken |= {start + k for k in taken_over(part, w[lo:hi], free[lo:hi])}
+            lo, hi = text.kept[lo], text.kept[hi] if hi < len(text.kept) else len(text.words)
+            taken |= {start + k for k in taken_over(part, text.words[lo:hi], text.free[lo:hi])}
     return len(taken) >= LEAST_WORDS
 
 
@@ -331,7 +349,7 @@ def pair_counts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def seed_table(bodies: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, at, h): the seeds of each passage with their places."""
+    """(key, at, h, n): the seeds of each passage with their places and counts."""
     each = bodies.select("key", F.posexplode("hs").alias("at", "h")).join(counts, "h", "left")
     lists = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h", F.coalesce("n", F.lit(0)).alias("n")))).alias("l"))
 
@@ -340,10 +358,10 @@ def seed_table(bodies: DataFrame, counts: DataFrame) -> DataFrame:
             out = []
             for key, l in zip(b.column("key").to_pylist(), b.column("l").to_pylist(), strict=True):
                 seeds = seeds_of([x["h"] for x in l], {x["h"]: x["n"] for x in l})
-                out += [(key, x["at"], x["h"]) for x in l if x["h"] in seeds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["key", "at", "h"])
+                out += [(key, x["at"], x["h"], x["n"]) for x in l if x["h"] in seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["key", "at", "h", "n"])
 
-    return materialise(lists.mapInArrow(chosen, "key string, at int, h bigint"))
+    return materialise(lists.mapInArrow(chosen, "key string, at int, h bigint, n bigint"))
 
 
 def sieve(seeds: DataFrame) -> np.ndarray:
@@ -376,7 +394,7 @@ def enough(row: np.ndarray, mark: np.ndarray, rows: int) -> np.ndarray:
     own = np.where(mark == ANY, 0, n[at])
     most = np.zeros(rows, np.int64)
     np.maximum.at(most, row, own)
-    return np.where(mark == ANY, most[row], own) + shared[row] >= LEAST_SEEDS
+    return np.where(mark == ANY, most[row], own) + shared[row] >= 2
 
 
 def sieved(texts: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -412,13 +430,13 @@ def texts_of(texts: DataFrame, near: DataFrame) -> DataFrame:
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, known = None, None
-    item_words = lru_cache(4096)(words)
+    item_of = lru_cache(4096)(lambda body: Split.of(*words(body)))
     for batch in batches:
         found = []
         for doc, text, key, body, seeds in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "key", "body", "seeds")), strict=True):
             if text != last:
-                last, known = text, words(text)
-            if found_in(known, item_words(body), set(seeds)):
+                last, known = text, Split.of(*words(text))
+            if found_in(known, item_of(body), set(seeds)):
                 found.append((doc, key))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["doc_id", "key"])
 
@@ -440,8 +458,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     off = (F.col("j") - F.col("at")).cast("int")
     hits = sieved(texts, seeds).join(broadcast_if_small(seeds, ROW_BYTES), "h")
     # Two half-shifted rows of diagonals: seeds that drift apart by DRIFT at most share one of them.
-    hits = hits.select("doc_id", "key", "h", F.explode(F.array(F.floor(off / (2 * DRIFT)) * 2, F.floor((off + DRIFT) / (2 * DRIFT)) * 2 + 1)).alias("near_"))
-    near = hits.groupBy("doc_id", "key", "near_").agg(F.count(F.lit(1)).alias("n_"), F.min("h").alias("a_"), F.max("h").alias("b_")).where((F.col("n_") >= LEAST_SEEDS) & (F.col("a_") != F.col("b_"))).select("doc_id", "key").distinct()
+    hits = hits.select("doc_id", "key", "h", "n", F.explode(F.array(F.floor(off / (2 * DRIFT)) * 2, F.floor((off + DRIFT) / (2 * DRIFT)) * 2 + 1)).alias("near_"))
+    near = hits.groupBy("doc_id", "key", "near_").agg(F.count(F.lit(1)).alias("n_"), F.min("h").alias("a_"), F.max("h").alias("b_"), F.max("n").alias("c_"))
+    near = near.where((F.col("a_") != F.col("b_")) & ((F.col("n_") >= LEAST_SEEDS) | (F.col("c_") * RARE <= texts.count()))).select("doc_id", "key").distinct()
     if (bodies.agg(F.sum(F.octet_length("body") * 4)).first()[0] or 0) <= BROADCAST_BYTES:
         bodies = F.broadcast(bodies)
     pairs = texts_of(texts, materialise(near)).join(bodies, "key")

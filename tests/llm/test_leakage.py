@@ -107,8 +107,8 @@ def test_long_items_long_tags_and_long_texts(spark):
     docs = spark.createDataFrame([(1, "ok " * 50_000 + " ".join(w[241:262])), (2, " ".join(w[500:509] + ["<a title='" + "x y " * 200 + "'>"] + w[509:520])), (3, " ".join(w[600:616])), (4, long)], "doc_id bigint, text string")
     found = leakage.leaks(docs, spark.createDataFrame([(7, long)], "eval_id bigint, passage string"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (2, 7), (4, 7)]
-    once = leakage.words(" ".join(w[:30]))
-    assert leakage.found_in(leakage.words((" ".join(w[:30]) + " ") * 3000), once, set(leakage.places(*once)[1]))
+    once = leakage.Split.of(*leakage.words(" ".join(w[:30])))
+    assert leakage.found_in(leakage.Split.of(*leakage.words((" ".join(w[:30]) + " ") * 3000)), once, set(once.pairs))
 
 
 def test_numbering_far_from_seeds_does_not_cut_a_run():
@@ -117,8 +117,8 @@ def test_numbering_far_from_seeds_does_not_cut_a_run():
     for k, x in enumerate(item):
         text += [x, *[str(n) for n in range(4)]]
         free += [False, *[True] * 4]
-    once = (item, [False] * 20)
-    assert leakage.found_in((text, free), once, set(leakage.places(*once)[1][:3]))
+    once = leakage.Split.of(item, [False] * 20)
+    assert leakage.found_in(leakage.Split.of(text, free), once, set(once.pairs[:3]))
 
 
 def test_pairs_of_a_batch_are_those_of_each_text():
