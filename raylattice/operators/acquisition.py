@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raylattice.functions.algebra import not_a_knot
 from raylattice.operators.lookup import around, nearest
 from raylattice.session import broadcast_if_small, materialise, placed
 
@@ -176,32 +177,6 @@ def virtual_mono(m1: Column, m2: Column, mu1: float, mu2: float) -> Column:
     return mu1 * m1 + mu2 * m2
 
 
-def not_a_knot(xs: list[float], ys: list[float], x: float) -> float:
-    """The cubic spline through the points of a small calibration, whose third derivative is continuous at the second and
-    the last but one; beyond the ends it goes on. Fewer than four points give their polynomial. Points needn't be in
-    order; of equal ones their mean counts."""
-    order: dict[float, list[float]] = {}
-    for a, b in sorted(zip(xs, ys, strict=True)):
-        order.setdefault(float(a), []).append(float(b))
-    t, y = np.array(list(order)), np.array([np.mean(v) for v in order.values()])
-    n = len(t)
-    if not n:
-        raise ValueError("a spline needs points")
-    if n < 4:
-        return float(np.polyval(np.polyfit(t - t[0], y, n - 1), x - t[0]))
-    h, slope = np.diff(t), np.diff(y) / np.diff(t)
-    a, rhs = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * (slope[i] - slope[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, rhs)
-    i = int(np.clip(np.searchsorted(t, x) - 1, 0, n - 2))
-    d = x - t[i]
-    return float(y[i] + d * (slope[i] - h[i] * (2 * m[i] + m[i + 1]) / 6) + d * d * m[i] / 2 + d**3 * (m[i + 1] - m[i]) / (6 * h[i]))
-
-
 def monochromatic(images: DataFrame, attenuation: dict[str, tuple[list[float], list[float]]], materials: tuple[str, str], energy: float) -> DataFrame:
     """(..., data): the images at one energy from thicknesses ``material1`` and ``material2``, with attenuations from
     splines through a table of (energies, attenuations) by material. Raises KeyError for materials it lacks and ValueError

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,19 +90,6 @@ def keyed(rows: DataFrame, calibration: DataFrame, keys: list[str]) -> DataFrame
     return joined.where(F.when(F.col("known_").isNull(), F.raise_error(name).cast("boolean")).otherwise(F.lit(True))).drop("known_")
 
 
-def cubic_roots(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """The real roots of a x³ + b x² + c x + d in ascending order, for a that isn't 0: by the cosines of thirds where there
-    are three, else Cardano's one. Null coefficients give null."""
-    p, q = (3 * a * c - b * b) / (3 * a * a), (2 * b * b * b - 9 * a * b * c + 27 * a * a * d) / (27 * a * a * a)
-    shift, disc = b / (3 * a), q * q / 4 + p * p * p / 27
-    cube = lambda x: F.signum(x) * F.pow(F.abs(x), F.lit(1 / 3))
-    size = 2 * F.sqrt(F.greatest(-p / 3, F.lit(0.0)))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(size > 0, 3 * q / (p * size)).otherwise(1.0))))
-    three = F.array(*[size * F.cos((angle - 2 * math.pi * k) / 3) - shift for k in range(3)])
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    return F.when(disc.isNotNull(), F.when(disc < 0, F.array_sort(three)).otherwise(F.array(cube(-q / 2 + root) + cube(-q / 2 - root) - shift)))
-
-
 def spaced_views(views: DataFrame, threshold: float, by: str = "scan_id") -> DataFrame:
     """The views of each scan, in order of ``idx``, whose angle differs from the last kept one by more than
     ``threshold``; the first is kept. Null and NaN angles are left out.

@@ -16,7 +16,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, StructType, _parse_datatype_string
 
 from raylattice.session import materialise, spread
 

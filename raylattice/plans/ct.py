@@ -5,13 +5,12 @@ Both sides round what isn't whole; whole sums are cast to 64 bits in SQL.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raylattice.functions import algebra
 from raylattice.operators import acquisition, filtering, lookup, metrics, relational, stencil
-from raylattice.plans.derived import ANG_SQL, GRID_SQL, PROJ_SQL, SYS_SQL, VOL, VOL2, angles, grid, incidence, projections, volume, volume_sql
+from raylattice.plans.derived import ANG_SQL, PROJ_SQL, SYS_SQL, VOL, VOL2, angles, grid, incidence, projections, volume
 from raylattice.session import table
 
 QUERIES = {}
@@ -522,7 +521,7 @@ def q60_cubic_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     t = t.where((F.abs(a - b) > 0.5) & (F.abs(b - c) > 0.5) & (F.abs(a - c) > 0.5))
-    roots = lookup.cubic_roots(F.lit(1.0), -(a + b + c), a * b + b * c + a * c, -(a * b * c))
+    roots = algebra.cubic_roots(F.lit(1.0), -(a + b + c), a * b + b * c + a * c, -(a * b * c))
     return t.select("l_orderkey", "l_linenumber", *[(F.round(roots[k], 6) + 0.0).alias(f"x{k + 1}") for k in range(3)])
 
 

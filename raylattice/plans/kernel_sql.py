@@ -146,6 +146,25 @@ def conjugate_gradients(iterations: int) -> str:
     return c.sql(x, VOLUME)
 
 
+def smallest(kind: str, damping: float = 0.0) -> str:
+    """Two steps of the methods that make a residual smallest over a Krylov space, by its normal equations of two rows:
+    ``AB`` |b - A A'y| with x = A'y, ``BA`` |A'b - (A'A + damping) x|."""
+    c = Chain()
+    b = c.forward("x0")
+    g = c.adjoint(b)
+    f = c.forward(g)
+    second = c.adjoint(f)
+    if kind == "AB":
+        start, u, v = b, f, c.forward(second)
+    else:
+        once = c.adjoint(c.forward(second))
+        start, u, v = g, c.volume(f"h + {damping} * g", h=second, g=g), c.volume(f"h + {damping} * g", h=once, g=second)
+    keys = "p, ray" if kind == "AB" else "c"
+    dot = c.step(f"SELECT sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(s * u) AS su, sum(s * v) AS sv FROM (SELECT {keys}, v AS s FROM {start}) JOIN (SELECT {keys}, v AS u FROM {u}) USING ({keys}) JOIN (SELECT {keys}, v FROM {v}) USING ({keys})")
+    first, then = (f"(SELECT ({a}) / (uu * vv - uv * uv) FROM {dot})" for a in ("su * vv - sv * uv", "sv * uu - su * uv"))
+    return c.sql(c.volume(f"{first} * g + {then} * h", g=g, h=second), VOLUME)
+
+
 def of_embeddings(expr: str, from_: str = "e") -> str:
     """(proj_idx, i, value) of an expression over e(p, i, v): the embeddings plus 2 as images of 8 by 8."""
     return f"""WITH e AS (SELECT vec_id AS p, CAST(i AS INT) AS i, CAST(e AS DOUBLE) + 2 AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))
@@ -187,6 +206,9 @@ SELECT scan_id, idx, angle FROM walk WHERE keep""",
     "r05_os_sart": block_iteration(6, 2),
     "r11_cgls": conjugate_gradients(2),
     "r12_lsqr": conjugate_gradients(2),
+    "r14_lsmr": smallest("BA", 1.0),
+    "r16_ab_gmres": smallest("AB"),
+    "r17_ba_gmres": smallest("BA"),
     "r20_mlem": multiplicative(12, 2),
     "r21_osem": multiplicative(6, 1),
 }

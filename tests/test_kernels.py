@@ -6,6 +6,7 @@ import pytest
 from raylattice import geometry as G
 from raylattice.algorithms import reconstruct as R
 from raylattice.algorithms import regular
+from raylattice.functions import algebra
 from raylattice.operators import corrections, filtering, kernels, protons
 from raylattice.operators.fields import Field, Projector, largest_singular_value
 
@@ -290,7 +291,7 @@ def test_phantoms_roots_keys_padding_and_places(spark):
     rng = np.random.default_rng(5)
     rows = [tuple(float(x) for x in r) for r in rng.normal(size=(50, 4))] + [(1.0, -6.0, 11.0, -6.0), (1.0, 0.0, 0.0, 0.0), (2.0, 0.0, 0.0, -16.0)]
     df = spark.createDataFrame(rows + [(1.0, None, 1.0, 1.0)], "a double, b double, c double, d double")
-    got = [r["x"] for r in df.select(lookup.cubic_roots(*[F.col(k) for k in "abcd"]).alias("x")).collect()]
+    got = [r["x"] for r in df.select(algebra.cubic_roots(*[F.col(k) for k in "abcd"]).alias("x")).collect()]
     for r, x in zip(rows, got, strict=False):
         true = sorted(z.real for z in np.roots(r) if abs(z.imag) < 1e-7)
         assert x == pytest.approx(true if len(x) == len(true) else [true[0]], abs=1e-6)
@@ -363,8 +364,8 @@ def test_dual_energy_from_two_scans_and_splines(spark):
     from raylattice.operators import acquisition
 
     xs, ys = [0.0, 1.0, 2.5, 4.0, 7.0], [x**3 - 2 * x for x in (0.0, 1.0, 2.5, 4.0, 7.0)]
-    assert [acquisition.not_a_knot(xs, ys, x) for x in (0.5, 3.3, 8.0)] == pytest.approx([x**3 - 2 * x for x in (0.5, 3.3, 8.0)])
-    assert acquisition.not_a_knot([1.0, 3.0], [2.0, 6.0], 2.0) == pytest.approx(4.0)
+    assert [algebra.not_a_knot(xs, ys, x) for x in (0.5, 3.3, 8.0)] == pytest.approx([x**3 - 2 * x for x in (0.5, 3.3, 8.0)])
+    assert algebra.not_a_knot([1.0, 3.0], [2.0, 6.0], 2.0) == pytest.approx(4.0)
     kind = "idx bigint, angle double, data array<double>"
     low = spark.createDataFrame([(k, 10.0 * k, [float(k), 1.0]) for k in range(5)], kind)
     high = spark.createDataFrame([(k, a, [2.0, 3.0]) for k, a in enumerate((0.0, 12.5, 34.0, 90.0))], kind)
