@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
 from raylattice.algorithms import regular
 from raylattice.geometry import Geometry
-from raylattice.operators import filtering
+from raylattice.operators import acquisition, filtering
 from raylattice.operators.fields import Field, Projector, union
 
 
@@ -40,8 +40,19 @@ def angular_order(angles: list[float]) -> list[int]:
     return order
 
 
+def farthest_first(means: list[float]) -> list[int]:
+    """From the first on, next the one with the largest difference, on the circle, from any taken before."""
+    order = [0] if means else []
+    while len(order) < len(means):
+        left = [i for i in range(len(means)) if i not in order]
+        far = [max(abs((means[i] - means[j] + np.pi) % (2 * np.pi) - np.pi) for j in order) for i in left]
+        order.append(left[int(np.argmax(np.round(far, 12)))])
+    return order
+
+
 def blocks(a: Projector, size: int, order: str = "ordered", seed: int = 0) -> list[list[int]]:
-    """View numbers in blocks: ``ordered``, ``random`` blocks, ``random2`` views, or ``angularDistance``."""
+    """View numbers in blocks: ``ordered``, ``random`` blocks, ``random2`` views, ``angularDistance``, or ``farthest``: blocks
+    of neighbouring angles, next the one whose mean angle is the furthest from any before."""
     ks = ids(a)
     rng = np.random.default_rng(seed)
     if order == "random2":
@@ -49,6 +60,11 @@ def blocks(a: Projector, size: int, order: str = "ordered", seed: int = 0) -> li
     elif order == "angularDistance":
         alpha = {int(v["proj_idx"]): v["alpha"] for v in a.rows}
         ks = [ks[i] for i in angular_order([alpha[k] for k in ks])]
+    elif order == "farthest":
+        alpha = {int(v["proj_idx"]): v["alpha"] for v in a.rows}
+        ks = sorted(ks, key=lambda k: alpha[k])
+        out = [ks[i : i + size] for i in range(0, len(ks), size)]
+        return [out[i] for i in farthest_first([float(np.mean([alpha[k] for k in p])) for p in out])]
     elif order not in ("ordered", "random"):
         raise ValueError(f"unknown order {order!r}")
     out = [ks[i : i + size] for i in range(0, len(ks), size)]
@@ -109,7 +125,16 @@ def filtered_backprojection(b: Field, a: Projector, name: str, offset: bool = Tr
         u = (np.arange(nu) - (nu - 1) / 2) * du + g.off_detector[1]
         weight = g.dsd / np.sqrt(g.dsd**2 + u**2 + v[:, None] ** 2)
         weight = weight * offset_weights(g) if offset else weight
-    rows = filtering.filtered(b.df.withColumnRenamed("k", "proj_idx"), nv, nu, du, len(ids(a)), g.dsd, g.dso, name, weight)
+    # A laterally displaced detector's rows go on with zeros to the mirror place of their far end, else the filter's tail
+    # would be cut at the near one.
+    images, off = b.df, g.off_detector[1]
+    pad = int(2 * abs(off) / du) if g.mode == "cone" and offset else 0
+    if pad:
+        left, right, shift = (pad, 0, -pad * du / 2) if off > 0 else (0, pad, pad * du / 2)
+        images, weight, nu = acquisition.zero_padded(images, (nv, nu), left, right), np.pad(weight, [(0, 0), (left, right)]), nu + pad
+        wide = replace(g, n_detector=(nv, nu), off_detector=(g.off_detector[0], off + shift))
+        a = Projector(wide, a.views.withColumn("off_u", F.col("off_u") + shift), a.kind, a.slab_bytes)
+    rows = filtering.filtered(images.withColumnRenamed("k", "proj_idx"), nv, nu, du, len(ids(a)), g.dsd, g.dso, name, weight)
     return a.adjoint(Field(rows.select(F.col("proj_idx").cast("int").alias("k"), "data")), "fdk").done()
 
 

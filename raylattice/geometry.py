@@ -152,6 +152,14 @@ def euler_from_vectors(normal: np.ndarray, up: np.ndarray) -> tuple[float, float
     return math.atan2(r[1, 0], r[0, 0]), pitch, math.atan2(r[2, 1], r[2, 2])
 
 
+def foot_on_line(point: np.ndarray, start: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """The point of the line through ``start`` along ``direction`` that is nearest to ``point``."""
+    p, s, d = (np.asarray(x, float) for x in (point, start, direction))
+    if not d.any():
+        raise ValueError("a line needs a direction")
+    return s + d * (np.dot(p - s, d) / np.dot(d, d))
+
+
 def rotation_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest rotation that takes direction a to direction b."""
     a, b = np.asarray(a, float) / np.linalg.norm(a), np.asarray(b, float) / np.linalg.norm(b)

@@ -183,14 +183,25 @@ def polar_rings(slices: DataFrame, n: int, reach: int = 4) -> DataFrame:
     return per_image(slices, (n, n), run)
 
 
-def flat_detector(images: DataFrame, shape: tuple[int, int], pitch: float, dsd: float) -> DataFrame:
-    """Images of a detector curved about the source, resampled along u to a flat one of the same width."""
+def mean3(images: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """The mean of 3 by 3 pixels, mirrored at the borders."""
+
+    def run(_: int, p: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.pad(p, 1, mode="symmetric"), (3, 3)).mean((2, 3))
+
+    return per_image(images, shape, run)
+
+
+def flat_detector(images: DataFrame, shape: tuple[int, int], pitch: float, dsd: float, oversample: int = 1, arc_pitch: float | None = None) -> DataFrame:
+    """Images of a detector curved about the source, resampled along u to a flat one of the same width, with
+    ``oversample`` pixels for each. ``arc_pitch`` is the pixels' size along the arc, ``pitch`` on the flat detector."""
     nu = shape[1]
-    u = (np.arange(nu) - (nu - 1) / 2) * pitch
-    at = dsd * np.arctan(u / dsd)  # the arc that a flat pixel's ray meets
+    flat = (np.arange(nu * oversample) - (nu * oversample - 1) / 2) * pitch / oversample
+    at = dsd * np.arctan(flat / dsd)  # the arc that a flat pixel's ray meets
+    own = (np.arange(nu) - (nu - 1) / 2) * (arc_pitch or pitch)
 
     def run(_: int, p: np.ndarray) -> np.ndarray:
-        return np.stack([np.interp(at, u, row) for row in p])
+        return np.stack([np.interp(at, own, row) for row in p])
 
     return per_image(images, shape, run)
 

@@ -52,6 +52,23 @@ def extremes(image: DataFrame) -> DataFrame:
     return image.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
 
 
+def relative_error(image: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """One row ``error``: the norm of the difference over that of ``truth``; null where that is 0 or nothing is common."""
+    p, r = F.col("p"), F.col("r")
+    s = paired(image, truth, keys).agg(F.sum((p - r) * (p - r)).alias("d"), F.sum(r * r).alias("rr"))
+    return s.select(F.sqrt(F.try_divide(F.col("d"), F.col("rr"))).alias("error"))
+
+
+def sample_quality(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (rmse, cc, uqi) from sample variances throughout."""
+    p, r = F.col("p"), F.col("r")
+    s = paired(before, after, keys).agg(
+        F.avg((p - r) * (p - r)).alias("d"), F.covar_samp("p", "r").alias("c"), F.var_samp("p").alias("vp"), F.var_samp("r").alias("vr"), F.avg("p").alias("mp"), F.avg("r").alias("mr"),
+    )
+    light = F.try_divide(2 * F.col("mp") * F.col("mr"), F.col("mp") ** 2 + F.col("mr") ** 2)
+    return s.select(F.sqrt("d").alias("rmse"), F.try_divide(F.col("c"), F.sqrt("vp") * F.sqrt("vr")).alias("cc"), (F.try_divide(2 * F.col("c"), F.col("vp") + F.col("vr")) * light).alias("uqi"))
+
+
 def cosine(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row ``c``: the cosine between two images, with a floor of 1e-6 under the norms' product."""
     p, r = F.col("p"), F.col("r")

@@ -534,3 +534,15 @@ def q61_centre_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = rows.where(F.abs("angle") < 1e6).withColumn("n", F.size("row"))
     same = wide.join(wide.where("n > 1").groupBy("scan_id").agg(F.max("n").alias("n")), ["scan_id", "n"])
     return rounded(lookup.centre_search(same, 1.0, 1000.0, 1536.0), 6, "cor")
+
+
+@query(f"{PAIR} SELECT round(sqrt(sum((p - r) * (p - r)) / sum(r * r)), 9) AS error FROM pr")
+def q62_relative_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.relative_error(volume(spark, sf_dir), volume(spark, sf_dir, "A"), CELLS), 9, "error")
+
+
+@query(f"""{PAIR} SELECT round(sqrt(avg((p - r) * (p - r))), 3) AS rmse, round(covar_samp(p, r) / (stddev_samp(p) * stddev_samp(r)), 9) AS cc,
+round(2 * covar_samp(p, r) / (var_samp(p) + var_samp(r)) * (2 * avg(p) * avg(r) / (avg(p) * avg(p) + avg(r) * avg(r))), 9) AS uqi FROM pr""")
+def q63_sample_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = metrics.sample_quality(volume(spark, sf_dir), volume(spark, sf_dir, "A"), CELLS)
+    return q.select(F.round("rmse", 3).alias("rmse"), F.round("cc", 9).alias("cc"), F.round("uqi", 9).alias("uqi"))

@@ -402,3 +402,34 @@ def test_centre_search_finds_a_shifted_axis(spark):
         views = spark.createDataFrame([*rows, (7, None, None), (None, 0.0, [1.0])], "scan_id int, angle double, row array<double>")
         got = [tuple(r) for r in lookup.centre_search(views, pitch, dso, dsd).collect()]
         assert len(got) == 1 and got[0][0] == 7 and abs(abs(got[0][1]) - shift * dso / dsd) < 0.1
+
+
+def test_displaced_detectors_are_padded_before_the_filter(spark):
+    g = G.Geometry((2, 24, 24), (8.0, 96.0, 96.0), (2, 40), (6.0, 4.0), 500.0, 750.0)
+    angles = [2 * math.pi * i / 60 for i in range(60)]
+    y, x = np.meshgrid(*[np.arange(24) - 11.5] * 2, indexing="ij")
+    truth = np.stack([((x - 3) ** 2 + (y + 2) ** 2 < 60).astype(float)] * 2)
+    f = Field.of(spark, truth.reshape(2, -1)).done()
+    errors = {}
+    for off, nu in ((0.0, 40), (30.0, 32), (-30.0, 32)):
+        h = G.Geometry(**(g.__dict__ | {"n_detector": (2, nu), "off_detector": (0.0, off)}))
+        a = Projector(h, G.views(spark, h, angles))
+        errors[off] = np.sqrt(((R.fdk(a.forward(f).done(), a).array().reshape(truth.shape) - truth)[:, 4:20, 4:20] ** 2).mean())
+    assert errors[30.0] < 1.5 * errors[0.0] + 0.02 and errors[-30.0] < 1.5 * errors[0.0] + 0.02
+
+
+def test_orders_feet_means_and_flat_detectors(spark):
+    assert R.farthest_first([0.0, 1.0, 2.0, 3.0, 4.0]) == [0, 3, 4, 1, 2]
+    assert R.farthest_first([]) == []
+    assert G.foot_on_line([1, 2, 3], [0, 0, 0], [0, 0, 2]).tolist() == [0, 0, 3]
+    with pytest.raises(ValueError):
+        G.foot_on_line([1, 2, 3], [0, 0, 0], [0, 0, 0])
+    image = np.arange(12.0).reshape(3, 4)
+    df = spark.createDataFrame([(0, image.ravel().tolist()), (1, None)], "proj_idx int, data array<double>")
+    got = {r["proj_idx"]: r["data"] for r in corrections.mean3(df, (3, 4)).collect()}
+    wide = np.pad(image, 1, mode="symmetric")
+    assert got[1] is None and got[0] == pytest.approx([wide[i : i + 3, j : j + 3].mean() for i in range(3) for j in range(4)])
+    ramp = spark.createDataFrame([(0, [float(k) for k in range(8)])], "proj_idx int, data array<double>")
+    fine = corrections.flat_detector(ramp, (1, 8), 4.0, 1000.0, oversample=2, arc_pitch=4.0).first()["data"]
+    u = (np.arange(16) - 7.5) * 2.0
+    assert fine == pytest.approx(np.clip(1000 * np.arctan(u / 1000) / 4 + 3.5, 0, 7))
