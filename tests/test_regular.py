@@ -73,6 +73,7 @@ def test_broadcast_and_salted_ways_agree(spark, monkeypatch):
     args = ([(1, 0.0, 10.0, 36), (2, 5.0, -7.5, 48)], [(1 + k % 2, 3.7 * k, "deg", [1.0 * k]) for k in range(60)])
     a = slots(run(spark, *args))
     monkeypatch.setattr(regular, "small_enough", lambda *_: False)
+    monkeypatch.setattr(regular, "BROADCAST_BYTES", -1)
     assert slots(run(spark, *args)) == a
 
 
