@@ -94,6 +94,7 @@ class Sums:
     def __init__(self, histogram: dict[int, int], capacity: int):
         self.capacity, self.left = capacity, {x: n for x, n in histogram.items() if n > 0}
         self.singles = self.bits(self.left)
+        self.top = self.singles.bit_length() - 1
         self.mirror = self.bits(capacity - x for x in self.left)
         inside = (1 << (capacity + 1)) - 1
         self.pairs = self.triples = 0
@@ -117,15 +118,20 @@ class Sums:
         if not self.left[x]:
             self.singles ^= 1 << x
             self.mirror ^= 1 << (self.capacity - x)
+            if x == self.top:
+                self.top = self.singles.bit_length() - 1
 
     def give(self, x: int) -> None:
         if not self.left[x]:
             self.singles |= 1 << x
             self.mirror |= 1 << (self.capacity - x)
+            self.top = max(self.top, x)
         self.left[x] += 1
 
     def longest(self, most: int) -> int:
         """The longest length left up to ``most``, or 0."""
+        if most >= self.top:
+            return max(self.top, 0)
         return (self.singles & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.singles & ((2 << most) - 1) else 0
 
     def pair(self, of: int, most: int) -> list[int] | None:
@@ -155,6 +161,9 @@ class Sums:
             self.give(a)
             if two:
                 return [a, *two]
+            if not self.pair(gap - a, gap - a):  # not even with the length that was lent
+                self.pairs ^= 1 << gap - a
+                self.pairs_mirror ^= 1 << self.capacity - gap + a
             rest ^= 1 << a
         self.triples ^= 1 << gap  # lengths only run out: none from now on
         return None
@@ -167,10 +176,14 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[in
     while top := sums.longest(capacity):
         pattern, gap = [top], capacity - top
         sums.take(top)
-        while gap:
-            more = sums.fill(gap) or [x for x in [sums.longest(gap)] if x]
-            if not more:
-                break
+        while gap and (best := sums.longest(gap)):
+            if gap > 3 * best:  # no three fill it
+                n = min(sums.left[best], (gap - 3 * best - 1) // best + 1)
+                sums.take(best, n)
+                pattern += [best] * n
+                gap -= n * best
+                continue
+            more = sums.fill(gap) or [best]
             for x in more:
                 sums.take(x)
             pattern += more

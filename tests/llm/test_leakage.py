@@ -87,6 +87,16 @@ def test_shared_passages_are_all_found_and_shared_instructions_are_not(spark):
     assert sorted(tuple(r) for r in leakage.leaks(docs, many).collect()) == [(2, 3), *[(3, 10 + k) for k in range(6)]]
 
 
+def test_joins_without_broadcasts_find_the_same(spark, monkeypatch):
+    w = ITEM.split()
+    texts = ["Good. " + ITEM + " Fine.", " ".join(w[:18]), " ".join(w[:17]), "nothing of it", HEAD * 3]
+    whole = leaks(spark, *texts)
+    monkeypatch.setattr(leakage, "small_enough", lambda *_: False)
+    monkeypatch.setattr(leakage, "broadcast_if_small", lambda df, *_: df)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", -1)
+    assert leaks(spark, *texts) == whole == [(0, 1), (1, 1)]
+
+
 def test_any_number_of_equal_items(spark):
     docs = spark.createDataFrame([(1, "Well. " + ITEM + " Yes.")], "doc_id bigint, text string")
     for n in (1, 3, 4, 5, 8, 300):
